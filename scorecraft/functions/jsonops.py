@@ -18,7 +18,7 @@ Semantics follow Python's ``json`` module and ``==``:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Wrapper keys used for the validity check.
@@ -35,25 +35,34 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _wrapped_outer(text: Column) -> Column:
+    wrapped = F.try_parse_json(F.concat(F.lit(_WRAP_OPEN), text, F.lit(_WRAP_CLOSE)))
+    return F.try_variant_get(wrapped, "$", MAP_OF_VARIANT)
+
+
+def _outer_ok(text: Column, outer: Column) -> Column:
+    suspicious = text.contains("_v_") | text.contains("_z9_") | text.contains("\\u")
+    as_array = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
+    )
+    array_ok = F.coalesce(F.size(as_array) == 1, F.lit(False))
+    return (F.size(outer) == 2) & F.when(suspicious, array_ok).otherwise(F.lit(True))
+
+
+def _inner(outer: Column) -> Column:
+    return F.try_variant_get(F.try_element_at(outer, F.lit("_v_")), "$", MAP_OF_VARIANT)
+
+
 def parsed_object(text: Column | str) -> Column:
     """``map<string, variant>`` of a text that is exactly one JSON object.
 
     NULL when the text is not valid JSON (trailing text included), is not an
-    object, or is NULL. Keys keep their exact spelling (no trim).
+    object, or is NULL. Keys keep their exact spelling (no trim). For heavy
+    use prefer :func:`with_canonical_object`, which parses once per row.
     """
     text = _col(text)
-    wrapped = F.try_parse_json(F.concat(F.lit(_WRAP_OPEN), text, F.lit(_WRAP_CLOSE)))
-    outer = F.try_variant_get(wrapped, "$", MAP_OF_VARIANT)
-    inner = F.try_variant_get(F.try_element_at(outer, F.lit("_v_")), "$", MAP_OF_VARIANT)
-    suspicious = (
-        text.contains("_v_") | text.contains("_z9_") | text.contains("\\u")
-    )
-    as_array = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
-    )
-    array_ok = F.coalesce(F.size(as_array) == 1, F.lit(False))
-    ok = (F.size(outer) == 2) & F.when(suspicious, array_ok).otherwise(F.lit(True))
-    return F.when(ok, inner)
+    outer = _wrapped_outer(text)
+    return F.when(_outer_ok(text, outer), _inner(outer))
 
 
 def is_object_text(text: Column | str) -> Column:
@@ -79,10 +88,7 @@ def _canon_token(t: Column) -> Column:
 def canonical_text(json_text: Column) -> Column:
     """Canonical text of a ``to_json`` rendering (numbers unified)."""
     tokens = F.regexp_extract_all(json_text, F.lit(_TOKEN_RE), 0)
-    return F.when(
-        F.substring(json_text, 1, 1).isin("{", "["),
-        F.array_join(F.transform(tokens, _canon_token), ""),
-    ).otherwise(_canon_token(json_text))
+    return F.array_join(F.transform(tokens, _canon_token), "")
 
 
 def canonical_map(obj: Column) -> Column:
@@ -95,21 +101,34 @@ def canonical_object(text: Column | str) -> Column:
     return canonical_map(parsed_object(text))
 
 
+def with_canonical_object(df: DataFrame, text: str, out: str, keep_object: str | None = None) -> DataFrame:
+    """Add ``out`` = canonical value map of column ``text`` (NULL when the text
+    is not one JSON object); with ``keep_object`` also the parsed
+    ``map<string, variant>`` under that name.
+
+    Staged projections: the wrapper map is referenced twice in the second
+    one, so the optimizer keeps it materialised and each row is parsed once.
+    """
+    tmp = f"_{out}_outer"
+    obj = keep_object or f"_{out}_obj"
+    staged = df.withColumn(tmp, _wrapped_outer(F.col(text)))
+    staged = staged.withColumn(obj, F.when(_outer_ok(F.col(text), F.col(tmp)), _inner(F.col(tmp)))).drop(tmp)
+    done = staged.withColumn(out, canonical_map(F.col(obj)))
+    return done if keep_object else done.drop(obj)
+
+
 def empty_if_null(m: Column) -> Column:
     """Turn a NULL map (non-object) into the empty object (M1 / M7)."""
     return F.coalesce(m, F.create_map().cast("map<string,string>"))
 
 
 def key_matches(pred: Column, truth: Column) -> Column:
-    """Number of truth keys present in ``pred`` with an equal value."""
-    return F.size(
-        F.filter(
-            F.map_keys(truth),
-            lambda k: F.coalesce(
-                F.try_element_at(pred, k) == F.try_element_at(truth, k), F.lit(False)
-            ),
-        )
-    )
+    """Number of truth keys present in ``pred`` with an equal value.
+
+    Keys are unique in each map, so this is the size of the intersection of
+    the two entry sets - no per-key lambda, each map is read once.
+    """
+    return F.size(F.array_intersect(F.map_entries(pred), F.map_entries(truth)))
 
 
 def strict_accuracy(pred: Column, truth: Column) -> Column:
@@ -160,3 +179,36 @@ def ground_truth_object(expected_output: Column, other_columns: dict[str, Column
     else:
         fallback = F.lit("{}")
     return F.when(is_object_text(expected_output), expected_output).otherwise(fallback)
+
+
+def with_match_counts(df: DataFrame, pred: str, truth: str, prefix: str = "_") -> DataFrame:
+    """Add ``<prefix>n_pred``, ``<prefix>n_truth`` and ``<prefix>matches``
+    (NULL pred counts as ``{}``), each computed once per row."""
+    p = empty_if_null(F.col(pred))
+    t = F.col(truth)
+    return df.withColumns(
+        {
+            f"{prefix}n_pred": F.size(p),
+            f"{prefix}n_truth": F.size(t),
+            f"{prefix}matches": key_matches(p, t),
+        }
+    )
+
+
+def strict_from_counts(n_pred: Column, n_truth: Column, matches: Column) -> Column:
+    """M2 from the three counts."""
+    return (
+        F.when(n_truth == 0, F.when(n_pred == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        .otherwise(matches / F.greatest(n_truth, n_pred))
+        .cast("double")
+    )
+
+
+def partial_from_counts(n_truth: Column, matches: Column) -> Column:
+    """M5 from the counts."""
+    return F.when(n_truth == 0, F.lit(0.0)).otherwise(matches / n_truth).cast("double")
+
+
+def exact_from_counts(n_pred: Column, n_truth: Column, matches: Column) -> Column:
+    """M4 from the counts (equal key sets and all values equal)."""
+    return (n_pred == n_truth) & (matches == n_truth)
