@@ -82,3 +82,83 @@ def q_category_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = J.with_canonical_object(ev, "ground_truth", "_truth", keep_object="_truth_obj")
     labelled = K.with_category(parsed, "_truth_obj", "_category")
     return labelled.select("eval_id", K.normalize_category("_category").alias("category"))
+
+
+# --- runs: evaluate recorded outputs, summarise (U1, A1-A3) -----------------
+
+from scorecraft.operators import compare as C  # noqa: E402
+from scorecraft.operators import scoring as S  # noqa: E402
+
+
+def _outputs(spark: SparkSession, sf_dir: str, with_auth: bool = True) -> DataFrame:
+    ev = D.evaluations(spark, sf_dir)
+    kind = F.col("error_kind") if with_auth else F.when(F.col("error_kind").isNotNull(), F.lit("error"))
+    return ev.select(
+        "model", "case_id", "source", "row_index", "ground_truth",
+        F.col("llm_output").alias("output"), kind.alias("error_kind"), "error_message",
+    )
+
+
+@register("run_summary")
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + A1: report rows per (model, case), failed rows included."""
+    reports = S.evaluate(None, _outputs(spark, sf_dir, with_auth=False))
+    return rounded(S.run_summary(reports))
+
+
+@register("run_summary_abort")
+def q_run_summary_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + A1 + A2: runs stop at their first authentication failure."""
+    return rounded(S.run_summary_with_abort(_outputs(spark, sf_dir), None))
+
+
+@register("report_rows")
+def q_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written report rows (D6) up to each run's abort point."""
+    reports = S.evaluate(None, _outputs(spark, sf_dir))
+    return rounded(reports)
+
+
+# --- compare runs (A4-A8, J5, J6) -------------------------------------------
+
+
+@register("case_comparison")
+def q_case_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 + R1: best and fastest model per case with input-order ties."""
+    return rounded(C.case_comparison(D.runs(spark, sf_dir)))
+
+
+@register("model_summary")
+def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: per-model means and run counts."""
+    return rounded(C.model_summary(D.runs(spark, sf_dir)).drop("first_run"))
+
+
+@register("overall_winners")
+def q_overall_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and fastest model over the model summary."""
+    return rounded(C.overall_winners(C.model_summary(D.runs(spark, sf_dir))))
+
+
+@register("overall_report")
+def q_overall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + R6: the whole overall report."""
+    return rounded(C.overall_report(D.runs(spark, sf_dir)))
+
+
+@register("merge_overall")
+def q_merge_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + J5 + J6: the report of the first half merged with the second."""
+    base_runs, new_runs = D.split_runs(spark, sf_dir)
+    return rounded(C.merge_overall(C.overall_report(base_runs), new_runs))
+
+
+@register("merge_cases")
+def q_merge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case rows of the merged report."""
+    base_runs, new_runs = D.split_runs(spark, sf_dir)
+    base = C.overall_report(base_runs)
+    base_cases = C.section(base, C.CASE_SECTION).select(
+        "case_id", "best_model", "best_score", "fastest_model", "fastest_seconds", "total_runs", "completed_runs"
+    )
+    return rounded(C.merge_case_rows(base_cases, C.case_comparison(new_runs)))

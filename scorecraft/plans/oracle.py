@@ -108,3 +108,181 @@ SELECT 'source' AS scope, source AS name, {_SUMMARY} FROM sc GROUP BY source"""
 
 SQL["category_label"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE)}
 SELECT eval_id, category FROM sc"""
+
+# --- runs from evaluations (U1, A1, A2) --------------------------------------
+
+_REPORT_ROWS = """
+ab AS (
+  SELECT model, case_id, min(row_index) FILTER (WHERE error_kind = 'auth') AS abort_at
+  FROM ev GROUP BY model, case_id
+),
+kept AS (
+  SELECT sc.*, ab.abort_at FROM sc JOIN ab USING (model, case_id)
+  WHERE ab.abort_at IS NULL OR sc.row_index < ab.abort_at
+)"""
+
+SQL["run_summary"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE)}
+SELECT model, case_id, 'completed' AS status, CAST(count(*) AS BIGINT) AS total_rows,
+       CAST(count(*) FILTER (WHERE error_kind IS NULL) AS BIGINT) AS successful_evaluations,
+       round(sum(CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END) / count(*), 6) AS average_score
+FROM sc GROUP BY model, case_id"""
+
+SQL["run_summary_abort"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS)},
+agg AS (
+  SELECT model, case_id, count(*) AS n, count(*) FILTER (WHERE error_kind IS NULL) AS ok,
+         sum(CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END) AS s
+  FROM kept GROUP BY model, case_id
+)
+SELECT ab.model, ab.case_id,
+       CASE WHEN ab.abort_at IS NOT NULL THEN 'aborted_due_to_auth' ELSE 'completed' END AS status,
+       CAST(CASE WHEN ab.abort_at IS NOT NULL THEN ab.abort_at ELSE agg.n END AS BIGINT) AS total_rows,
+       CAST(coalesce(agg.ok, 0) AS BIGINT) AS successful_evaluations,
+       round(CASE WHEN ab.abort_at IS NOT NULL
+                  THEN (CASE WHEN coalesce(agg.ok, 0) > 0 THEN agg.s / agg.ok ELSE 0.0 END)
+                  ELSE agg.s / agg.n END, 6) AS average_score
+FROM ab LEFT JOIN agg USING (model, case_id)"""
+
+SQL["report_rows"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS)}
+SELECT model, case_id, row_index,
+       CASE WHEN error_kind IS NULL THEN 'completed' ELSE 'failed' END AS status,
+       round(CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END, 6) AS score,
+       CASE WHEN error_kind IS NULL THEN llm_output ELSE '' END AS llm_output,
+       CASE WHEN error_kind IS NULL THEN ''
+            ELSE 'generation failed for row ' || CAST(row_index AS VARCHAR) END AS error_message
+FROM kept"""
+
+# --- runs from events (A4-A8) -------------------------------------------------
+
+RUNS_CTE = f"""
+runs0 AS (
+  SELECT event_type AS model, 'case_' || CAST(user_id AS VARCHAR) AS case_id, {D._STATUS_SQL} AS status,
+         least(floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 10), 8) / 8.0 AS score0,
+         CAST(floor(value / 10) AS DOUBLE) AS seconds0, event_id AS run_index
+  FROM events
+),
+runs AS (
+  SELECT model, case_id, status,
+         CASE WHEN status IN ('empty', 'failed_preprocess') THEN 0.0 ELSE score0 END AS average_score,
+         CASE WHEN status = 'failed_preprocess' THEN 0.0 ELSE seconds0 END AS elapsed_seconds,
+         run_index
+  FROM runs0
+)"""
+
+
+def _case_rows(src: str, name: str) -> str:
+    return f"""
+{name}_best AS (
+  SELECT case_id, model AS best_model, average_score AS best_score,
+         row_number() OVER (PARTITION BY case_id ORDER BY average_score DESC, elapsed_seconds ASC, run_index ASC) AS rn
+  FROM {src}
+),
+{name}_fast AS (
+  SELECT case_id, model AS fastest_model, elapsed_seconds AS fastest_seconds,
+         row_number() OVER (PARTITION BY case_id ORDER BY elapsed_seconds ASC, average_score DESC, run_index ASC) AS rn
+  FROM {src}
+),
+{name} AS (
+  SELECT c.case_id, b.best_model, b.best_score, f.fastest_model, f.fastest_seconds,
+         CAST(c.total_runs AS BIGINT) AS total_runs, CAST(c.completed_runs AS BIGINT) AS completed_runs
+  FROM (SELECT case_id, count(*) AS total_runs, count(*) FILTER (WHERE status = 'completed') AS completed_runs
+        FROM {src} GROUP BY case_id) c
+  JOIN {name}_best b ON b.case_id = c.case_id AND b.rn = 1
+  JOIN {name}_fast f ON f.case_id = c.case_id AND f.rn = 1
+)"""
+
+
+def _model_rows(src: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT model, avg(average_score) AS average_score, avg(elapsed_seconds) AS average_seconds,
+         CAST(count(*) AS BIGINT) AS total_runs,
+         CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed_runs,
+         min(run_index) AS first_run
+  FROM {src} GROUP BY model
+)"""
+
+
+def _winner_rows(models: str, tie: str) -> str:
+    return f"""
+SELECT section, model, average_score, average_seconds, total_runs, completed_runs FROM (
+  SELECT 'overall_best_average' AS section, model, average_score, average_seconds, total_runs, completed_runs,
+         row_number() OVER (ORDER BY average_score DESC, average_seconds ASC, {tie} ASC) AS rn FROM {models}
+  UNION ALL
+  SELECT 'overall_fastest' AS section, model, average_score, average_seconds, total_runs, completed_runs,
+         row_number() OVER (ORDER BY average_seconds ASC, average_score DESC, {tie} ASC) AS rn FROM {models}
+) w WHERE rn = 1"""
+
+
+def _layout(kind: str, src: str) -> str:
+    if kind == "case":
+        return f"""SELECT 'case_comparison' AS section, case_id, CAST(NULL AS VARCHAR) AS model, best_model,
+  round(best_score, 6) AS best_score, fastest_model, round(fastest_seconds, 6) AS fastest_seconds,
+  CAST(NULL AS DOUBLE) AS average_score, CAST(NULL AS DOUBLE) AS average_seconds, total_runs, completed_runs FROM {src}"""
+    if kind == "model":
+        return f"""SELECT 'model_summary' AS section, CAST(NULL AS VARCHAR) AS case_id, model,
+  CAST(NULL AS VARCHAR) AS best_model, CAST(NULL AS DOUBLE) AS best_score, CAST(NULL AS VARCHAR) AS fastest_model,
+  CAST(NULL AS DOUBLE) AS fastest_seconds, round(average_score, 6) AS average_score,
+  round(average_seconds, 6) AS average_seconds, total_runs, completed_runs FROM {src}"""
+    return f"""SELECT section, CAST(NULL AS VARCHAR) AS case_id, model,
+  CAST(NULL AS VARCHAR) AS best_model, CAST(NULL AS DOUBLE) AS best_score, CAST(NULL AS VARCHAR) AS fastest_model,
+  CAST(NULL AS DOUBLE) AS fastest_seconds, round(average_score, 6) AS average_score,
+  round(average_seconds, 6) AS average_seconds, total_runs, completed_runs FROM ({src}) ww"""
+
+
+SQL["case_comparison"] = f"""{_with(RUNS_CTE, _case_rows('runs', 'cases'))}
+SELECT case_id, best_model, round(best_score, 6) AS best_score, fastest_model,
+       round(fastest_seconds, 6) AS fastest_seconds, total_runs, completed_runs FROM cases"""
+
+SQL["model_summary"] = f"""{_with(RUNS_CTE, _model_rows('runs', 'models'))}
+SELECT model, round(average_score, 6) AS average_score, round(average_seconds, 6) AS average_seconds,
+       total_runs, completed_runs FROM models"""
+
+SQL["overall_winners"] = f"""{_with(RUNS_CTE, _model_rows('runs', 'models'))}
+SELECT section, model, round(average_score, 6) AS average_score, round(average_seconds, 6) AS average_seconds,
+       total_runs, completed_runs FROM ({_winner_rows('models', 'first_run')}) x"""
+
+SQL["overall_report"] = f"""{_with(RUNS_CTE, _case_rows('runs', 'cases'), _model_rows('runs', 'models'))}
+{_layout('case', 'cases')}
+UNION ALL
+{_layout('model', 'models')}
+UNION ALL
+{_layout('winners', _winner_rows('models', 'first_run'))}"""
+
+_SPLIT = """
+mid AS (SELECT (max(event_id) + 1) / 2 AS m FROM events),
+base_runs AS (SELECT runs.* FROM runs, mid WHERE run_index < mid.m),
+new_runs AS (SELECT runs.* FROM runs, mid WHERE run_index >= mid.m)"""
+
+_MERGED = f"""
+merged_cases AS (
+  SELECT * FROM new_cases
+  UNION ALL
+  SELECT * FROM base_cases b WHERE NOT EXISTS (SELECT 1 FROM new_cases n WHERE n.case_id = b.case_id)
+),
+merged_models AS (
+  SELECT coalesce(n.model, b.model) AS model,
+         CASE WHEN b.model IS NOT NULL AND n.model IS NOT NULL THEN
+              (CASE WHEN b.total_runs + n.total_runs = 0 THEN 0.0
+                    ELSE (b.average_score * b.total_runs + n.average_score * n.total_runs) / (b.total_runs + n.total_runs) END)
+              ELSE coalesce(n.average_score, b.average_score) END AS average_score,
+         CASE WHEN b.model IS NOT NULL AND n.model IS NOT NULL THEN
+              (CASE WHEN b.total_runs + n.total_runs = 0 THEN 0.0
+                    ELSE (b.average_seconds * b.total_runs + n.average_seconds * n.total_runs) / (b.total_runs + n.total_runs) END)
+              ELSE coalesce(n.average_seconds, b.average_seconds) END AS average_seconds,
+         CAST(coalesce(b.total_runs, 0) + coalesce(n.total_runs, 0) AS BIGINT) AS total_runs,
+         CAST(coalesce(b.completed_runs, 0) + coalesce(n.completed_runs, 0) AS BIGINT) AS completed_runs
+  FROM base_models b FULL OUTER JOIN new_models n ON b.model = n.model
+)"""
+
+SQL["merge_overall"] = f"""{_with(RUNS_CTE, _SPLIT, _case_rows('base_runs', 'base_cases'), _case_rows('new_runs', 'new_cases'),
+                                 _model_rows('base_runs', 'base_models'), _model_rows('new_runs', 'new_models'), _MERGED)}
+{_layout('case', 'merged_cases')}
+UNION ALL
+{_layout('model', 'merged_models')}
+UNION ALL
+{_layout('winners', _winner_rows('merged_models', 'model'))}"""
+
+SQL["merge_cases"] = f"""{_with(RUNS_CTE, _SPLIT, _case_rows('base_runs', 'base_cases'), _case_rows('new_runs', 'new_cases'),
+                                _model_rows('base_runs', 'base_models'), _model_rows('new_runs', 'new_models'), _MERGED)}
+SELECT case_id, best_model, round(best_score, 6) AS best_score, fastest_model,
+       round(fastest_seconds, 6) AS fastest_seconds, total_runs, completed_runs FROM merged_cases"""
