@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
-from scorecraft.operators.layout import spread
 
 COMPLETED = "completed"
 SUMMARY_COLUMNS = [
@@ -79,7 +78,7 @@ def score_rows(
     truth); otherwise the ``ground_truth`` text is parsed here (non-objects
     -> ``{}``). Each text is parsed once.
     """
-    df = spread(evaluations)
+    df = evaluations
     if truth_map is None:
         df = J.with_canonical_object(df, "ground_truth", "_truth_raw", keep_object="_truth_obj")
         df = df.withColumn("_truth", J.empty_if_null(F.col("_truth_raw"))).drop("_truth_raw")

@@ -12,6 +12,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A scan of many files already has enough splits and is left untouched, so
     at scale this adds no shuffle; a single unsplittable file (one row group)
     would otherwise run on one core.
+
+    Call it on a scan (plus projections/filters) only: asking a plan that
+    contains a shuffle for its partition count would run that shuffle.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism

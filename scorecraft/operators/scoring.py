@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions import jsonops as J
-from scorecraft.operators.layout import spread
 
 COMPLETED = "completed"
 FAILED = "failed"
@@ -63,7 +62,6 @@ def evaluate(
     aborts = first_auth_failure(outputs, run_keys)
     rows = rows.join(aborts, list(run_keys), "left")
     rows = rows.filter(F.col("abort_at").isNull() | (F.col("row_index") < F.col("abort_at")))
-    rows = spread(rows)
     rows = J.with_canonical_object(rows, truth, "_truth_raw")
     rows = J.with_canonical_object(rows, "output", "_pred")
     rows = rows.withColumn("_truth", J.empty_if_null(F.col("_truth_raw")))

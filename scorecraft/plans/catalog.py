@@ -15,7 +15,6 @@ from pyspark.sql.types import DoubleType, FloatType
 from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
 from scorecraft.operators import accuracy as A
-from scorecraft.operators.layout import spread
 from scorecraft.plans import derived as D
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +77,7 @@ def q_accuracy_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("category_label")
 def q_category_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9 (with M8) per evaluation row."""
-    ev = spread(D.evaluations(spark, sf_dir))
+    ev = D.evaluations(spark, sf_dir)
     parsed = J.with_canonical_object(ev, "ground_truth", "_truth", keep_object="_truth_obj")
     labelled = K.with_category(parsed, "_truth_obj", "_category")
     return labelled.select("eval_id", K.normalize_category("_category").alias("category"))
@@ -162,3 +161,69 @@ def q_merge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", "best_model", "best_score", "fastest_model", "fastest_seconds", "total_runs", "completed_runs"
     )
     return rounded(C.merge_case_rows(base_cases, C.case_comparison(new_runs)))
+
+
+# --- per-source score columns (A9, J7, J8) -----------------------------------
+
+from scorecraft.operators import recommend as R  # noqa: E402
+from scorecraft.operators import source_scores as SS  # noqa: E402
+
+# The sources of the derived evaluations (o_orderpriority).
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+FOCUS_SOURCE = "1-URGENT"
+
+
+def _eval_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows (D6) with their source, from the recorded outputs."""
+    return S.evaluate(None, _outputs(spark, sf_dir), run_keys=("model", "case_id", "source"))
+
+
+def _eval_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch results (D8) of the evaluation runs; seconds stand in as the
+    number of rows attempted."""
+    summary = S.run_summary_with_abort(_outputs(spark, sf_dir), None)
+    return summary.select(
+        "model", "case_id", "status", "average_score",
+        F.col("total_rows").cast("double").alias("elapsed_seconds"),
+        F.col("total_rows").alias("run_index"),
+    )
+
+
+@register("source_scores")
+def q_source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + F1 + F3 + F6: mean score per model over one source."""
+    return rounded(SS.source_scores(_eval_reports(spark, sf_dir), FOCUS_SOURCE))
+
+
+@register("source_column")
+def q_source_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model summary with one score column per source (pivot)."""
+    models = C.model_summary(_eval_runs(spark, sf_dir)).drop("first_run")
+    return rounded(SS.add_source_scores(models, _eval_reports(spark, sf_dir), PRIORITIES))
+
+
+@register("source_winners")
+def q_source_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winner rows with the focus source's score; fastest row blank."""
+    winners = C.overall_winners(C.model_summary(_eval_runs(spark, sf_dir)))
+    return rounded(SS.add_source_score_to_winners(winners, _eval_reports(spark, sf_dir), FOCUS_SOURCE))
+
+
+# --- recommendations (R2, X1, X2, X4) ----------------------------------------
+
+
+def _category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored_evaluations(spark, sf_dir)
+    return R.category_scores(A.accuracy_scopes(None, scopes=("category",), scored=scored))
+
+
+@register("recommendations")
+def q_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + X2 + X4 + M17: categories below 0.70, ranked, with their gap."""
+    return rounded(R.rank_low_categories(_category_scores(spark, sf_dir)))
+
+
+@register("recommendation_state")
+def q_recommendation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which recommendation block applies."""
+    return R.recommendation_state(_category_scores(spark, sf_dir))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorecraft.operators.layout import spread
 from scorecraft.session import prepare_session
 
 
@@ -76,8 +77,8 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(eval_id, model, source, case_id, row_index, ground_truth, llm_output,
     error_kind, error_message)`` - one row per order, whole table."""
     prepare_session(spark)
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
+    orders = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     )
     with_info = orders.withColumn("doc_info", F.expr(_DOC_INFO_SQL))
     return with_info.select(

@@ -286,3 +286,72 @@ SQL["merge_cases"] = f"""{_with(RUNS_CTE, _SPLIT, _case_rows('base_runs', 'base_
                                 _model_rows('base_runs', 'base_models'), _model_rows('new_runs', 'new_models'), _MERGED)}
 SELECT case_id, best_model, round(best_score, 6) AS best_score, fastest_model,
        round(fastest_seconds, 6) AS fastest_seconds, total_runs, completed_runs FROM merged_cases"""
+
+# --- per-source scores (A9, J7, J8) -------------------------------------------
+
+_EVAL_RUNS = """
+agg AS (
+  SELECT model, case_id, count(*) AS n, count(*) FILTER (WHERE error_kind IS NULL) AS ok,
+         sum(CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END) AS s
+  FROM kept GROUP BY model, case_id
+),
+eruns AS (
+  SELECT ab.model, ab.case_id,
+         CASE WHEN ab.abort_at IS NOT NULL THEN 'aborted_due_to_auth' ELSE 'completed' END AS status,
+         CASE WHEN ab.abort_at IS NOT NULL THEN (CASE WHEN coalesce(agg.ok, 0) > 0 THEN agg.s / agg.ok ELSE 0.0 END)
+              ELSE agg.s / agg.n END AS average_score,
+         CAST(CASE WHEN ab.abort_at IS NOT NULL THEN ab.abort_at ELSE agg.n END AS DOUBLE) AS elapsed_seconds,
+         CAST(CASE WHEN ab.abort_at IS NOT NULL THEN ab.abort_at ELSE agg.n END AS BIGINT) AS run_index
+  FROM ab LEFT JOIN agg USING (model, case_id)
+),
+f1 AS (
+  SELECT model, source, CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END AS score
+  FROM kept WHERE error_kind IS NULL AND trim(llm_output) <> '' AND model IS NOT NULL AND trim(model) <> ''
+)"""
+
+_PIVOT = ",\n".join(
+    f"round(avg(score) FILTER (WHERE source = '{p}'), 6) AS \"{p}\""
+    for p in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+)
+
+SQL["source_scores"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS, _EVAL_RUNS)}
+SELECT model, round(avg(score), 6) AS source_score FROM f1 WHERE source = '1-URGENT' GROUP BY model"""
+
+SQL["source_column"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS, _EVAL_RUNS, _model_rows('eruns', 'models'))},
+piv AS (SELECT model, {_PIVOT} FROM f1 GROUP BY model)
+SELECT m.model, round(m.average_score, 6) AS average_score, round(m.average_seconds, 6) AS average_seconds,
+       m.total_runs, m.completed_runs, p."1-URGENT", p."2-HIGH", p."3-MEDIUM", p."4-NOT SPECIFIED", p."5-LOW"
+FROM models m LEFT JOIN piv p USING (model)"""
+
+SQL["source_winners"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS, _EVAL_RUNS, _model_rows('eruns', 'models'))},
+src AS (SELECT model, avg(score) AS s FROM f1 WHERE source = '1-URGENT' GROUP BY model),
+w AS ({_winner_rows('models', 'first_run')})
+SELECT w.section, w.model, round(w.average_score, 6) AS average_score, round(w.average_seconds, 6) AS average_seconds,
+       w.total_runs, w.completed_runs,
+       round(CASE WHEN w.section = 'overall_fastest' THEN NULL ELSE src.s END, 6) AS "1-URGENT"
+FROM w LEFT JOIN src USING (model)"""
+
+# --- recommendations (R2, X1, X2, X4) -----------------------------------------
+
+_CAT_SCORES = """
+cat AS (
+  SELECT category,
+         CASE WHEN count(*) FILTER (WHERE has_truth) > 0
+              THEN count(*) FILTER (WHERE exact) / count(*) FILTER (WHERE has_truth) * 100.0 ELSE 0.0 END AS pct
+  FROM sc GROUP BY category
+),
+cs AS (SELECT category, greatest(0.0, least(1.0, pct / 100.0)) AS score FROM cat)"""
+
+SQL["recommendations"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _CAT_SCORES)}
+SELECT category, round(score, 6) AS score, round(greatest(0.0, 0.70 - score), 6) AS gap,
+       CAST(row_number() OVER (ORDER BY score ASC, category ASC) AS INTEGER) AS position
+FROM cs WHERE score < 0.70"""
+
+SQL["recommendation_state"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _CAT_SCORES)}
+SELECT CASE WHEN count(*) = 0 THEN 'no_data'
+            WHEN count(*) FILTER (WHERE score < 1.0) = 0 THEN 'max_performance'
+            WHEN count(*) FILTER (WHERE score < 0.70) = 0 THEN 'none_low'
+            ELSE 'ranked' END AS state,
+       CAST(count(*) AS BIGINT) AS categories,
+       CAST(count(*) FILTER (WHERE score < 0.70) AS BIGINT) AS below_threshold
+FROM cs"""
