@@ -21,3 +21,36 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def dense_index(df: DataFrame, order_col: str, out: str = "pos") -> DataFrame:
+    """0-based dense position of every row in ``order_col`` order, computed
+    without a single-partition window.
+
+    Rows are range-partitioned and sorted, tagged with their partition and
+    in-partition id, and checkpointed (to the shared ``spark.checkpoint.dir``)
+    so the ids are fixed; per-partition row counts (one row per partition)
+    give the offsets, which are joined back by partition id.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from scorecraft.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    tagged = (
+        df.repartitionByRange(n, order_col)
+        .sortWithinPartitions(order_col)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+    )
+    # monotonically_increasing_id = (partition << 33) + row number in partition
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset")
+    )
+    joined = tagged.join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (F.col("_offset") + local).alias(out))

@@ -227,3 +227,75 @@ def q_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_recommendation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which recommendation block applies."""
     return R.recommendation_state(_category_scores(spark, sf_dir))
+
+
+# --- cases: pairing, run matrix, expected outputs (S7, J1-J3, F5, A14) --------
+
+from scorecraft.operators import cases as CS  # noqa: E402
+
+
+@register("pair_cases")
+def q_pair_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + J2 + M11: input files paired with their expected-output CSV."""
+    cases, _ = CS.pair_cases(D.part_listing(spark, sf_dir))
+    return cases
+
+
+@register("skipped_cases")
+def q_skipped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + F5: unsupported inputs and inputs without an output, with reasons."""
+    _, skipped = CS.pair_cases(D.part_listing(spark, sf_dir))
+    return skipped
+
+
+@register("run_matrix")
+def q_run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model (distinct event types, name order) x every supplier case."""
+    models = sorted(
+        r["event_type"] for r in D.table(spark, sf_dir, "events").select("event_type").distinct().collect()
+    )
+    suppliers = D.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("suppliers.v1/"), F.col("s_name"), F.lit("_input.pdf")).alias("input_path")
+    )
+    cases = suppliers.select(K.case_id("input_path").alias("case_id"), "input_path")
+    matrix = CS.run_matrix(models, cases)
+    return matrix.select("model", "case_id", "run_index")
+
+
+@register("expected_output")
+def q_expected_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected-output document of every order from its line items."""
+    return CS.expected_output(D.truth_rows(spark, sf_dir), D.order_cases(spark, sf_dir))
+
+
+# --- names and labels (M10-M14) -----------------------------------------------
+
+
+@register("safe_names")
+def q_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10, M12, M13, M14 on part names and types."""
+    part = D.table(spark, sf_dir, "part")
+    report_name = F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), " ", "__")
+    model, source = K.report_key_parts(report_name)
+    return part.select(
+        "p_partkey",
+        K.safe_segment(F.concat_ws("/", "p_brand", "p_name")).alias("segment"),
+        K.safe_label(F.concat_ws(" ", "p_brand", "p_name")).alias("label"),
+        model.alias("model"),
+        source.alias("source"),
+        K.source_type(F.when(F.col("p_size") % 3 == 0, F.lit(".PNG")).otherwise(F.lit("xlsx"))).alias("source_type"),
+    )
+
+
+@register("url_labels")
+def q_url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11, M12, M13 and the T8 suffix rule on page URLs."""
+    pages = D.table(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.select(
+        "page_id",
+        K.case_id("url").alias("case_id"),
+        K.safe_segment("url").alias("segment"),
+        K.safe_label("url").alias("label"),
+        F.lower(K.path_suffix("url")).alias("suffix"),
+        K.filter_suffix(F.lit(" source-x "), F.col("url")).alias("filter_suffix"),
+    )

@@ -135,3 +135,53 @@ def split_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         all_runs.filter(F.col("run_index") < F.lit(mid)),
         all_runs.filter(F.col("run_index") >= F.lit(mid)),
     )
+
+
+# A file listing derived from ``part`` - one input per part,
+# extension by p_partkey % 8, outputs present by p_size % 4
+# (0: <prefix>_<ext>_output.csv, 1: <prefix>_output.csv, 2: both, 3: none).
+_PART_DIR_SQL = "concat('data/examples.', lower(replace(p_brand, '#', '_')))"
+_PART_PREFIX_SQL = "concat('ex', CAST(p_partkey AS STRING))"
+_PART_EXT_SQL = """CASE p_partkey % 8 WHEN 0 THEN 'csv' WHEN 1 THEN 'PDF' WHEN 2 THEN 'png' WHEN 3 THEN 'txt'
+  WHEN 4 THEN 'xlsx' WHEN 5 THEN 'gif' WHEN 6 THEN 'docx' ELSE 'Csv' END"""
+PART_LISTING_SQL = {
+    "input": f"concat({_PART_DIR_SQL}, '/', {_PART_PREFIX_SQL}, '_input.', {_PART_EXT_SQL})",
+    "out_ext": f"""CASE WHEN p_size % 4 IN (0, 2) THEN concat({_PART_DIR_SQL}, '/', {_PART_PREFIX_SQL}, '_',
+  lower({_PART_EXT_SQL}), '_output.csv') END""",
+    "out_plain": f"""CASE WHEN p_size % 4 IN (1, 2) THEN concat({_PART_DIR_SQL}, '/', {_PART_PREFIX_SQL},
+  '_output.csv') END""",
+}
+
+
+def part_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file listing (``path``) built from ``part``: inputs and outputs."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    paths = F.array(*[F.expr(PART_LISTING_SQL[k]) for k in ("input", "out_ext", "out_plain")])
+    return part.select(F.explode(paths).alias("path")).filter(F.col("path").isNotNull())
+
+
+# Ground-truth rows derived from ``lineitem`` (one case per order).
+TRUTH_ROW_SQL = {
+    "case_id": "concat('order_', CAST(l_orderkey AS STRING))",
+    "row_pos": "l_linenumber",
+    "unit": "l_returnflag",
+    "item": "concat('part_', CAST(l_partkey AS STRING))",
+    "num_type": "l_linestatus",
+    "status_type": "'qty'",
+    "value": "CAST(l_quantity AS BIGINT)",
+}
+ORDER_CASE_SQL = {
+    "case_id": "concat('order_', CAST(o_orderkey AS STRING))",
+    "input_path": """concat('orders/order_', CAST(o_orderkey AS STRING), '_input.',
+  CASE o_orderkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' ELSE 'PNG' END)""",
+}
+
+
+def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*[F.expr(v).alias(k) for k, v in TRUTH_ROW_SQL.items()])
+
+
+def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(*[F.expr(v).alias(k) for k, v in ORDER_CASE_SQL.items()])

@@ -355,3 +355,117 @@ SELECT CASE WHEN count(*) = 0 THEN 'no_data'
        CAST(count(*) AS BIGINT) AS categories,
        CAST(count(*) FILTER (WHERE score < 0.70) AS BIGINT) AS below_threshold
 FROM cs"""
+
+# --- cases (S7, J1-J3, F5, A14) -------------------------------------------------
+
+_LISTING = f"""
+listing AS (
+  SELECT path FROM (
+    SELECT {D.PART_LISTING_SQL['input']} AS path FROM part
+    UNION ALL SELECT {D.PART_LISTING_SQL['out_ext']} FROM part
+    UNION ALL SELECT {D.PART_LISTING_SQL['out_plain']} FROM part
+  ) WHERE path IS NOT NULL
+),
+inp AS (
+  SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
+         regexp_extract(path, '([^/]*)$', 1) AS name
+  FROM listing WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^.*_input\\..*$')
+),
+inp2 AS (
+  SELECT *, regexp_extract(name, '^.+?(\\.[^.]+)$', 1) AS suffix FROM inp
+),
+inp3 AS (
+  SELECT *, lower(suffix) AS ext,
+         regexp_replace(left(name, length(name) - length(suffix)), '_input$', '') AS prefix
+  FROM inp2
+),
+paired AS (
+  SELECT i.path, i.dir, i.prefix, i.ext, i.suffix,
+         coalesce(a.path, b.path) AS output_path
+  FROM inp3 i
+  LEFT JOIN (SELECT DISTINCT path FROM listing) a
+    ON a.path = i.dir || '/' || i.prefix || '_' || substr(i.ext, 2) || '_output.csv'
+  LEFT JOIN (SELECT DISTINCT path FROM listing) b
+    ON b.path = i.dir || '/' || i.prefix || '_output.csv'
+)"""
+
+_SUPPORTED = "('.csv', '.docx', '.pdf', '.png', '.txt', '.xlsx')"
+
+SQL["pair_cases"] = f"""{_with(_LISTING)}
+SELECT regexp_replace(regexp_extract(dir, '([^/]*)$', 1), '\\.', '_', 'g') || '__' || prefix AS case_id,
+       path AS input_path, output_path
+FROM paired WHERE ext IN {_SUPPORTED} AND output_path IS NOT NULL"""
+
+SQL["skipped_cases"] = f"""{_with(_LISTING)}
+SELECT path AS input_path, 'unsupported input format ' || suffix AS reason FROM paired WHERE ext NOT IN {_SUPPORTED}
+UNION ALL
+SELECT path AS input_path, 'matching *_output.csv file was not found' AS reason
+FROM paired WHERE ext IN {_SUPPORTED} AND output_path IS NULL"""
+
+SQL["run_matrix"] = """WITH
+m AS (SELECT model, row_number() OVER (ORDER BY model) - 1 AS mpos
+      FROM (SELECT DISTINCT event_type AS model FROM events)),
+c AS (SELECT 'suppliers_v1__' || s_name AS case_id, 'suppliers.v1/' || s_name || '_input.pdf' AS input_path FROM supplier),
+cp AS (SELECT case_id, row_number() OVER (ORDER BY input_path) - 1 AS cpos FROM c),
+n AS (SELECT count(*) AS n FROM supplier)
+SELECT m.model, cp.case_id, CAST(m.mpos * n.n + cp.cpos + 1 AS BIGINT) AS run_index
+FROM m CROSS JOIN cp CROSS JOIN n"""
+
+SQL["expected_output"] = f"""WITH
+tr AS (SELECT {', '.join(f"{v} AS {k}" for k, v in D.TRUTH_ROW_SQL.items())} FROM lineitem),
+cs AS (SELECT {', '.join(f"{v} AS {k}" for k, v in D.ORDER_CASE_SQL.items())} FROM orders),
+g AS (
+  SELECT case_id, count(*) AS n,
+         to_json(list(json_object('unit', unit, 'item', item, 'num_type', num_type,
+                                  'status_type', status_type, 'value', value)
+                      ORDER BY row_pos, unit, item, num_type, status_type, value)) AS rows_json
+  FROM tr GROUP BY case_id
+)
+SELECT cs.case_id, CAST(coalesce(g.n, 0) AS INTEGER) AS total_rows,
+       CAST(json_object(
+         'document_info', json_object(
+            'source_type', CASE WHEN lower(regexp_extract(input_path, '\\.([^./]+)$', 1)) IN ('pdf', 'png') THEN 'PDF' ELSE 'Excel' END,
+            'filename', regexp_extract(input_path, '([^/]*)$', 1)),
+         'summary', json_object('total_sheets', 1, 'total_rows', coalesce(g.n, 0), 'total_columns', 5),
+         'content_data', json_array(json_object(
+            'table_name', 'Sheet1',
+            'headers', json_array('unit', 'item', 'num_type', 'status_type', 'value'),
+            'rows', coalesce(g.rows_json, '[]'::JSON)))) AS VARCHAR) AS expected_output
+FROM cs LEFT JOIN g USING (case_id)"""
+
+# --- names and labels (M10-M14) -------------------------------------------------
+
+
+def _safe_segment(x: str) -> str:
+    return f"coalesce(nullif(trim(regexp_replace({x}, '[^A-Za-z0-9_.-]+', '_', 'g'), '._'), ''), 'unnamed')"
+
+
+def _safe_label(x: str) -> str:
+    return f"coalesce(nullif(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '_'), ''), 'all')"
+
+
+SQL["safe_names"] = f"""WITH p AS (
+  SELECT *, string_split(replace(concat_ws(' ', p_name, p_type), ' ', '__'), '__') AS parts FROM part
+)
+SELECT p_partkey,
+       {_safe_segment("concat_ws('/', p_brand, p_name)")} AS segment,
+       {_safe_label("concat_ws(' ', p_brand, p_name)")} AS label,
+       CASE WHEN len(parts) >= 2 THEN parts[1] END AS model,
+       CASE WHEN len(parts) >= 2 THEN parts[2] END AS source,
+       CASE WHEN p_size % 3 = 0 THEN 'PDF' ELSE 'Excel' END AS source_type
+FROM p"""
+
+SQL["url_labels"] = f"""WITH u AS (
+  SELECT page_id, url, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS name,
+         regexp_extract(url, '([^/]*)/[^/]*$', 1) AS parent FROM pages
+), u2 AS (
+  SELECT *, regexp_extract(name, '^.+?(\\.[^.]+)$', 1) AS suffix FROM u
+)
+SELECT page_id,
+       regexp_replace(parent, '\\.', '_', 'g') || '__' ||
+         regexp_replace(left(name, length(name) - length(suffix)), '_input$', '') AS case_id,
+       {_safe_segment('url')} AS segment,
+       {_safe_label('url')} AS label,
+       lower(suffix) AS suffix,
+       '_source-x_' || {_safe_label('url')} AS filter_suffix
+FROM u2"""
