@@ -299,3 +299,40 @@ def q_url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(K.path_suffix("url")).alias("suffix"),
         K.filter_suffix(F.lit(" source-x "), F.col("url")).alias("filter_suffix"),
     )
+
+
+# --- dataset contract (V1-V7) -------------------------------------------------
+
+from scorecraft.operators import validate as V  # noqa: E402
+
+
+@register("validate_rows")
+def q_validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V5: one violation per failing cell (quarantine split)."""
+    _, violations = V.validate(D.text_dataset(spark, sf_dir), D.DATASET_SCHEMA, ["key_conv", "key_turn"])
+    return violations
+
+
+@register("validated_rows")
+def q_validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 + V5 + V7: the valid rows, typed, schema columns in schema order."""
+    valid, _ = V.validate(D.text_dataset(spark, sf_dir), D.DATASET_SCHEMA, ["key_conv", "key_turn"])
+    return valid
+
+
+# --- reshape (N1, N2) ------------------------------------------------------------
+
+from scorecraft.operators import reshape as RS  # noqa: E402
+
+
+@register("to_long")
+def q_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier counts per nation and band, unpivoted, zeros dropped."""
+    wide = D.supplier_bands(spark, sf_dir)
+    return RS.to_long(wide, ["negative", "low", "high", "unused"], "n_name", F.lit("count"), "r_name")
+
+
+@register("check_document")
+def q_check_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract violations of one expected-output document per row."""
+    return RS.document_violations(D.document_jsons(spark, sf_dir))

@@ -185,3 +185,65 @@ def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.select(*[F.expr(v).alias(k) for k, v in ORDER_CASE_SQL.items()])
+
+
+# A text dataset derived from ``conversations`` (as a CSV
+# loader would give it) with type, required and blank-row cases.
+DATASET_SQL = {
+    "key_conv": "conv_id",
+    "key_turn": "turn",
+    "id": """CASE WHEN conv_id % 13 = 5 AND turn = 1 THEN ''
+  ELSE concat(CAST(conv_id AS STRING), CASE WHEN turn % 5 = 4 THEN '.5' ELSE '' END) END""",
+    "turn": "CASE WHEN conv_id % 13 = 5 AND turn = 1 THEN ' ' ELSE CAST(turn AS STRING) END",
+    "prompt": "CASE WHEN conv_id % 13 = 5 AND turn = 1 THEN NULL WHEN role = 'system' THEN '  ' ELSE text END",
+    "expected": "CASE WHEN conv_id % 13 = 5 AND turn = 1 THEN '' WHEN conv_id % 7 = 3 THEN NULL ELSE role END",
+}
+DATASET_SCHEMA = {"id": int, "turn": int, "prompt": str, "expected": str}
+
+
+def text_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(*[F.expr(v).alias(k) for k, v in DATASET_SQL.items()])
+
+
+# An expected-output document per row of ``documents`` with
+# one broken rule chosen by doc_id (7: blank filename, 5: unknown source
+# type, 11: object in summary, 13: fourth top key, 17: no tables,
+# 19: duplicate table, 23: duplicate header, 29: extra row key, 31: not JSON).
+_DOC_TABLE_SQL = """concat('{"table_name":"T_', lang, '","headers":["source","lang"',
+  CASE WHEN doc_id % 23 = 0 THEN ',"lang"' ELSE '' END,
+  '],"rows":[{"source":"', source, '","lang":"', lang, '"',
+  CASE WHEN doc_id % 29 = 0 THEN ',"x":"1"' ELSE '' END, '}]}')"""
+DOC_SQL = f"""concat('{{"document_info":{{"source_type":"',
+  CASE doc_id % 5 WHEN 0 THEN 'Word' WHEN 1 THEN 'PDF' ELSE 'Excel' END,
+  '","filename":"', CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE concat('doc', CAST(doc_id AS STRING), '.txt') END,
+  '"}},"summary":{{"total_sheets":1,"total_rows":', CAST(n_chars AS STRING),
+  CASE WHEN doc_id % 11 = 0 THEN ',"extra":{{"x":1}}' ELSE '' END,
+  '}},"content_data":[',
+  CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN concat({_DOC_TABLE_SQL}, ',', {_DOC_TABLE_SQL})
+       ELSE {_DOC_TABLE_SQL} END,
+  ']', CASE WHEN doc_id % 13 = 0 THEN ',"extra":1' ELSE '' END,
+  CASE WHEN doc_id % 31 = 0 THEN '' ELSE '}}' END)"""
+
+
+def document_jsons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.select("doc_id", F.expr(DOC_SQL).alias("doc"))
+
+
+def supplier_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide counts: suppliers per nation by balance band (a pivot)."""
+    sup = table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal")
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    band = (
+        F.when(F.col("s_acctbal") < 0, F.lit("negative"))
+        .when(F.col("s_acctbal") < 5000, F.lit("low"))
+        .otherwise(F.lit("high"))
+    )
+    joined = (
+        sup.join(nation, sup.s_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
+        .select("n_name", "r_name", band.alias("band"))
+    )
+    return joined.groupBy("n_name", "r_name").pivot("band", ["negative", "low", "high", "unused"]).count()

@@ -469,3 +469,89 @@ SELECT page_id,
        lower(suffix) AS suffix,
        '_source-x_' || {_safe_label('url')} AS filter_suffix
 FROM u2"""
+
+# --- dataset contract (V1-V7) ---------------------------------------------------
+
+_DATASET = f"""
+ds0 AS (SELECT {', '.join(f"{v} AS {k}" for k, v in D.DATASET_SQL.items())} FROM conversations),
+ds AS (
+  SELECT * FROM ds0
+  WHERE NOT (coalesce(trim(id), '') = '' AND coalesce(trim(turn), '') = ''
+             AND coalesce(trim(prompt), '') = '' AND coalesce(trim(expected), '') = '')
+),
+cells AS (
+  SELECT key_conv, key_turn, 'id' AS col, id AS v, 'int' AS kind FROM ds
+  UNION ALL SELECT key_conv, key_turn, 'turn', turn, 'int' FROM ds
+  UNION ALL SELECT key_conv, key_turn, 'prompt', prompt, 'str' FROM ds
+  UNION ALL SELECT key_conv, key_turn, 'expected', expected, 'str' FROM ds
+),
+bad AS (
+  SELECT key_conv, key_turn, col AS "column",
+         CASE WHEN v IS NULL OR trim(v) = '' THEN 'required'
+              WHEN kind = 'int' AND NOT regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$') THEN 'type' END AS rule,
+         v AS value
+  FROM cells
+)"""
+
+SQL["validate_rows"] = f"""{_with(_DATASET)}
+SELECT key_conv, key_turn, "column", rule, value FROM bad WHERE rule IS NOT NULL"""
+
+SQL["validated_rows"] = f"""{_with(_DATASET)}
+SELECT key_conv, key_turn, CAST(trim(id) AS BIGINT) AS id, CAST(trim(turn) AS BIGINT) AS turn, prompt, expected
+FROM ds WHERE NOT EXISTS (
+  SELECT 1 FROM bad WHERE bad.rule IS NOT NULL AND bad.key_conv = ds.key_conv AND bad.key_turn = ds.key_turn)"""
+
+# --- reshape (N1, N2) --------------------------------------------------------------
+
+SQL["to_long"] = """WITH j AS (
+  SELECT n.n_name, r.r_name,
+         CASE WHEN s.s_acctbal < 0 THEN 'negative' WHEN s.s_acctbal < 5000 THEN 'low' ELSE 'high' END AS band
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+)
+SELECT band AS unit, n_name AS item, 'count' AS num_type, r_name AS status_type, CAST(count(*) AS BIGINT) AS value
+FROM j GROUP BY band, n_name, r_name"""
+
+SQL["check_document"] = f"""WITH d0 AS (
+  SELECT doc_id, {D.DOC_SQL} AS doc FROM documents
+), d AS (
+  SELECT doc_id, doc, json_valid(doc) AND json_type(CASE WHEN json_valid(doc) THEN doc END) = 'OBJECT' AS ok FROM d0
+), p AS (
+  SELECT doc_id, ok,
+         CASE WHEN ok THEN len(json_keys(doc)) END AS n_top,
+         CASE WHEN ok THEN json_extract_string(doc, '$.document_info.source_type') END AS st,
+         CASE WHEN ok THEN json_extract_string(doc, '$.document_info.filename') END AS fn,
+         CASE WHEN ok AND json_type(doc, '$.summary') = 'OBJECT' THEN json_extract(doc, '$.summary') END AS summ,
+         CASE WHEN ok AND json_type(doc, '$.content_data') = 'ARRAY' THEN json_extract(doc, '$.content_data') END AS tabs
+  FROM d
+), q AS (
+  SELECT p.*,
+         CASE WHEN tabs IS NOT NULL THEN json_array_length(tabs) END AS n_tabs,
+         CASE WHEN tabs IS NOT NULL THEN json_extract_string(tabs, '$[*].table_name') END AS names,
+         CASE WHEN tabs IS NOT NULL THEN json_extract(tabs, '$[*]') END AS tlist
+  FROM p
+), r AS (
+  SELECT doc_id,
+         (NOT coalesce(ok, false)) OR n_top <> 3 AS top_keys,
+         NOT coalesce(st IN ('Excel', 'PDF'), false) AS source_type,
+         coalesce(trim(fn), '') = '' AS filename,
+         summ IS NULL OR len(list_filter(json_keys(summ), lambda k: json_type(summ, '$."' || k || '"') IN ('OBJECT', 'ARRAY'))) > 0
+           AS summary_scalars,
+         coalesce(n_tabs, 0) <= 0 AS content_empty,
+         coalesce(len(list_distinct(names)) <> len(names) OR list_contains(names, NULL), false) AS table_names_unique,
+         coalesce(len(list_filter(tlist, lambda t:
+             json_type(t, '$.headers') IS DISTINCT FROM 'ARRAY'
+             OR len(list_distinct(json_extract_string(t, '$.headers[*]'))) <> json_array_length(t, '$.headers')
+             OR len(list_filter(json_extract_string(t, '$.headers[*]'), lambda h: h IS NULL OR trim(h) = '')) > 0)) > 0, false)
+           AS headers_unique,
+         coalesce(len(list_filter(tlist, lambda t:
+             json_type(t, '$.rows') IS DISTINCT FROM 'ARRAY'
+             OR len(list_filter(json_extract(t, '$.rows[*]'), lambda rw:
+                  len(json_keys(rw)) <> len(list_distinct(json_extract_string(t, '$.headers[*]')))
+                  OR len(list_filter(json_keys(rw), lambda k: NOT list_contains(json_extract_string(t, '$.headers[*]'), k))) > 0)) > 0)) > 0, false)
+           AS row_keys
+  FROM q
+)
+SELECT doc_id, rule FROM r
+UNPIVOT (bad FOR rule IN (top_keys, source_type, filename, summary_scalars, content_empty,
+                          table_names_unique, headers_unique, row_keys))
+WHERE bad"""
