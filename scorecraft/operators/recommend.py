@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from scorecraft.functions import keys as K
@@ -110,7 +111,9 @@ def analyzed_recommendations(
                     errors.append(type(exc).__name__)
             yield pdf.assign(line=texts, error=errors)
 
-    schema = ranked.schema.add("line", "string").add("error", "string")
+    schema = StructType(
+        list(ranked.schema.fields) + [StructField("line", StringType()), StructField("error", StringType())]
+    )
     analyzed = ranked.mapInPandas(run, schema)
     # One row per low category reaches this window (a small, bounded set).
     flagged = analyzed.withColumn(
