@@ -336,3 +336,34 @@ def q_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_check_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract violations of one expected-output document per row."""
     return RS.document_violations(D.document_jsons(spark, sf_dir))
+
+
+# --- streaming (T-1, T-2) -------------------------------------------------------
+
+from scorecraft.streaming import evaluation_log as T  # noqa: E402
+
+
+@register("stream_run_counters")
+def q_stream_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-1: orders streamed as recorded outputs, scored on arrival, running
+    per-run counters in the state store; result = A1 over the whole stream."""
+    outputs = D.evaluations_of(D.stream_table(spark, sf_dir, "orders")).select(
+        "model", "case_id", "row_index", "ground_truth",
+        F.col("llm_output").alias("output"),
+        F.when(F.col("error_kind").isNotNull(), F.lit("error")).alias("error_kind"),
+        "error_message",
+    )
+    _, counters_path = T.run_evaluation_log(outputs)
+    return rounded(T.counters_summary(spark.read.parquet(counters_path)))
+
+
+@register("stream_model_merge")
+def q_stream_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-2: the second half of the runs streamed into the model summary of
+    the first half (foreachBatch, batch-id versioned state)."""
+    mid = D.split_point(spark, sf_dir)
+    base_runs, _ = D.split_runs(spark, sf_dir)
+    base = C.model_summary(base_runs)
+    stream = D.runs_of(D.stream_table(spark, sf_dir, "events")).filter(F.col("run_index") >= F.lit(mid))
+    state = T.merge_stream_into_summary(stream, base)
+    return rounded(T.latest_state(spark, state))

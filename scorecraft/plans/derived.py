@@ -80,6 +80,11 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spread(
         table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     )
+    return evaluations_of(orders)
+
+
+def evaluations_of(orders: DataFrame) -> DataFrame:
+    """The evaluation derivation on any orders DataFrame (batch or stream)."""
     with_info = orders.withColumn("doc_info", F.expr(_DOC_INFO_SQL))
     return with_info.select(
         F.col("o_orderkey").alias("eval_id"),
@@ -95,6 +100,17 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream (its folder, this table's file only)."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+
+
 # Run status by event_id % 10.
 _STATUS_SQL = """CASE event_id % 10
   WHEN 7 THEN 'aborted_due_to_auth'
@@ -106,7 +122,12 @@ _STATUS_SQL = """CASE event_id % 10
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch results (D8): ``model, case_id, status, average_score,
     elapsed_seconds, run_index`` - one per event, whole table."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
+    """The run derivation on any events DataFrame (batch or stream)."""
+    events = events.select("event_id", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.expr(_STATUS_SQL)
     score = F.least(F.floor(k / 10), F.lit(8)) / F.lit(8.0)

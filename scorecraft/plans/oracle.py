@@ -555,3 +555,12 @@ SELECT doc_id, rule FROM r
 UNPIVOT (bad FOR rule IN (top_keys, source_type, filename, summary_scalars, content_empty,
                           table_names_unique, headers_unique, row_keys))
 WHERE bad"""
+
+# --- streaming (T-1, T-2): final states equal the batch results ---------------
+
+SQL["stream_run_counters"] = SQL["run_summary"]
+
+SQL["stream_model_merge"] = f"""{_with(RUNS_CTE, _SPLIT, _case_rows('base_runs', 'base_cases'), _case_rows('new_runs', 'new_cases'),
+                                      _model_rows('base_runs', 'base_models'), _model_rows('new_runs', 'new_models'), _MERGED)}
+SELECT model, round(average_score, 6) AS average_score, round(average_seconds, 6) AS average_seconds,
+       total_runs, completed_runs FROM merged_models"""
