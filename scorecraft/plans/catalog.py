@@ -367,3 +367,21 @@ def q_stream_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = D.runs_of(D.stream_table(spark, sf_dir, "events")).filter(F.col("run_index") >= F.lit(mid))
     state = T.merge_stream_into_summary(stream, base)
     return rounded(T.latest_state(spark, state))
+
+
+# --- prompts from source texts (M14, M16) ----------------------------------------
+
+# Fixed value: the instruction placed before every source text.
+INSTRUCTION = "Extract the tables of the source document as JSON with keys document_info, summary, content_data."
+
+
+@register("build_prompts")
+def q_build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M16 + M14: one prompt per document over its whole text."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    file_name = F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select(
+        "doc_id",
+        K.source_type(K.path_suffix(file_name)).alias("source_type"),
+        K.build_prompt(INSTRUCTION, file_name, F.col("text")).alias("prompt"),
+    )

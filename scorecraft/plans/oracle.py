@@ -564,3 +564,13 @@ SQL["stream_model_merge"] = f"""{_with(RUNS_CTE, _SPLIT, _case_rows('base_runs',
                                       _model_rows('base_runs', 'base_models'), _model_rows('new_runs', 'new_models'), _MERGED)}
 SELECT model, round(average_score, 6) AS average_score, round(average_seconds, 6) AS average_seconds,
        total_runs, completed_runs FROM merged_models"""
+
+# --- prompts (M14, M16) -----------------------------------------------------------
+
+SQL["build_prompts"] = """SELECT doc_id, 'Excel' AS source_type,
+  regexp_replace(
+    concat(chr(10), 'Extract the tables of the source document as JSON with keys document_info, summary, content_data.',
+           chr(10), chr(10), 'SOURCE FILENAME:', chr(10), source, '_', CAST(doc_id AS VARCHAR), '.txt',
+           chr(10), chr(10), 'SOURCE:', chr(10), text, chr(10)),
+    '^\\s+|\\s+$', '', 'g') AS prompt
+FROM documents"""
