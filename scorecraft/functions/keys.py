@@ -26,9 +26,9 @@ def py_strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """NULL or whitespace-only."""
+    """NULL or whitespace-only (Unicode whitespace, as ``str.strip``)."""
     c = _col(c)
-    return c.isNull() | (py_strip(c) == "")
+    return c.isNull() | c.rlike(r"(?U)^\s*$")
 
 
 def normalize_category(c: Column | str) -> Column:
@@ -39,15 +39,24 @@ def normalize_category(c: Column | str) -> Column:
 
 def path_name(path: Column | str) -> Column:
     """Last path component (``PurePosixPath.name``)."""
-    return F.regexp_extract(F.regexp_replace(_col(path), "/+$", ""), r"([^/]*)$", 1)
+    p = _col(path)
+    trimmed = F.when(p.endswith("/"), F.regexp_replace(p, "/+$", "")).otherwise(p)
+    return F.substring_index(trimmed, "/", -1)
+
+
+def _suffix_of_name(name: Column) -> Column:
+    after = F.substring_index(name, ".", -1)
+    dot = F.length(name) - F.length(after)  # 1-based position of the last dot, 0 if none
+    return F.when((dot > 1) & (F.length(after) > 0), F.concat(F.lit("."), after)).otherwise(F.lit(""))
 
 
 def path_suffix(path: Column | str) -> Column:
     """``PurePath.suffix`` of the last component: '.ext' or '' (T8).
 
     A name ending in a dot or starting with its only dot has no suffix.
+    Plain string functions (no regex), so it stays in generated code.
     """
-    return F.regexp_extract(path_name(path), r"^.+?(\.[^.]+)$", 1)
+    return _suffix_of_name(path_name(path))
 
 
 def path_stem(path: Column | str) -> Column:
@@ -73,38 +82,55 @@ def category_from_object(obj: Column | str) -> Column:
 
 
 def _category_from_info(info: Column) -> Column:
+    """Single-expression M9 (for one-off use; :func:`with_category` stages
+    the same rules so each piece is computed once per row)."""
     filename_v = F.try_element_at(info, F.lit("filename"))
-    filename = F.when(
-        F.schema_of_variant(filename_v) == "STRING", F.variant_get(filename_v, "$", "string")
-    )
-    ext = F.regexp_replace(
-        F.lower(F.regexp_replace(path_suffix(filename), r"^\.+", "")), r"[^\p{L}\p{N}_-]", ""
-    )
-    ext = F.when(~is_blank(filename), ext)
+    filename = F.when(F.schema_of_variant(filename_v) == "STRING", F.variant_get(filename_v, "$", "string"))
     source_v = F.try_element_at(info, F.lit("source_type"))
-    source_kind = F.schema_of_variant(source_v)
+    return _category_rule(info, path_name(filename), filename, source_v, F.schema_of_variant(source_v))
+
+
+def _category_rule(info: Column, name: Column, filename: Column, source_v: Column, kind: Column) -> Column:
+    after = F.substring_index(name, ".", -1)
+    dot = F.length(name) - F.length(after)
+    suffix = F.when((dot > 1) & (F.length(after) > 0), after).otherwise(F.lit(""))
+    ext = F.regexp_replace(F.lower(suffix), r"[^\p{L}\p{N}_-]", "")
+    ext = F.when(~is_blank(filename), ext)
     source_text = (
         F.when(source_v.isNull(), F.lit(UNKNOWN))
-        .when(F.is_variant_null(source_v), F.lit("None"))
-        .when(source_kind == "STRING", F.variant_get(source_v, "$", "string"))
-        .when(source_kind == "BOOLEAN",
-              F.when(F.variant_get(source_v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+        .when(kind == "VOID", F.lit("None"))
+        .when(kind == "STRING", F.variant_get(source_v, "$", "string"))
+        .when(kind == "BOOLEAN", F.when(F.variant_get(source_v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
         .otherwise(F.to_json(source_v))
     )
     fallback = F.coalesce(F.nullif(py_strip(source_text), F.lit("")), F.lit(UNKNOWN))
-    return F.when(info.isNull(), F.lit(UNKNOWN)).otherwise(
-        F.coalesce(F.nullif(ext, F.lit("")), fallback)
-    )
+    return F.when(info.isNull(), F.lit(UNKNOWN)).otherwise(F.coalesce(F.nullif(ext, F.lit("")), fallback))
 
 
 def with_category(df: DataFrame, obj: str, out: str = "category") -> DataFrame:
-    """Add M9 ``out`` from the parsed truth column ``obj``; ``document_info``
-    is extracted once per row in its own projection."""
-    tmp = f"_{out}_info"
+    """Add M9 ``out`` from the parsed truth column ``obj``.
+
+    Staged projections: ``document_info``, the raw ``filename`` /
+    ``source_type`` values and the file name text each get their own column
+    (referenced more than once, so they stay materialised); one nested
+    expression would re-derive them in every branch.
+    """
+    info, fn_v, src_v, fn, kind, name = (f"_{out}_{x}" for x in ("info", "fnv", "srcv", "fn", "kind", "name"))
     staged = df.withColumn(
-        tmp, F.try_variant_get(F.try_element_at(F.col(obj), F.lit("document_info")), "$", "map<string,variant>")
+        info, F.try_variant_get(F.try_element_at(F.col(obj), F.lit("document_info")), "$", "map<string,variant>")
+    )
+    staged = staged.withColumns(
+        {fn_v: F.try_element_at(F.col(info), F.lit("filename")), src_v: F.try_element_at(F.col(info), F.lit("source_type"))}
+    )
+    staged = staged.withColumns(
+        {
+            fn: F.when(F.schema_of_variant(F.col(fn_v)) == "STRING", F.variant_get(F.col(fn_v), "$", "string")),
+            kind: F.schema_of_variant(F.col(src_v)),
+        }
     )
-    return staged.withColumn(out, _category_from_info(F.col(tmp))).drop(tmp)
+    staged = staged.withColumn(name, path_name(F.col(fn)))
+    result = _category_rule(F.col(info), F.col(name), F.col(fn), F.col(src_v), F.col(kind))
+    return staged.withColumn(out, result).drop(info, fn_v, src_v, fn, kind, name)
 
 
 def category_from_truth(truth_text: Column | str) -> Column:
