@@ -85,12 +85,19 @@ def run_evaluation_log(
         .trigger(**trigger)
         .start()
     )
+    if available_now:
+        q1.awaitTermination()
+    # The counters read the scored report store as a second stream, so each
+    # output text is parsed once (in q1). The folder must exist before a file
+    # stream can start on it (q1 may not have committed a batch yet).
+    _mkdirs(spark, report_path)
+    scored = spark.readStream.schema(reports.schema).parquet(report_path)
 
     def write_counters(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(counters_path)
 
     q2 = (
-        running_counters(reports, run_keys)
+        running_counters(scored, run_keys)
         .writeStream.outputMode("complete")
         .option("checkpointLocation", counters_path + "._checkpoint")
         .foreachBatch(write_counters)
@@ -98,7 +105,6 @@ def run_evaluation_log(
         .start()
     )
     if available_now:
-        q1.awaitTermination()
         q2.awaitTermination()
     return report_path, counters_path
 
@@ -191,6 +197,11 @@ def merge_stream_into_summary(
     return state_path
 
 
+def _mkdirs(spark: SparkSession, path: str) -> None:
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hp)
+
+
 def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     jvm = spark._jvm
     hp = jvm.org.apache.hadoop.fs.Path(path)
