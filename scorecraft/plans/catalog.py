@@ -251,9 +251,10 @@ def q_skipped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("run_matrix")
 def q_run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model (distinct event types, name order) x every supplier case."""
-    models = sorted(
-        r["event_type"] for r in D.table(spark, sf_dir, "events").select("event_type").distinct().collect()
-    )
+    # The model list is a small parameter: pull at most one more than the
+    # bound run_matrix accepts, so an unbounded column never reaches the driver.
+    distinct_types = D.table(spark, sf_dir, "events").select("event_type").distinct()
+    models = sorted(r["event_type"] for r in distinct_types.limit(CS.MAX_MODELS + 1).collect())
     suppliers = D.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("suppliers.v1/"), F.col("s_name"), F.lit("_input.pdf")).alias("input_path")
     )
@@ -353,7 +354,8 @@ def q_stream_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("error_kind").isNotNull(), F.lit("error")).alias("error_kind"),
         "error_message",
     )
-    _, counters_path = T.run_evaluation_log(outputs)
+    # one table file per trigger: spread each micro-batch over the cores
+    _, counters_path = T.run_evaluation_log(outputs, spread_to=spark.sparkContext.defaultParallelism)
     return rounded(T.counters_summary(spark.read.parquet(counters_path)))
 
 

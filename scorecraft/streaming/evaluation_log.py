@@ -68,13 +68,20 @@ def run_evaluation_log(
     counters_path: str | None = None,
     run_keys: Sequence[str] = ("model", "case_id"),
     available_now: bool = True,
+    spread_to: int | None = None,
 ) -> tuple[str, str]:
     """T-1: start (and, with ``available_now``, drain) the two streaming
     queries: append report rows to Parquet, keep running counters (complete
-    output written per batch). Returns ``(report_path, counters_path)``."""
+    output written per batch). Returns ``(report_path, counters_path)``.
+
+    ``spread_to`` round-robins every micro-batch over that many tasks before
+    scoring; use it when a trigger brings few, unsplittable files (a stream
+    of many files per trigger is already spread by its splits)."""
     spark = outputs_stream.sparkSession
     report_path = report_path or _scratch(spark, "reports")
     counters_path = counters_path or _scratch(spark, "counters")
+    if spread_to:
+        outputs_stream = outputs_stream.repartition(spread_to)
     reports = score_rows_stateless(outputs_stream)
     trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
     q1 = (
