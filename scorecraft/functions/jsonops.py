@@ -86,14 +86,24 @@ def _canon_token(t: Column) -> Column:
 
 
 def canonical_text(json_text: Column) -> Column:
-    """Canonical text of a ``to_json`` rendering (numbers unified)."""
+    """Canonical text of a ``to_json`` rendering (numbers unified).
+
+    A scalar renders as one token, so only objects and arrays are split
+    into tokens; a scalar goes through the token rule directly.
+    """
     tokens = F.regexp_extract_all(json_text, F.lit(_TOKEN_RE), 0)
-    return F.array_join(F.transform(tokens, _canon_token), "")
+    nested = json_text.startswith("{") | json_text.startswith("[")
+    return F.when(nested, F.array_join(F.transform(tokens, _canon_token), "")).otherwise(_canon_token(json_text))
 
 
 def canonical_map(obj: Column) -> Column:
-    """``map<string, variant>`` -> ``map<string, string>`` of canonical values."""
-    return F.transform_values(obj, lambda _k, v: canonical_text(F.to_json(v)))
+    """``map<string, variant>`` -> ``map<string, string>`` of canonical values.
+
+    Two passes: the first renders each value once (``to_json``), the second
+    canonicalises the rendered text, referenced there as a lambda variable.
+    """
+    rendered = F.transform_values(obj, lambda _k, v: F.to_json(v))
+    return F.transform_values(rendered, lambda _k, t: canonical_text(t))
 
 
 def canonical_object(text: Column | str) -> Column:
