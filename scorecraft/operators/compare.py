@@ -131,6 +131,31 @@ def overall_winners(models: DataFrame, order: str = "first_run") -> DataFrame:
     )
 
 
+def model_and_winner_rows(models: DataFrame, order: str = "first_run") -> DataFrame:
+    """A5 + A6 in the D9 layout from one pass over the model summary: every
+    model row, plus the best-average and fastest rows (the same values under
+    their winner section), so the summary is not computed twice.
+
+    The winners are picked with ``min_by`` over a window holding all model
+    rows: one row per model, bounded by the model list (never by runs).
+    """
+    score, seconds, tie = F.col("average_score"), F.col("average_seconds"), F.col(order)
+    everyone = Window.partitionBy()
+    tagged = models.select(
+        "*",
+        F.min_by(F.col("model"), best_key(score, seconds, tie)).over(everyone).alias("_best"),
+        F.min_by(F.col("model"), fastest_key(score, seconds, tie)).over(everyone).alias("_fast"),
+    )
+    sections = F.array_compact(
+        F.array(
+            F.lit(MODEL_SECTION),
+            F.when(F.col("model").eqNullSafe(F.col("_best")), F.lit(BEST_SECTION)),
+            F.when(F.col("model").eqNullSafe(F.col("_fast")), F.lit(FASTEST_SECTION)),
+        )
+    )
+    return to_report_layout(tagged.select("*", F.explode(sections).alias("section")))
+
+
 def to_report_layout(df: DataFrame, section: str | None = None) -> DataFrame:
     """Project a section onto the D9 columns; unused cells are NULL."""
     cols = []
@@ -154,11 +179,9 @@ def union_sections(*sections: DataFrame) -> DataFrame:
 
 def overall_report(runs: DataFrame) -> DataFrame:
     """Case comparison + model summary + winners in the D9 layout."""
-    models = model_summary(runs)
     return union_sections(
         to_report_layout(case_comparison(runs), CASE_SECTION),
-        to_report_layout(models, MODEL_SECTION),
-        to_report_layout(overall_winners(models)),
+        model_and_winner_rows(model_summary(runs)),
     )
 
 
@@ -237,11 +260,7 @@ def merge_overall(base_report: DataFrame | None, runs: DataFrame) -> DataFrame:
     ).select("model", "average_score", "average_seconds", "total_runs", "completed_runs")
     cases = merge_case_rows(base_cases, case_comparison(runs))
     models = merge_model_summaries(base_models, model_summary(runs).drop("first_run"))
-    return union_sections(
-        to_report_layout(cases, CASE_SECTION),
-        to_report_layout(models, MODEL_SECTION),
-        to_report_layout(overall_winners(models, order="model")),
-    )
+    return union_sections(to_report_layout(cases, CASE_SECTION), model_and_winner_rows(models, order="model"))
 
 
 def report_order(report: DataFrame) -> DataFrame:
