@@ -87,16 +87,21 @@ def case_comparison(runs: DataFrame) -> DataFrame:
     )
 
 
-def model_summary(runs: DataFrame) -> DataFrame:
-    """A5: per model mean score and seconds, total and completed runs, and
-    ``first_run`` (first appearance, the tie order for A6)."""
-    return runs.groupBy("model").agg(
+def model_summary_aggs() -> list[Column]:
+    """The A5 aggregates, for a ``groupBy("model")`` of runs."""
+    return [
         F.avg("average_score").alias("average_score"),
         F.avg("elapsed_seconds").alias("average_seconds"),
         F.count(F.lit(1)).alias("total_runs"),
         _completed().alias("completed_runs"),
         F.min("run_index").alias("first_run"),
-    )
+    ]
+
+
+def model_summary(runs: DataFrame) -> DataFrame:
+    """A5: per model mean score and seconds, total and completed runs, and
+    ``first_run`` (first appearance, the tie order for A6)."""
+    return runs.groupBy("model").agg(*model_summary_aggs())
 
 
 def overall_winners(models: DataFrame, order: str = "first_run") -> DataFrame:
@@ -139,6 +144,17 @@ def model_and_winner_rows(models: DataFrame, order: str = "first_run") -> DataFr
     The winners are picked with ``min_by`` over a window holding all model
     rows: one row per model, bounded by the model list (never by runs).
     """
+    return to_report_layout(_with_sections(models, order, with_model_row=True))
+
+
+def winner_rows(models: DataFrame, order: str = "first_run") -> DataFrame:
+    """A6 as whole rows: the best-average and fastest model rows with every
+    column of ``models`` (extra columns such as source scores kept) and a
+    ``section`` column; picked over a window of the model rows (bounded)."""
+    return _with_sections(models, order, with_model_row=False)
+
+
+def _with_sections(models: DataFrame, order: str, with_model_row: bool) -> DataFrame:
     score, seconds, tie = F.col("average_score"), F.col("average_seconds"), F.col(order)
     everyone = Window.partitionBy()
     tagged = models.select(
@@ -148,12 +164,12 @@ def model_and_winner_rows(models: DataFrame, order: str = "first_run") -> DataFr
     )
     sections = F.array_compact(
         F.array(
-            F.lit(MODEL_SECTION),
+            *([F.lit(MODEL_SECTION)] if with_model_row else []),
             F.when(F.col("model").eqNullSafe(F.col("_best")), F.lit(BEST_SECTION)),
             F.when(F.col("model").eqNullSafe(F.col("_fast")), F.lit(FASTEST_SECTION)),
         )
     )
-    return to_report_layout(tagged.select("*", F.explode(sections).alias("section")))
+    return tagged.select("*", F.explode(sections).alias("section")).drop("_best", "_fast")
 
 
 def to_report_layout(df: DataFrame, section: str | None = None) -> DataFrame:

@@ -43,9 +43,12 @@ def evaluate(
     outputs: DataFrame,
     run_keys: Sequence[str] = RUN_KEYS,
     truth: str = "ground_truth",
+    aborts: DataFrame | None = None,
 ) -> DataFrame:
     """U1 + M1 + M2: one report row per (run, dataset row) up to the run's
     first authentication failure (that row and later ones are not written).
+    ``aborts`` (from :func:`first_auth_failure`) may be passed when the
+    caller needs it too, so both uses share one plan.
 
     ``dataset``: ``(case_id, row_index, <truth>)`` (+ any columns);
     ``outputs``: recorded outputs keyed by ``run_keys + row_index``. When
@@ -59,7 +62,8 @@ def evaluate(
     else:
         case_keys = [k for k in run_keys if k in dataset.columns]
         rows = outputs.join(dataset.select(*case_keys, "row_index", truth), [*case_keys, "row_index"], "left")
-    aborts = first_auth_failure(outputs, run_keys)
+    if aborts is None:
+        aborts = first_auth_failure(outputs, run_keys)
     rows = rows.join(aborts, list(run_keys), "left")
     rows = rows.filter(F.col("abort_at").isNull() | (F.col("row_index") < F.col("abort_at")))
     rows = J.with_canonical_object(rows, truth, "_truth_raw")
@@ -115,16 +119,33 @@ def run_summary_with_abort(
     (0.0 when none) - even when the very first row failed.
     """
     aborts = first_auth_failure(outputs, run_keys)
-    reports = evaluate(dataset, outputs, run_keys, truth)
-    agg = reports.groupBy(*run_keys).agg(
+    reports = evaluate(dataset, outputs, run_keys, truth, aborts=aborts)
+    return summary_from_totals(aborts, run_totals(reports, run_keys), run_keys)
+
+
+def run_totals(reports: DataFrame, run_keys: Sequence[str] = RUN_KEYS, extra_aggs: Sequence = ()) -> DataFrame:
+    """Per run partial sums of the report rows (``_n, _ok, _sum, _ok_sum``)
+    plus any ``extra_aggs``, in one partial aggregate."""
+    return reports.groupBy(*run_keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("status") == COMPLETED).alias("_ok"),
         F.sum("score").alias("_sum"),
         F.sum(F.when(F.col("status") == COMPLETED, F.col("score"))).alias("_ok_sum"),
+        *extra_aggs,
     )
+
+
+def summary_from_totals(
+    aborts: DataFrame,
+    totals: DataFrame,
+    run_keys: Sequence[str] = RUN_KEYS,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """A1 + A2 from :func:`run_totals` and the per-run abort table; ``keep``
+    carries extra total columns through (NULL for runs without rows)."""
     # Runs whose first row aborted have no report rows: keep them via the
     # per-run abort table (one row per run).
-    full = aborts.join(agg, list(run_keys), "left")
+    full = aborts.join(totals, list(run_keys), "left")
     aborted = F.col("abort_at").isNotNull()
     ok = F.coalesce(F.col("_ok"), F.lit(0))
     return full.select(
@@ -135,6 +156,7 @@ def run_summary_with_abort(
         F.when(aborted, F.when(ok > 0, F.col("_ok_sum") / ok).otherwise(F.lit(0.0)))
         .otherwise(F.col("_sum") / F.col("_n"))
         .alias("average_score"),
+        *keep,
     )
 
 

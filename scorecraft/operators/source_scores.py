@@ -59,14 +59,51 @@ def add_source_scores(model_summary: DataFrame, reports: DataFrame, sources: Seq
     sources = list(dict.fromkeys(sources))
     rows = has_model(completed_with_output(sources_in(reports, sources)))
     pivoted = rows.groupBy("model").pivot("source", sources).agg(F.avg(F.col("score").cast("double")))
-    base = model_summary.drop(*[s for s in sources if s in model_summary.columns])
-    return base.join(pivoted, "model", "left")
+    return join_source_columns(model_summary, pivoted)
+
+
+def join_source_columns(base: DataFrame, scores: DataFrame) -> DataFrame:
+    """J7 join: ``scores`` (``model`` + one column per source, one row per
+    model) added to ``base``; same-named columns of ``base`` are replaced."""
+    cols = [c for c in scores.columns if c != "model"]
+    return base.drop(*[c for c in cols if c in base.columns]).join(scores, "model", "left")
+
+
+def blank_fastest_row(winners: DataFrame, source: str) -> DataFrame:
+    """The fastest-runtime winner row keeps no source score."""
+    return winners.withColumn(
+        source, F.when(F.col("section") == FASTEST_SECTION, F.lit(None).cast("double")).otherwise(F.col(source))
+    )
 
 
 def add_source_score_to_winners(winners: DataFrame, reports: DataFrame, source: str) -> DataFrame:
     """Like J7 for the winner rows, but the fastest-runtime row stays
     NULL."""
-    joined = add_source_score(winners, reports, source)
-    return joined.withColumn(
-        source, F.when(F.col("section") == FASTEST_SECTION, F.lit(None).cast("double")).otherwise(F.col(source))
-    )
+    return blank_fastest_row(add_source_score(winners, reports, source), source)
+
+
+# --- the same columns from per-run sums (score each report row once) ---------
+
+
+def f1_run_aggs(score: str = "score") -> list:
+    """Aggregates to add to a per-run ``groupBy`` of report rows: the sum
+    and count of the F1 rows (completed, non-blank output) of the run."""
+    keep = (F.col("status") == COMPLETED) & ~K.is_blank("llm_output")
+    return [
+        F.sum(F.when(keep, F.col(score).cast("double"))).alias("_f1_sum"),
+        F.count_if(keep).alias("_f1_n"),
+    ]
+
+
+def source_mean_aggs(sources: Sequence[str]) -> list:
+    """A9 for several sources as aggregates over per-run F1 sums (runs keyed
+    by model and source), for a ``groupBy("model")`` of the runs: one column
+    per source, the mean over all F1 rows of that model and source (NULL =
+    no such row; F6: none for a blank model). Sums of sums, so this equals
+    the row-level mean, and it shares the aggregate of the model summary."""
+
+    def mean(s: str):
+        here = (F.col("source") == s) & ~K.is_blank("model")
+        return F.try_divide(F.sum(F.when(here, F.col("_f1_sum"))), F.sum(F.when(here, F.col("_f1_n"))))
+
+    return [mean(s).alias(s) for s in dict.fromkeys(sources)]

@@ -178,15 +178,29 @@ def _eval_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.evaluate(None, _outputs(spark, sf_dir), run_keys=("model", "case_id", "source"))
 
 
-def _eval_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch results (D8) of the evaluation runs; seconds stand in as the
-    number of rows attempted."""
-    summary = S.run_summary_with_abort(_outputs(spark, sf_dir), None)
-    return summary.select(
-        "model", "case_id", "status", "average_score",
+def _eval_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-run summary (A1 + A2) of the recorded outputs with the runs' F1
+    sums carried along: each output is scored once, and both the model
+    summary and the per-source columns are built from these run rows."""
+    outputs = _outputs(spark, sf_dir)
+    keys = ("model", "case_id", "source")
+    aborts = S.first_auth_failure(outputs, keys)
+    reports = S.evaluate(None, outputs, keys, aborts=aborts)
+    totals = S.run_totals(reports, keys, extra_aggs=SS.f1_run_aggs())
+    return S.summary_from_totals(aborts, totals, keys, keep=("_f1_sum", "_f1_n"))
+
+
+def _models_with_sources(spark: SparkSession, sf_dir: str, sources: list[str]) -> DataFrame:
+    """A5 over the batch results (D8) of the evaluation runs - seconds stand
+    in as the number of rows attempted - with the A9 source columns, all in
+    one aggregate of the run rows."""
+    per_run = _eval_run_totals(spark, sf_dir)
+    runs = per_run.select(
+        "model", "case_id", "source", "status", "average_score", "_f1_sum", "_f1_n",
         F.col("total_rows").cast("double").alias("elapsed_seconds"),
         F.col("total_rows").alias("run_index"),
     )
+    return runs.groupBy("model").agg(*C.model_summary_aggs(), *SS.source_mean_aggs(sources))
 
 
 @register("source_scores")
@@ -197,16 +211,18 @@ def q_source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("source_column")
 def q_source_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model summary with one score column per source (pivot)."""
-    models = C.model_summary(_eval_runs(spark, sf_dir)).drop("first_run")
-    return rounded(SS.add_source_scores(models, _eval_reports(spark, sf_dir), PRIORITIES))
+    """Model summary with one score column per source."""
+    return rounded(_models_with_sources(spark, sf_dir, PRIORITIES).drop("first_run"))
 
 
 @register("source_winners")
 def q_source_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winner rows with the focus source's score; fastest row blank."""
-    winners = C.overall_winners(C.model_summary(_eval_runs(spark, sf_dir)))
-    return rounded(SS.add_source_score_to_winners(winners, _eval_reports(spark, sf_dir), FOCUS_SOURCE))
+    models = _models_with_sources(spark, sf_dir, [FOCUS_SOURCE])
+    winners = C.winner_rows(models).select(
+        "section", "model", "average_score", "average_seconds", "total_runs", "completed_runs", FOCUS_SOURCE
+    )
+    return rounded(SS.blank_fastest_row(winners, FOCUS_SOURCE))
 
 
 # --- recommendations (R2, X1, X2, X4) ----------------------------------------
