@@ -71,3 +71,18 @@ def test_merge_of_halves_equals_whole_model_summary(spark):
 def test_merge_into_no_base_is_the_fresh_report(spark):
     runs = D.runs(spark, SF_SMALL)
     assert _rows(C.merge_overall(None, runs)) == _rows(C.overall_report(runs))
+
+
+def test_winner_rows_keep_extra_columns_and_tie_order(spark):
+    models = spark.createDataFrame(
+        [("b", 0.5, 2.0, 3, 3, 2, 0.9), ("a", 0.5, 2.0, 3, 3, 1, 0.4), ("c", 0.2, 1.0, 1, 1, 3, None)],
+        "model string, average_score double, average_seconds double, total_runs long, "
+        "completed_runs long, first_run long, src double",
+    )
+    got = {r.section: r for r in C.winner_rows(models).collect()}
+    # a and b tie fully on score and seconds: the first run decides (a)
+    assert got[C.BEST_SECTION].model == "a" and got[C.BEST_SECTION].src == 0.4
+    assert got[C.FASTEST_SECTION].model == "c" and got[C.FASTEST_SECTION].src is None
+    report = C.model_and_winner_rows(models)
+    assert report.filter(F.col("section") == C.MODEL_SECTION).count() == 3
+    assert C.model_and_winner_rows(models.limit(0)).count() == 0
