@@ -86,3 +86,11 @@ def test_winner_rows_keep_extra_columns_and_tie_order(spark):
     report = C.model_and_winner_rows(models)
     assert report.filter(F.col("section") == C.MODEL_SECTION).count() == 3
     assert C.model_and_winner_rows(models.limit(0)).count() == 0
+
+
+def test_run_matrix_rejects_an_unbounded_model_list(spark):
+    from scorecraft.operators import cases as CS
+
+    cases = spark.createDataFrame([("c1", "x/c1_input.pdf")], "case_id string, input_path string")
+    with pytest.raises(ValueError):
+        CS.run_matrix([f"m{i}" for i in range(CS.MAX_MODELS + 1)], cases)
