@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,20 @@ def hash60(value: Column) -> Column:
 def fold(id_col: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def file_backed(df: DataFrame) -> DataFrame:
+    """``df`` itself if its rows have locators (a plain read of files), else a
+    written copy of it that has."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return df
+    except AnalysisException:
+        return stage(df, "rows")
+
+
+def located(df: DataFrame) -> DataFrame:
+    """A file-backed ``df`` with ``__file`` and ``__row``, which name a row."""
+    return df.select(
+        *df.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import exact_dedup, mixing, sharding, topk, url_filter
+from scorecraft.llm import exact_dedup, mixing, near_dedup, sharding, topk, url_filter
 from scorecraft.llm.common import table
 
 
@@ -35,6 +35,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_table(spark, f"{sf_dir.rstrip('/')}/documents.parquet").drop("file", "row")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches over 4-word shingles, exact at 0.8."""
+    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path rules, then trust and distrust over the host graph."""
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
@@ -48,5 +54,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     f.__name__: f
-    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op6_url_filter, op10_topk)
+    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op5_near_dedup, op6_url_filter, op10_topk)
 }
