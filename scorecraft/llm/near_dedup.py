@@ -16,10 +16,11 @@
    the threshold are compared exactly with all near members of the star, block
    by block, on what each shares with the pivot (a bit mask) and what it has
    besides; only links that join two groups come out.
-5. What is left are pairs in a list of which one is far from the pivot (by the
-   triangle inequality of Jaccard's distance, a far and a linked member cannot
-   be similar). They are compared by their sketches, block by block, unless
-   they are in one component already; those that pass are measured exactly.
+5. What is left are pairs in a list of which one is far from the pivot and the
+   other is not above ``INNER`` (by the triangle inequality of Jaccard's
+   distance, others cannot be similar to a far one). They are compared by their
+   sketches, block by block, unless they are in one component already; those
+   that pass are measured exactly.
 6. Links give components.
 
 Scale: exact copies collapse in a partial aggregate. A large group of near
@@ -52,7 +53,9 @@ from scorecraft.llm.components import connected_components
 
 WIDTH = 5
 #: Similar: PER * intersection >= SIMILAR * union; near: at least NEAR of PER.
-PER, SIMILAR, NEAR = 100, 80, 60
+PER, SIMILAR, NEAR = 100, 80, 40
+#: A member that is more similar to the pivot than this cannot be similar to a far one.
+INNER = NEAR + PER - SIMILAR
 K = 64
 #: Chance that the sketches of a similar pair share fewer values than required.
 TAIL = 1e-10
@@ -284,39 +287,53 @@ def near_links(found: DataFrame) -> DataFrame:
 # -- what is far from the pivots ----------------------------------------------------
 
 
+def incidence(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows by distinct values: 1 where a row has the value."""
+    lengths = [len(r) for r in rows]
+    values, place = np.unique(np.concatenate(rows), return_inverse=True)
+    out = np.zeros((len(rows), len(values)), np.float32)
+    out[np.repeat(np.arange(len(rows)), lengths), place] = 1
+    return out
+
+
 def block_candidates(rows: pd.DataFrame, k: int, floors: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of one group that may be similar, in different components, each
-    only where the group's value is the first that both have in their lists."""
+    """Pairs of one group that may be similar, in different components and not
+    both near, each only where the group's value is the first that both have
+    in their lists."""
+    value = int(rows["v"].iloc[0])
     sketches = [np.asarray(s, np.int64).view(np.uint64) for s in rows["sketch"]]
-    nodes, labels, value = rows["node"].tolist(), rows["label"].tolist(), int(rows["v"].iloc[0])
-    firsts = [list(p) for p in rows["prefix"]]
-    left, right, both = (rows[c].to_numpy(bool) for c in ("left", "right", "both"))
-    retained = [set(s.tolist()) for s in sketches]
-    for i in np.flatnonzero(left):
-        for j in np.flatnonzero(right):
-            if labels[i] == labels[j] or (both[i] and both[j] and nodes[i] >= nodes[j]):
-                continue
-            common = retained[i] & retained[j]
-            if len(common) < floors[min(len(retained[i]), len(retained[j]))]:
-                continue
-            union = np.union1d(sketches[i], sketches[j])[:k]
-            if sum(x in common for x in union.tolist()) >= floors[len(union)]:
-                theirs = set(firsts[j])
-                if next(v for v in firsts[i] if v in theirs) == value:
-                    yield nodes[i], nodes[j]
+    earlier = [np.asarray(p, np.int64) for p in rows["prefix"]]
+    earlier = [p[: int(np.flatnonzero(p == value)[0])] for p in earlier]
+    nodes = rows["node"].to_numpy()
+    labels = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+    far, left, right, both = (rows[c].to_numpy(bool) for c in ("far", "left", "right", "both"))
+    sizes = np.array([len(s) for s in sketches])
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    has, before = incidence(sketches), incidence(earlier)
+    may = has[a] @ has[b].T >= floors[np.minimum.outer(sizes[a], sizes[b])]
+    may &= before[a] @ before[b].T == 0
+    may &= (labels[a][:, None] != labels[b]) & (far[a][:, None] | far[b])
+    for x, y in zip(*np.nonzero(may)):
+        i, j = a[x], b[y]
+        if both[i] and both[j] and nodes[i] >= nodes[j]:
+            continue
+        union = np.union1d(sketches[i], sketches[j])[:k]
+        shared = np.isin(union, sketches[i], assume_unique=True) & np.isin(union, sketches[j], assume_unique=True)
+        if shared.sum() >= floors[len(union)]:
+            yield nodes[i], nodes[j]
 
 
 def far_candidates(lists: DataFrame, found: DataFrame, nodes: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """``pivot, node``: pairs left in the lists (``v, node, pivot, prefix``)."""
     state = found.filter(F.col("mask").isNotNull()).select(
-        "pivot", "node", similar(F.col("inter"), F.col("pn"), F.col("n")).alias("linked")
+        "pivot", "node", similar(F.col("inter"), F.col("pn"), F.col("n"), INNER).alias("inner")
     )
     rest = lists.filter(F.col("node") != F.col("pivot")).join(state, ["pivot", "node"], "left").filter(
-        F.col("linked").isNull() | ~F.col("linked")
+        F.col("inner").isNull() | ~F.col("inner")
     ).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_lists = rest.groupBy("v").agg(
         F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"),
-        F.count_if(F.col("linked").isNull()).alias("far"),
+        F.count_if(F.col("inner").isNull()).alias("far"),
         F.min("label").alias("l0"), F.max("label").alias("l1"),
     ).filter("far > 0 AND l0 <> l1").select("v", "blocks")
     rows = rest.join(open_lists, "v").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -324,7 +341,7 @@ def far_candidates(lists: DataFrame, found: DataFrame, nodes: DataFrame, labels:
         F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")
     ))
     dealt = rows.withColumn("to", F.explode(cells)).join(nodes.select("node", "sketch"), "node").select(
-        "v", F.col("to.x").alias("bx"), F.col("to.y").alias("by"), "node", "label", "prefix", "sketch",
+        "v", F.col("to.x").alias("bx"), F.col("to.y").alias("by"), "node", "label", "prefix", "sketch", F.col("inner").isNull().alias("far"),
         (F.col("own") == F.col("to.x")).alias("left"), (F.col("own") == F.col("to.y")).alias("right"),
         (F.col("to.x") == F.col("to.y")).alias("both"),
     )
