@@ -69,3 +69,14 @@ def located(df: DataFrame) -> DataFrame:
     return df.select(
         *df.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
     )
+
+
+def write_shared(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file where all executors can read it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import exact_dedup, mixing, near_dedup, sharding, topk, url_filter
+from scorecraft.llm import bpe, exact_dedup, mixing, near_dedup, sharding, topk, url_filter
 from scorecraft.llm.common import table
 
 
@@ -46,6 +47,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text with the 50k byte-level BPE."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = bpe.compile_lexicon(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = bpe.decode(bpe.encode(docs.select("doc_id", "text"), lexicon).drop("text"), lexicon)
+    return rows.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -54,5 +68,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     f.__name__: f
-    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op5_near_dedup, op6_url_filter, op10_topk)
+    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op5_near_dedup, op6_url_filter, op7_bpe, op10_topk)
 }
