@@ -1,10 +1,12 @@
 """Exact deduplication as a stateful stream.
 
-The documents' table is read as a stream. A keyed aggregation without a
-watermark keeps, in a disk-backed state store that never expires, one entry
-per digest of the normalised text: how many rows have come, and of the row
-that stays its id and its locator (file and row number). A later run over a
-table with more files and the same ``state`` folder reads only the new files.
+The documents' table is read as a stream. Each row's mark (digest of the
+normalised text, code points, id and locator: file and row number) lands in a
+table of marks, and a keyed aggregation over them, without a watermark, keeps
+in a disk-backed state store that never expires one entry per digest: how many
+rows have come, and of the row that stays its id and its locator. A later run
+over a table with more files and the same ``state`` folder reads only the new
+files.
 
 The digest only proposes. On every hit (a digest that has more than one row)
 the full normalised bytes are compared with those of the row that the locator
@@ -16,8 +18,11 @@ then the one with the smallest id, then the last by locator.
 
 Scale: one entry per distinct text, spread over the state partitions by
 digest; the aggregation combines before the shuffle, so a text with very many
-copies sends one row per task. Texts travel only for hits, in a join that AQE
-can split, as nothing above it needs a group's rows together.
+copies sends one row per task. Texts are read twice, once for their marks and
+once for the comparison, which only hits reach: a runtime Bloom filter over
+their locators stands before the shuffle. Its join and that with the keepers
+are plain joins that AQE can split, as nothing above them needs a group's rows
+together.
 
 Defined cases: null text counts as empty, and all empty and all-blank texts
 are equal; null ids lose against others and ``keep_id`` is null where a group
@@ -37,17 +42,25 @@ from scorecraft.llm.common import SEPARATORS, scratch_path, stage
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # an executor holds many partitions: small buffers each, and one limit for all
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+}
+#: Lets the optimizer put a Bloom filter of the hits' locators before the shuffle of the texts.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
 }
 
 
 @contextmanager
-def _disk_state(spark: SparkSession):
-    """The state store's settings, put back afterwards."""
-    before = {k: spark.conf.get(k, None) for k in _STORE}
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for a while, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        for k, v in _STORE.items():
+        for k, v in wanted.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -67,7 +80,7 @@ def fingerprints(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts and carries id (inverted: the smallest is the greatest) and locator."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return rows.select(
-        F.sha2(normalised(F.col(text_col)), 256).alias("__digest"),
+        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__digest"),
         F.struct(
             F.char_length(text).cast("long").alias("points"),
             F.bitwise_not(F.col(id_col).cast("long")).alias("inverted_id"),
@@ -77,75 +90,81 @@ def fingerprints(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def run_stream(spark: SparkSession, path: str, id_col: str, text_col: str, state: str) -> DataFrame:
-    """Feed what is new in ``path`` to the state and return the state:
-    ``__digest, __n, __keep``."""
+def run_stream(spark: SparkSession, path: str, id_col: str, text_col: str, state: str) -> tuple[DataFrame, DataFrame]:
+    """Feed what is new in ``path`` to the state and return the marks,
+    ``__digest, __rank``, and the state, ``__digest, __n, __keep``."""
     # a pattern that matches this path alone: the stream source takes a plain path for a folder only
     path = path.rstrip("/")
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    entries = fingerprints(rows, id_col, text_col).groupBy("__digest").agg(
-        F.max("__rank").alias("keep"), F.count(F.lit(1)).alias("n")
-    )
-    with _disk_state(spark):
-        query = (
-            entries.writeStream.outputMode("update").format("noop").trigger(availableNow=True)
-            .option("checkpointLocation", state).start()
-        )
-        query.awaitTermination()
-        held = spark.read.format("statestore").load(state)
-        value = held.schema["value"].dataType.names
-        return stage(
+    marks, landing = fingerprints(rows, id_col, text_col), f"{state}/marks"
+    marks.writeStream.format("parquet").option("path", landing).trigger(availableNow=True) \
+        .option("checkpointLocation", f"{state}/landing").start().awaitTermination()
+    landed = spark.readStream.schema(marks.schema).parquet(landing)
+    entries = landed.groupBy("__digest").agg(F.max("__rank").alias("keep"), F.count(F.lit(1)).alias("n"))
+    with _settings(spark, _STORE):
+        entries.writeStream.outputMode("update").format("noop").trigger(availableNow=True) \
+            .option("checkpointLocation", f"{state}/entries").start().awaitTermination()
+        held = spark.read.format("statestore").load(f"{state}/entries")
+        keep, n = held.schema["value"].dataType.names
+        entries = stage(
             held.select(
-                F.col("key.__digest").alias("__digest"),
-                F.col("value").getField(value[1]).alias("__n"),
-                F.col("value").getField(value[0]).alias("__keep"),
+                F.col("key.__digest").alias("__digest"), F.col("value").getField(n).alias("__n"),
+                F.col("value").getField(keep).alias("__keep"),
             ),
             "dedup-state",
         )
+    return spark.read.schema(marks.schema).parquet(landing), entries
 
 
-def dedup_table(
-    spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", state: str | None = None
-) -> DataFrame:
-    """One row for each row of the Parquet table at ``path``:
-    ``id, keep_id, group_size, kept, text_sha256`` and its locator
-    ``file, row``."""
-    entries = run_stream(spark, path, id_col, text_col, state or scratch_path(spark, "dedup-stream"))
-    table = spark.read.parquet(path)
-    marks = fingerprints(table, id_col, text_col)
-    hits = entries.filter(F.col("__n") > 1)
+def strangers(table: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
+    """``__digest, __file, __row, __text`` of the hits whose bytes are not those
+    of the row that stays."""
+    hits = groups.filter(F.col("__n") > 1).select(
+        "__digest", "__file", "__row", "kept", F.xxhash64("__file", "__row").alias("__at")
+    )
     texts = table.select(
         normalised(F.col(text_col)).alias("__text"),
         F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"),
-    ).withColumn("__digest", F.sha2("__text", 256))
-    keepers = texts.join(hits, "__digest").filter(
-        (F.col("__keep.file") == F.col("__file")) & (F.col("__keep.row") == F.col("__row"))
-    ).select("__digest", F.col("__text").alias("__kept_text"))
-    strangers = stage(
-        texts.join(keepers, "__digest").filter(F.col("__text") != F.col("__kept_text"))
+        F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__at"),
+    )
+    with _settings(table.sparkSession, _BLOOM):
+        read = stage(texts.join(hits, ["__at", "__file", "__row"]).drop("__at"), "dedup-texts")
+    keepers = read.filter("kept").select("__digest", F.col("__text").alias("__kept_text"))
+    return stage(
+        read.filter("NOT kept").join(keepers, "__digest").filter(F.col("__text") != F.col("__kept_text"))
         .select("__digest", "__file", "__row", "__text"),
         "dedup-strangers",
     )
-    own = marks.select(
-        "__digest",
-        F.bitwise_not("__rank.inverted_id").alias("__id"),
-        F.col("__rank.file").alias("__file"), F.col("__rank.row").alias("__row"), F.col("__rank").alias("__rank"),
+
+
+def dedup_table(
+    spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", state: str | None = None
+) -> DataFrame:
+    """One row for each row of the Parquet table at ``path``:
+    ``id, keep_id, group_size, kept, text_sha256`` and its locator
+    ``file, row``."""
+    marks, entries = run_stream(spark, path, id_col, text_col, state or scratch_path(spark, "dedup-stream"))
+    stays = (F.col("__keep.file") == F.col("__file")) & (F.col("__keep.row") == F.col("__row"))
+    groups = stage(
+        marks.withColumns({"__file": F.col("__rank.file"), "__row": F.col("__rank.row")})
+        .join(entries, "__digest").withColumn("kept", stays),
+        "dedup-groups",
     )
-    groups = own.join(entries, "__digest")
-    if not strangers.isEmpty():
-        moved = own.join(strangers, ["__digest", "__file", "__row"])
+    odd = strangers(spark.read.parquet(path), groups, text_col)
+    if not odd.isEmpty():
+        moved = groups.drop("__n", "__keep", "kept").join(odd, ["__digest", "__file", "__row"])
         anew = moved.groupBy("__digest", "__text").agg(F.max("__rank").alias("__keep"), F.count(F.lit(1)).alias("__n"))
-        fewer = strangers.groupBy("__digest").agg(F.count(F.lit(1)).alias("__gone"))
-        stay = groups.join(strangers.select("__digest", "__file", "__row"), ["__digest", "__file", "__row"], "left_anti") \
+        moved = moved.join(anew, ["__digest", "__text"]).withColumn("kept", stays)
+        fewer = odd.groupBy("__digest").agg(F.count(F.lit(1)).alias("__gone"))
+        stay = groups.join(odd.select("__digest", "__file", "__row"), ["__digest", "__file", "__row"], "left_anti") \
             .join(fewer, "__digest", "left").withColumn("__n", F.col("__n") - F.coalesce(F.col("__gone"), F.lit(0)))
-        part = ["__id", "__digest", "__file", "__row", "__n", "__keep"]
-        groups = stay.select(*part).unionByName(moved.join(anew, ["__digest", "__text"]).select(*part))
+        groups = stay.select(*groups.columns).unionByName(moved.select(*groups.columns))
     return groups.select(
-        F.col("__id").alias(id_col),
+        F.bitwise_not("__rank.inverted_id").alias(id_col),
         F.bitwise_not("__keep.inverted_id").alias("keep_id"),
         F.col("__n").alias("group_size"),
-        ((F.col("__keep.file") == F.col("__file")) & (F.col("__keep.row") == F.col("__row"))).alias("kept"),
-        F.col("__digest").alias("text_sha256"),
+        "kept",
+        F.lower(F.hex("__digest")).alias("text_sha256"),
         F.col("__file").alias("file"),
         F.col("__row").alias("row"),
     )

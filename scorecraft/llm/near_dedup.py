@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecraft.llm.common import file_backed, located, stage
+from scorecraft.llm.common import file_backed, located, scrambled, stage
 from scorecraft.llm.components import connected_components
 
 WIDTH = 5
@@ -67,13 +67,6 @@ WORDS_KEPT = 500_000
 # -- sets -----------------------------------------------------------------------
 
 
-def scrambled(x: np.ndarray) -> np.ndarray:
-    """A bijection on 64 bits that spreads neighbouring values."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingle_set(text: str | None, width: int, seen: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct shingle values. ``seen`` keeps words' hashes."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six ASCII separators

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import bpe, exact_dedup, mixing, near_dedup, sharding, topk, url_filter
-from scorecraft.llm.common import table
+from scorecraft.llm import bpe, exact_dedup, lm, mixing, near_dedup, sharding, topk, url_filter
+from scorecraft.llm.common import fold, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram backoff automaton, learned from four of five folds."""
+    docs = table(spark, sf_dir, "documents")
+    rows = lm.score_texts(docs, train=fold(F.col("doc_id")) != 1)
+    return rows.select(
+        "doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -68,5 +78,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     f.__name__: f
-    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op5_near_dedup, op6_url_filter, op7_bpe, op10_topk)
+    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op5_near_dedup, op6_url_filter, op7_bpe, op8_lm, op10_topk)
 }
