@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import bpe, exact_dedup, lm, mixing, near_dedup, sharding, topk, url_filter
+from scorecraft.llm import bpe, exact_dedup, lm, mixing, near_dedup, quality, sharding, topk, toxicity, url_filter
 from scorecraft.llm.common import fold, table
 
 
@@ -36,6 +36,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_table(spark, f"{sf_dir.rstrip('/')}/documents.parquet").drop("file", "row")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak labels and the scorer trained on them, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs).select(F.col("__c0").alias("doc_id"), "votes", "posterior", "score", "kept")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches over 4-word shingles, exact at 0.8."""
     rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
@@ -70,6 +76,14 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four of five folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) == 0
+    rows = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), docs.filter(~held_out))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -78,5 +92,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     f.__name__: f
-    for f in (op1_sharding, op2_mixing, op3_exact_dedup, op5_near_dedup, op6_url_filter, op7_bpe, op8_lm, op10_topk)
+    for f in (
+        op1_sharding, op2_mixing, op3_exact_dedup, op4_quality, op5_near_dedup,
+        op6_url_filter, op7_bpe, op8_lm, op9_toxicity, op10_topk,
+    )
 }
