@@ -70,6 +70,17 @@ def is_object_text(text: Column | str) -> Column:
     return parsed_object(text).isNotNull()
 
 
+def _whole_digits(x: Column) -> Column:
+    """All digits of a whole double below 1e38: exact, as 2**62 divides without
+    a rounding and both parts fit a bigint."""
+    high = F.rint(F.floor(F.abs(x) / F.lit(2.0**62)).cast("double"))
+    low = F.abs(x) - high * F.lit(2.0**62)
+    part = lambda c: c.cast("bigint").cast("decimal(20, 0)")
+    size = (part(high) * F.lit(1 << 62).cast("decimal(20, 0)")).cast("decimal(38, 0)") + part(low)
+    digits = size.cast("decimal(38, 0)").cast("string")
+    return F.when(x < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
 def _canon_token(t: Column) -> Column:
     as_double = t.try_cast("double")
     return (
@@ -77,10 +88,7 @@ def _canon_token(t: Column) -> Column:
         .when(t == "true", F.lit("1"))
         .when(t == "false", F.lit("0"))
         .when(t.rlike("^-?[0-9]+$"), t)
-        .when(
-            (F.abs(as_double) < F.lit(1e15)) & (as_double == F.floor(as_double)),
-            as_double.cast("bigint").cast("string"),
-        )
+        .when((F.abs(as_double) < F.lit(1e38)) & (as_double == F.rint(as_double)), _whole_digits(as_double))
         .otherwise(as_double.cast("string"))
     )
 

@@ -17,6 +17,7 @@ from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
 
 COMPLETED = "completed"
+OVERALL_PREFIX = "overall_"
 SUMMARY_COLUMNS = [
     "total_evaluations",
     "ground_truth_count",
@@ -35,10 +36,13 @@ def completed_only(reports: DataFrame, status: str = "status") -> DataFrame:
 
 def source_model_filter(reports: DataFrame, source: str = "", model: str = "") -> DataFrame:
     """exact match on the stripped filters; blank filter = no filter.
+    Rows of ``overall_*`` files (by their ``case_key``) are no run reports.
 
     On a store partitioned by ``model``/``source`` this prunes partitions.
     """
     out = reports
+    if "case_key" in out.columns:
+        out = out.filter(~F.col("case_key").startswith(OVERALL_PREFIX))
     if source.strip():
         out = out.filter(F.col("source") == source.strip())
     if model.strip():

@@ -56,9 +56,9 @@ def check_schema(schema: Mapping[str, object]) -> dict[str, str]:
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
-    """V6: strip header names; drop columns whose header is blank (CSV
-    ``_c<n>`` columns come from blank header cells)."""
-    keep = [c for c in df.columns if c.strip() and not c.startswith("_c")]
+    """V6: strip header names; drop columns whose header is blank (the CSV
+    reader names a blank cell at position n ``_c<n>``)."""
+    keep = [c for i, c in enumerate(df.columns) if c.strip() and c != f"_c{i}"]
     return df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in keep])
 
 

@@ -43,7 +43,7 @@ def read_dataset_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFram
     keyed = raw.select(
         F.col("_metadata.file_path").alias("_dataset"),
         F.monotonically_increasing_id().alias("_mid"),
-        *[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns if c.strip() in data_cols and not c.startswith("_c")],
+        *[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns if c.strip() in data_cols],
     )
     kept = drop_blank_rows(keyed, data_cols)
     # multiLine: one file is one task, so each window partition is one file.

@@ -31,7 +31,6 @@ OVERALL_FIELDS = [
     "total_runs",
     "completed_runs",
 ]
-OVERALL_PREFIX = "overall_"
 BOM = "﻿"
 
 
@@ -74,9 +73,10 @@ def read_run_reports(
     """S1 + M10 + F3/F4: every ``<model>__<source>[__...].csv`` run report.
 
     Adds ``model``, ``source``, ``case_key`` (file stem) from the file name;
-    names with fewer than two ``__`` parts and ``overall_*`` files are
-    skipped. ``row_index`` blank/missing -> 0, otherwise a strict integer
-    (a bad value fails the job, T15); ``score`` likewise strictly numeric.
+    names with fewer than two ``__`` parts are skipped (``overall_*`` files by
+    the category report's own filter, F4). ``row_index`` blank/missing -> 0,
+    otherwise a strict integer; ``score`` is strictly numeric (a bad or blank
+    value fails the job, T15).
     ``sources`` / ``model`` filter on file-name columns, which Spark uses to
     skip whole files.
     """
@@ -85,13 +85,14 @@ def read_run_reports(
     m, s = K.report_key_parts(stem)
     df = raw.select(
         "*", stem.alias("case_key"), m.alias("model"), s.alias("source")
-    ).filter(F.col("model").isNotNull() & ~F.col("_file").startswith(OVERALL_PREFIX))
+    ).filter(F.col("model").isNotNull())
     if sources:
         df = df.filter(F.col("source").isin(*sources))
     if model.strip():
         df = df.filter(F.col("model") == model.strip())
     row_index = F.when(K.is_blank("row_index"), F.lit(0)).otherwise(K.py_strip("row_index").cast("int"))
-    score = F.when(K.is_blank("score"), F.lit(0.0)).otherwise(K.py_strip("score").cast("double"))
+    blank = F.raise_error(F.concat(F.lit("blank score in "), F.col("_file"))).cast("double")
+    score = F.when(K.is_blank("score"), blank).otherwise(K.py_strip("score").cast("double"))
     return df.select(
         "model",
         "source",

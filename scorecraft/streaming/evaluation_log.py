@@ -184,6 +184,8 @@ def merge_stream_into_summary(
         prev_path = os.path.join(state_path, f"batch={batch_id - 1}") if batch_id > 0 else base_path
         parts = [runs_to_sums(batch)]
         prev = _read_if_exists(spark, prev_path)
+        if prev is None and (batch_id > 0 or base_models is not None):
+            raise FileNotFoundError(f"the state before batch {batch_id} is missing: {prev_path}")
         if prev is not None:
             parts.append(prev.select("model", *SUM_COLUMNS))
         merged = parts[0]

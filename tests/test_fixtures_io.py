@@ -44,7 +44,7 @@ def test_read_run_reports_and_f1(spark, tmp_path):
     ]))
     _write(f"{d}/overall_benchmark_report.csv", _report_csv([(1, "completed", 1.0, "{}", "")]))
     _write(f"{d}/noseparator.csv", _report_csv([(1, "completed", 1.0, "{}", "")]))
-    _write(f"{d}/model-b__other.csv", _report_csv([("", "completed", "", "{}", "")]))
+    _write(f"{d}/model-b__other.csv", _report_csv([("", "completed", 0.0, "{}", "")]))
     rep = RP.read_run_reports(spark, d)
     rows = rep.collect()
     assert {r.model for r in rows} == {"model-a", "model-b"}
@@ -217,3 +217,22 @@ def test_sinks_round_trip(spark, tmp_path):
     SK.write_run_reports(reports, store)
     SK.write_run_reports(reports, store)
     assert spark.read.parquet(store).filter(F.col("source") == "s").count() == 2
+
+
+def test_blank_scores_raise_and_overall_models_are_read(spark, tmp_path):
+    d = str(tmp_path / "runs")
+    _write(f"{d}/overall_gpt__src.csv", _report_csv([(1, "completed", 0.5, "{}", "")]))
+    rep = RP.read_run_reports(spark, d)
+    assert [r.model for r in rep.collect()] == ["overall_gpt"]
+    assert A.source_model_filter(rep).collect() == []
+    _write(f"{d}/model-c__src.csv", _report_csv([(1, "completed", "", "{}", "")]))
+    with pytest.raises(Exception, match="blank score"):
+        RP.read_run_reports(spark, d).collect()
+
+
+def test_only_blank_headers_are_dropped(spark, tmp_path):
+    path = str(tmp_path / "d" / "data.csv")
+    _write(path, "id,_cost,,prompt\n1,2,x,p\n")
+    rows = DS.read_dataset_csv(spark, path).collect()
+    assert [(r.id, r["_cost"], r.prompt, r.row_index) for r in rows] == [("1", "2", "p", 1)]
+    assert "_c2" not in rows[0].asDict()

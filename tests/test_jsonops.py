@@ -133,3 +133,16 @@ def test_random_differential(spark):
         t = json.loads(r.t)
         assert r.s == pytest.approx(py_strict(r.p, t)), (r.p, r.t)
         assert r.e == ((py_parse(r.p) or {}) == t), (r.p, r.t)
+
+
+def test_large_numbers_equal_their_digits(spark):
+    values = ["1e15", "1000000000000000", "1000000000000001", "1e20", "100000000000000000000", "100000000000000000001", "1e23",
+              str(10**23), str(int(1e23)), "9.3e18", "9300000000000000000", "1.5e16",
+              "15000000000000000", "-3e17", "-300000000000000000", "0.5", "1e37"]
+    pairs = [(a, b) for a in values for b in values]
+    df = spark.createDataFrame([(f'{{"a":{a}}}', f'{{"a":{b}}}') for a, b in pairs], "x string, y string")
+    for c in "xy":
+        df = J.with_canonical_object(df, c, f"_{c}")
+    got = df.select((J.key_matches(F.col("_x"), F.col("_y")) == 1).alias("same")).collect()
+    wrong = [(p, r.same) for p, r in zip(pairs, got) if r.same != (json.loads(p[0]) == json.loads(p[1]))]
+    assert not wrong
