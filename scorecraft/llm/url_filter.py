@@ -63,7 +63,7 @@ def path_of(url: Column) -> Column:
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, else null."""
-    chain = F.lit(None)
+    chain = F.lit(None).cast("struct<rule: string, verdict: string>")
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         chain = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(chain)
