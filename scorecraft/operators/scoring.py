@@ -23,6 +23,7 @@ ABORTED = "aborted_due_to_auth"
 FAILED_PREPROCESS = "failed_preprocess"
 AUTH = "auth"
 MISSING_ROW = "row_index not found in the dataset"
+NO_OUTPUT = "no recorded output"
 
 RUN_KEYS = ("model", "case_id")
 REPORT_COLUMNS = ["row_index", "status", "score", "llm_output", "error_message"]
@@ -51,9 +52,12 @@ def evaluate(
     caller needs it too, so both uses share one plan.
 
     ``dataset``: ``(case_id, row_index, <truth>)`` (+ any columns);
-    ``outputs``: recorded outputs keyed by ``run_keys + row_index``. When
-    ``outputs`` already carries the ``truth`` column, ``dataset`` may be
-    None and no join is made.
+    ``outputs``: recorded outputs keyed by ``run_keys + row_index``. Each run
+    (a distinct value of ``run_keys``) goes through all dataset rows of its
+    case: a row without a recorded output is a failed one, and outputs of rows
+    that the dataset does not have are no part of the run (see
+    :func:`stray_outputs`). When ``outputs`` already carries the ``truth``
+    column, ``dataset`` may be None and no join is made.
     Report rows: ``run_keys, row_index, status, score, llm_output,
     error_message`` (D6). Failed rows score 0.0 with an empty output.
     """
@@ -61,7 +65,12 @@ def evaluate(
         rows = outputs
     else:
         case_keys = [k for k in run_keys if k in dataset.columns]
-        rows = outputs.join(dataset.select(*case_keys, "row_index", truth), [*case_keys, "row_index"], "left")
+        runs = outputs.select(*run_keys).distinct()
+        expected = dataset.select(*case_keys, "row_index", truth).join(runs, case_keys)
+        recorded = outputs.withColumn("_recorded", F.lit(True))
+        rows = expected.join(recorded, [*run_keys, "row_index"], "left").withColumn(
+            "error_kind", F.when(F.col("_recorded").isNull(), F.lit(NO_OUTPUT)).otherwise(F.col("error_kind"))
+        )
     if aborts is None:
         aborts = first_auth_failure(outputs, run_keys)
     rows = rows.join(aborts, list(run_keys), "left")
@@ -88,6 +97,13 @@ def evaluate(
     )
 
 
+def stray_outputs(dataset: DataFrame, outputs: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """Recorded outputs whose row the dataset does not have: the error table
+    beside :func:`evaluate`."""
+    case_keys = [k for k in run_keys if k in dataset.columns]
+    return outputs.join(dataset.select(*case_keys, "row_index"), [*case_keys, "row_index"], "left_anti")
+
+
 def run_summary(reports: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """A1: per run ``total_rows, successful_evaluations, average_score``;
     failed rows count in the total and score 0; status ``completed``."""

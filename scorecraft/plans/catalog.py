@@ -105,6 +105,34 @@ def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.run_summary(reports))
 
 
+def _dataset_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(dataset, outputs): the dataset of a case holds the orders of its
+    priority; a model (order status) has recorded outputs for its own orders
+    only, so each run meets rows without an output."""
+    ev = D.evaluations(spark, sf_dir)
+    dataset = ev.select("case_id", "row_index", "ground_truth")
+    outputs = ev.select("model", "case_id", "row_index", F.col("llm_output").alias("output"), "error_kind", "error_message")
+    return dataset, outputs
+
+
+@register("evaluate_dataset")
+def q_evaluate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 driven by the dataset + A1: every run over all rows of its case."""
+    dataset, outputs = _dataset_run(spark, sf_dir)
+    recorded = outputs.withColumn("error_kind", F.when(F.col("error_kind").isNotNull(), F.lit("error")))
+    return rounded(S.run_summary(S.evaluate(dataset, recorded)))
+
+
+@register("failed_preprocess")
+def q_failed_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: the cases of one broken dataset turn into failed runs."""
+    dataset, outputs = _dataset_run(spark, sf_dir)
+    recorded = outputs.withColumn("error_kind", F.when(F.col("error_kind").isNotNull(), F.lit("error")))
+    broken = dataset.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "case_id").limit(1)
+    failures = broken.select("case_id", F.concat(F.lit("cannot read "), F.col("case_id")).alias("error_message"))
+    return rounded(S.with_failed_runs(S.run_summary(S.evaluate(dataset, recorded)), failures))
+
+
 @register("run_summary_abort")
 def q_run_summary_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1 + A1 + A2: runs stop at their first authentication failure."""

@@ -127,6 +127,27 @@ SELECT model, case_id, 'completed' AS status, CAST(count(*) AS BIGINT) AS total_
        round(sum(CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END) / count(*), 6) AS average_score
 FROM sc GROUP BY model, case_id"""
 
+_DATASET_RUNS = """dataset_runs AS (
+  SELECT r.model, r.case_id, 'completed' AS status,
+    CAST((SELECT count(*) FROM sc d WHERE d.case_id = r.case_id) AS BIGINT) AS total_rows, r.ok AS successful_evaluations,
+    r.total / (SELECT count(*) FROM sc d WHERE d.case_id = r.case_id) AS average_score
+  FROM (
+    SELECT model, case_id, CAST(count(*) FILTER (WHERE error_kind IS NULL) AS BIGINT) AS ok,
+      sum(CASE WHEN error_kind IS NULL THEN strict_score ELSE 0.0 END) AS total
+    FROM sc GROUP BY model, case_id) r)"""
+
+SQL["evaluate_dataset"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _DATASET_RUNS)}
+SELECT model, case_id, status, total_rows, successful_evaluations, round(average_score, 6) AS average_score FROM dataset_runs"""
+
+SQL["failed_preprocess"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _DATASET_RUNS)},
+broken AS (SELECT case_id FROM sc GROUP BY case_id ORDER BY count(*), case_id LIMIT 1)
+SELECT d.model, d.case_id, CASE WHEN b.case_id IS NULL THEN d.status ELSE 'failed_preprocess' END AS status,
+  CASE WHEN b.case_id IS NULL THEN total_rows ELSE 0 END AS total_rows,
+  CASE WHEN b.case_id IS NULL THEN successful_evaluations ELSE 0 END AS successful_evaluations,
+  CASE WHEN b.case_id IS NULL THEN round(average_score, 6) ELSE 0.0 END AS average_score,
+  CASE WHEN b.case_id IS NOT NULL THEN 'cannot read ' || d.case_id END AS error_message
+FROM dataset_runs d LEFT JOIN broken b ON d.case_id = b.case_id"""
+
 SQL["run_summary_abort"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS)},
 agg AS (
   SELECT model, case_id, count(*) AS n, count(*) FILTER (WHERE error_kind IS NULL) AS ok,

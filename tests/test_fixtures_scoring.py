@@ -222,3 +222,13 @@ def test_default_recommendation_text(spark):
     ranked = R.rank_low_categories(_scores(spark, [("x", 0.60)]), threshold=0.80)
     line = R.default_recommendation(ranked).first().line
     assert line.startswith("- x: ") and "0.60" in line and "0.20" in line
+
+
+def test_runs_go_through_the_dataset(spark):
+    ds = _dataset(spark, [{"a": 1}, {"a": 1}])
+    outs = _outputs(spark, [("m", "c", 1, '{"a":1}', None, None), ("m", "c", 9, '{"a":1}', None, None)])
+    rep = {x.row_index: x for x in S.evaluate(ds, outs).collect()}
+    assert sorted(rep) == [1, 2] and rep[2].status == "failed" and rep[2].error_message == "no recorded output"
+    r = S.run_summary(S.evaluate(ds, outs)).first()
+    assert (r.total_rows, r.successful_evaluations, r.average_score) == (2, 1, 0.5)
+    assert [x.row_index for x in S.stray_outputs(ds, outs).collect()] == [9]
