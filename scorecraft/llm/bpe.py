@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecraft.llm.common import scratch_path, write_shared
+from scorecraft.llm.common import scratch_path, small_batches, stage, write_shared
 
 #: Frequent words in the automaton; entries of a task's counter; looked-up words a worker keeps.
-WORDS, COUNTER, MEMO = 1 << 15, 1 << 20, 1 << 19
+WORDS, COUNTER, MEMO = 1 << 15, 1 << 18, 1 << 17
 #: Characters of text that a worker handles at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 # The split pattern of the tokenizer's byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -332,6 +332,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     seen.clear()
         yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select(text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -339,7 +340,10 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", wor
     """Compile the corpus's frequent words for a tokenizer file; the name of
     the file that every worker then has."""
     spark = docs.sparkSession
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = stage(word_counts(docs, text_col), "words")
+    # at most 16 * words words can have this share of the text: what the driver and each task's top hold is bounded
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / (16 * words)
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect()
     vocab, merges, specials = read_tokenizer(tokenizer)
     splitter, often = Splitter(specials), Counter()
     for row in top:

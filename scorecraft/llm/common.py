@@ -55,6 +55,15 @@ def fold(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers in batches of at most ``rows``: with
+    the default of 10,000 a worker and its executor would hold some of long
+    texts at once. Stays set, as plans read it when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def file_backed(df: DataFrame) -> DataFrame:
     """``df`` itself if its rows have locators (a plain read of files), else a
     written copy of it that has."""

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.llm.common import file_backed, located, scrambled, stage
+from scorecraft.llm.common import file_backed, located, scrambled, small_batches, stage
 
 #: Weight of the unigrams in a state's prediction, and the count added to each unigram.
 MU, ADDED = 50.0, 0.5
@@ -117,6 +117,8 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
     """``part, block, lo, hi, words, word_n, pairs, pair_n`` of consecutive
     rows (lo to hi) of a block."""
 
+    small_batches(rows.sparkSession)
+
     def ask(texts: list, train: list, block: int, lo: int, hi: int) -> Iterator[tuple]:
         own = Block(texts)
         word_n, pair_n = own.told(np.array(train, bool))

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecraft.llm.common import file_backed, located, scrambled, stage
+from scorecraft.llm.common import file_backed, located, scrambled, small_batches, stage
 from scorecraft.llm.components import connected_components
 
 WIDTH = 5
@@ -109,6 +109,8 @@ def fingerprints(rows: DataFrame, width: int, k: int) -> DataFrame:
     """``__id, __file, __row, n, node, sketch`` of ``__id, __file, __row, __text``."""
     kept = [f for f in rows.schema if f.name != "__text"]
 
+    small_batches(rows.sparkSession)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:

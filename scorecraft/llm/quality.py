@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorecraft.llm.common import small_batches
 from scorecraft.llm.linear import fit_logistic, hashed, sampled, sigmoid
 
 BITS, SAMPLE, EM_STEPS = 18, 16_000, 100
@@ -99,6 +100,8 @@ def pattern_votes(code: int) -> list[int]:
 
 
 def pattern_counts(docs: DataFrame, text_col: str) -> dict[int, int]:
+    small_batches(docs.sparkSession)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
