@@ -65,6 +65,13 @@ def parsed_object(text: Column | str) -> Column:
     return F.when(_outer_ok(text, outer), _inner(outer))
 
 
+def parsed_value(text: Column | str) -> Column:
+    """Variant of a text that is exactly one JSON value, else NULL."""
+    text = _col(text)
+    outer = _wrapped_outer(text)
+    return F.when(_outer_ok(text, outer), F.try_element_at(outer, F.lit("_v_")))
+
+
 def is_object_text(text: Column | str) -> Column:
     """True when the text is exactly one JSON object (never NULL)."""
     return parsed_object(text).isNotNull()

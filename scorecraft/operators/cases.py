@@ -56,7 +56,8 @@ def pair_cases(
     inputs = input_files(listing)
     prefix = F.regexp_replace(F.col("stem"), r"_input$", "")
     ext_name = F.regexp_replace(F.col("ext"), r"^\.", "")
-    base = F.concat(F.col("dir"), F.lit("/"), prefix)
+    # a path without a folder pairs with files that have none either
+    base = F.when(F.col("path").contains("/"), F.concat(F.col("dir"), F.lit("/"), prefix)).otherwise(prefix)
     candidates = inputs.select(
         "path",
         "ext",

@@ -119,30 +119,9 @@ def analyzed_recommendations(
     flagged = analyzed.withColumn(
         "_failed", F.max(F.col("error").isNotNull().cast("int")).over(Window.partitionBy()) == 1
     )
-    ok_lines = flagged.filter(~F.col("_failed")).select("category", "score", "gap", "position", "line")
-    fallback = (
-        flagged.filter(F.col("_failed") & (F.col("position") == 1))
-        .select(
-            F.lit(None).cast("string").alias("category"),
-            F.lit(None).cast("double").alias("score"),
-            F.lit(None).cast("double").alias("gap"),
-            F.col("position"),
-            F.lit(ANALYSIS_UNAVAILABLE_MESSAGE).alias("line"),
-        )
+    # both outcomes come from one branch, so the analyzer runs once per category
+    unless = lambda c: F.when(~F.col("_failed"), F.col(c)).alias(c)
+    line = F.when(F.col("_failed"), F.lit(ANALYSIS_UNAVAILABLE_MESSAGE)).otherwise(F.col("line")).alias("line")
+    return flagged.filter(~F.col("_failed") | (F.col("position") == 1)).select(
+        unless("category"), unless("score"), unless("gap"), "position", line
     )
-    return ok_lines.unionByName(fallback)
-
-
-def render_report(state: str, lines: list[str]) -> str:
-    """Printable block (driver side, for the few lines of a report)."""
-    out = [REPORT_TITLE, REPORT_UNDERLINE]
-    if state == STATE_NO_DATA:
-        out.append(NO_DATA_MESSAGE)
-    elif state == STATE_MAX:
-        out += ["", MAX_PERFORMANCE_MESSAGE]
-    elif state == STATE_NONE_LOW:
-        out += ["", NO_LOW_SCORE_MESSAGE]
-    else:
-        out += [""] + lines
-    return "\n".join(out) + "\n"
-

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorecraft.functions import jsonops as J
+
 # Long-format columns and the allowed source types.
 LONG_COLUMNS = ["unit", "item", "num_type", "status_type", "value"]
 SOURCE_TYPES = ("Excel", "PDF")
@@ -52,11 +54,11 @@ def document_violations(docs: DataFrame, doc_col: str = "doc", id_cols: Sequence
     """One row ``(id..., rule)`` per broken rule of an expected-output
     document (D5): exactly 3 top keys; source_type Excel/PDF; non-empty
     filename; scalar summary values; non-empty content_data with unique table
-    names; unique non-empty headers; every row's keys equal the headers.
-    A text that is not a JSON object breaks ``top_keys``.
+    names; at least one header, all unique and non-empty; every row's keys
+    equal the headers and its values are scalars. A text that is not exactly
+    one JSON object (trailing text included) breaks ``top_keys``.
     """
-    top = F.try_variant_get(F.try_parse_json(F.col(doc_col)), "$", "map<string,variant>")
-    staged = docs.select(*id_cols, top.alias("_top"))
+    staged = docs.select(*id_cols, J.parsed_object(doc_col).alias("_top"))
     info = F.try_variant_get(F.try_element_at(F.col("_top"), F.lit("document_info")), "$", "map<string,variant>")
     summary = F.try_variant_get(F.try_element_at(F.col("_top"), F.lit("summary")), "$", "map<string,variant>")
     tables = F.try_variant_get(F.try_element_at(F.col("_top"), F.lit("content_data")), "$", "array<variant>")
@@ -70,20 +72,23 @@ def document_violations(docs: DataFrame, doc_col: str = "doc", id_cols: Sequence
     rows = F.transform("_tables", lambda t: F.try_variant_get(t, "$.rows", "array<map<string,variant>>"))
     staged = staged.select("*", names.alias("_names"), headers.alias("_headers"), rows.alias("_rows"))
 
+    def nested(v: Column) -> Column:
+        return F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY")
+
     def bad_headers(h: Column) -> Column:
         return (
             h.isNull()
+            | (F.size(h) == 0)
             | (F.size(F.array_distinct(h)) != F.size(h))
             | F.exists(h, lambda x: x.isNull() | (F.trim(x) == ""))
         )
 
     row_keys_bad = F.exists(
-        F.arrays_zip(F.col("_headers").alias("h"), F.col("_rows").alias("r")),
+        F.arrays_zip(F.transform("_headers", lambda h: F.array_sort(F.array_distinct(h))).alias("h"), F.col("_rows").alias("r")),
         lambda z: z["r"].isNull()
         | F.exists(
             z["r"],
-            lambda row: (F.size(row) != F.size(F.array_distinct(z["h"])))
-            | ~F.forall(F.map_keys(row), lambda k: F.array_contains(z["h"], k)),
+            lambda row: (F.array_sort(F.map_keys(row)) != z["h"]) | F.exists(F.map_values(row), nested),
         ),
     )
     checks = [
@@ -93,16 +98,13 @@ def document_violations(docs: DataFrame, doc_col: str = "doc", id_cols: Sequence
         (
             "summary_scalars",
             F.col("_summary").isNull()
-            | F.exists(
-                F.map_values("_summary"),
-                lambda v: F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY"),
-            ),
+            | F.exists(F.map_values("_summary"), nested),
         ),
         ("content_empty", F.coalesce(F.size("_tables"), F.lit(0)) <= 0),
         (
             "table_names_unique",
             F.coalesce(F.size(F.array_distinct("_names")) != F.size("_names"), F.lit(False))
-            | F.coalesce(F.exists("_names", lambda n: n.isNull()), F.lit(False)),
+            | F.coalesce(F.exists("_names", lambda n: n.isNull() | (F.trim(n) == "")), F.lit(False)),
         ),
         ("headers_unique", F.coalesce(F.exists("_headers", bad_headers), F.lit(False))),
         ("row_keys", F.coalesce(row_keys_bad, F.lit(False))),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
 from scorecraft.operators.validate import drop_blank_rows, normalize_headers
 
@@ -55,13 +56,14 @@ def read_dataset_json(spark: SparkSession, path: str | Sequence[str], columns: S
     """S3: one row per non-empty record, ``dataset, row_index, error`` plus
     the requested ``columns`` as text (JSON strings as their value, other
     JSON values as JSON text; missing -> NULL). ``header`` lists the keys of
-    the first non-empty record (for V2)."""
+    the first non-empty record (for V2). A record whose values are all null or
+    blank is no record and has no number (V5)."""
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.option("wholetext", True).text(paths)
     doc = raw.select(
         F.col("_metadata.file_path").alias("dataset"),
-        F.try_parse_json(F.regexp_replace("value", "^" + BOM, "")).alias("_v"),
-    )
+        F.regexp_replace("value", "^" + BOM, "").alias("_text"),
+    ).withColumn("_v", J.parsed_value("_text"))
     as_obj = F.try_variant_get("_v", "$", "map<string,variant>")
     as_arr = F.try_variant_get("_v", "$", "array<variant>")
     rows_v = F.try_element_at(as_obj, F.lit("rows"))
@@ -86,7 +88,8 @@ def read_dataset_json(spark: SparkSession, path: str | Sequence[str], columns: S
             F.col("error").isNull() & F.exists(maps, lambda m: m.isNull()), F.lit(ERR_NOT_OBJECT)
         ).otherwise(F.col("error")).alias("error"),
     )
-    non_empty = F.filter("_maps", lambda m: F.size(m) > 0)
+    blank = lambda v: F.is_variant_null(v) | (F.trim(F.try_variant_get(v, "$", "string")) == "")
+    non_empty = F.filter("_maps", lambda m: F.exists(F.map_values(m), lambda v: ~F.coalesce(blank(v), F.lit(False))))
     stripped = F.transform(non_empty, lambda m: F.transform_keys(m, lambda k, _v: K.py_strip(k)))
     staged = staged.select(
         "dataset",

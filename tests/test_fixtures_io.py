@@ -236,3 +236,14 @@ def test_only_blank_headers_are_dropped(spark, tmp_path):
     rows = DS.read_dataset_csv(spark, path).collect()
     assert [(r.id, r["_cost"], r.prompt, r.row_index) for r in rows] == [("1", "2", "p", 1)]
     assert "_c2" not in rows[0].asDict()
+
+
+def test_json_dataset_takes_one_value_and_skips_blank_records(spark, tmp_path):
+    d = str(tmp_path / "j")
+    _write(f"{d}/junk.json", '{"rows":[{"id":1}]} junk')
+    _write(f"{d}/blank.json", '[{"id":"","prompt":" "},{"id":"7","prompt":"p"},{"id":null}]')
+    rows = DS.read_dataset_json(spark, d, ["id", "prompt"]).collect()
+    junk = [r for r in rows if r.dataset.endswith("junk.json")]
+    assert [r.error for r in junk] == [DS.ERR_INVALID]
+    good = [r for r in rows if r.dataset.endswith("blank.json")]
+    assert [(r.row_index, r.id, r.prompt) for r in good] == [(1, "7", "p")]
