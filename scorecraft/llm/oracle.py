@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorecraft.llm import url_filter
+from scorecraft.llm import lm, url_filter
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT"
@@ -111,9 +111,89 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+# CRC-32 by its table: eight steps of the reflected polynomial for each byte value.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc(values: str) -> str:
+    """CRC-32 of a list of bytes, in a query that has ``crc_table``."""
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295, {values}), "
+        "lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])))"
+    )
+
+
+_ID_BYTES = "CAST(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)) AS BIGINT[])"
+_BYTES = "list_transform(range(octet_length(b)), lambda i: CAST('0x' || substr(hex(b), 2 * i + 1, 2) AS BIGINT))"
+_HASH60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+OP1 = f"""
+WITH {_CRC_TABLE},
+keyed AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, encode(coalesce(text, '')) AS b,
+    (({_HASH60.format("coalesce(text, '')")} >> 30) << 30) | ({_HASH60.format("coalesce(CAST(doc_id AS VARCHAR), '')")} >> 30) AS k
+  FROM documents),
+lined AS (
+  SELECT doc_id, size, b, row_number() OVER w AS pos, 2 * sum(size) OVER w - size AS middle, sum(size) OVER () AS total
+  FROM keyed WINDOW w AS (ORDER BY k, doc_id ASC NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+sharded AS (SELECT *, least(CAST(middle * 40 AS HUGEINT) // (2 * total), 39) AS shard FROM lined)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CASE WHEN size = 16 THEN 0 ELSE {_crc(_BYTES)} END AS text_crc32, 'bytes' AS law,
+  CAST(shard AS INTEGER) AS shard, pos - min(pos) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded, crc_table
+"""
+
+_LOWER_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM d),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+  SELECT a, b FROM sym UNION SELECT r.doc_id, l.b FROM reached r JOIN sym l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(m.low, d.doc_id)) AS kept
+FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+OP8 = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, {_crc(_ID_BYTES)} % 5 = 1 AS held_out, list_append({_LOWER_WORDS}, ' ') AS w FROM documents, crc_table),
+tokens AS (
+  SELECT doc_id, held_out, unnest(w) AS token, unnest(list_prepend(chr(10), w[:len(w) - 1])) AS before FROM d),
+uni AS (SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token),
+contexts AS (SELECT before, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY before),
+bi AS (SELECT before, token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY before, token),
+totals AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM uni),
+weighed AS (
+  SELECT x.doc_id, x.held_out, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS cb, coalesce(k.c, 0) AS ck, n,
+    (coalesce(u.c, 0) + {lm.ADDED}::DOUBLE) / (n + {lm.ADDED}::DOUBLE * (v + 1)) AS p
+  FROM tokens x CROSS JOIN totals LEFT JOIN uni u ON u.token = x.token LEFT JOIN contexts k ON k.before = x.before
+  LEFT JOIN bi b ON b.before = x.before AND b.token = x.token)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens,
+  fsum(log10(p)) AS base_score, fsum(log10((cb + {lm.MU}::DOUBLE * p) / (ck + {lm.MU}::DOUBLE))) AS score
+FROM weighed GROUP BY doc_id, held_out
+"""
+
 SQL = {
+    "op1_sharding": OP1,
     "op2_mixing": OP2,
     "op3_exact_dedup": OP3,
+    "op5_near_dedup": OP5,
     "op6_url_filter": _op6(),
+    "op8_lm": OP8,
     "op10_topk": OP10,
 }
