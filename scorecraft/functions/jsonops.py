@@ -26,6 +26,7 @@ _WRAP_OPEN = '{"_v_":'
 _WRAP_CLOSE = ',"_z9_":0}'
 # Tokens of a to_json text: quoted strings, bare scalars, punctuation.
 _TOKEN_RE = r'"(?:[^"\\]|\\.)*"|[^"\s\[\]{},:]+|[\[\]{},:]'
+_RESPELLED = "true|false|[0-9][.eE]"
 _PUNCT = ["null", "{", "}", "[", "]", ",", ":"]
 
 MAP_OF_VARIANT = "map<string,variant>"
@@ -111,9 +112,17 @@ def canonical_map(obj: Column) -> Column:
     return F.transform_values(obj, lambda _k, v: canonical_text(F.to_json(v)))
 
 
+def _canonical_of(text: Column, obj: Column) -> Column:
+    """Canonical values of the object parsed from ``text``. Only booleans and
+    numbers with a fraction or exponent can be spelled in more than one way
+    once rendered; texts without anything like them need no token pass."""
+    plain = F.transform_values(obj, lambda _k, v: F.to_json(v))
+    return F.when(text.rlike(_RESPELLED), canonical_map(obj)).otherwise(plain)
+
+
 def canonical_object(text: Column | str) -> Column:
     """Text -> canonical value map, NULL when not a JSON object (M1 + T2)."""
-    return canonical_map(parsed_object(text))
+    return _canonical_of(_col(text), parsed_object(text))
 
 
 def with_canonical_object(df: DataFrame, text: str, out: str, keep_object: str | None = None) -> DataFrame:
@@ -128,7 +137,7 @@ def with_canonical_object(df: DataFrame, text: str, out: str, keep_object: str |
     obj = keep_object or f"_{out}_obj"
     staged = df.withColumn(tmp, _wrapped_outer(F.col(text)))
     staged = staged.withColumn(obj, F.when(_outer_ok(F.col(text), F.col(tmp)), _inner(F.col(tmp)))).drop(tmp)
-    done = staged.withColumn(out, canonical_map(F.col(obj)))
+    done = staged.withColumn(out, _canonical_of(F.col(text), F.col(obj)))
     return done if keep_object else done.drop(obj)
 
 
