@@ -47,6 +47,7 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Lets the optimizer put a Bloom filter of the hits' locators before the shuffle of the texts.
 _BLOOM = {
@@ -75,12 +76,16 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SEPARATORS, "")
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def fingerprints(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__digest, __rank`` of rows read from files; the rank orders equal
     texts and carries id (inverted: the smallest is the greatest) and locator."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return rows.select(
-        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__digest"),
+        digest(F.col(text_col)).alias("__digest"),
         F.struct(
             F.char_length(text).cast("long").alias("points"),
             F.bitwise_not(F.col(id_col).cast("long")).alias("inverted_id"),
