@@ -139,6 +139,21 @@ def q_run_summary_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.run_summary_with_abort(_outputs(spark, sf_dir), None))
 
 
+@register("row_truths")
+def q_row_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: the expected output where it is an object, else the other columns."""
+    ev = D.evaluations(spark, sf_dir)
+    others = {"case_id": F.col("case_id"), "row_index": F.col("row_index"), "error_kind": F.col("error_kind")}
+    return ev.select("eval_id", J.ground_truth_object(F.col("llm_output"), others).alias("truth"))
+
+
+@register("success_fractions")
+def q_success_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + M18: completed and all rows of each run as one text."""
+    summary = S.run_summary(S.evaluate(None, _outputs(spark, sf_dir, with_auth=False)))
+    return summary.select("model", "case_id", K.success_fraction("successful_evaluations", "total_rows").alias("fraction"))
+
+
 @register("report_rows")
 def q_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written report rows (D6) up to each run's abort point."""

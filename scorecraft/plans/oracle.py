@@ -163,6 +163,16 @@ SELECT ab.model, ab.case_id,
                   ELSE agg.s / agg.n END, 6) AS average_score
 FROM ab LEFT JOIN agg USING (model, case_id)"""
 
+SQL["row_truths"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE)}
+SELECT eval_id, CASE WHEN pred_ok THEN llm_output ELSE
+  '{{"case_id":"' || case_id || '","row_index":' || CAST(row_index AS VARCHAR) || ',"error_kind":' ||
+  coalesce('"' || error_kind || '"', 'null') || '}}' END AS truth
+FROM sc"""
+
+SQL["success_fractions"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE)}
+SELECT model, case_id, CAST(count(*) FILTER (WHERE error_kind IS NULL) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS fraction
+FROM sc GROUP BY model, case_id"""
+
 SQL["report_rows"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS)}
 SELECT model, case_id, row_index,
        CASE WHEN error_kind IS NULL THEN 'completed' ELSE 'failed' END AS status,
