@@ -9,7 +9,7 @@ text is read once from left to right: it carries its state, takes the arc of
 the next token or fails to the root first, and adds up the weights.
 
 The whole automaton would grow with the corpus, so no worker holds it.
-1. Documents are taken in blocks of consecutive rows. A block asks, by 64-bit
+1. Documents are taken in blocks of neighbouring rows of a file. A block asks, by 64-bit
    keys, for all its words and bigrams, and tells how often each stands in its
    own training texts. Requests go to parts of the key space as packed arrays.
 2. A part adds up what it was told by all blocks and answers each request with
@@ -141,7 +141,7 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
         texts, train, block, lo, hi, size = [], [], None, 0, 0, 0
         for batch in batches:
             for text, learn, own, row in zip(*(batch.column(c).to_pylist() for c in ("__text", "__train", "__block", "__row"))):
-                if texts and (own != block or row != hi + 1 or size > 2 * BLOCK_BYTES):
+                if texts and (own != block or row <= hi or size > 2 * BLOCK_BYTES):
                     yield batch_of(ask(texts, train, block, lo, hi))
                     texts, train, size = [], [], 0
                 if not texts:

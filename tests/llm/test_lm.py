@@ -47,6 +47,12 @@ def test_scores_against_brute_force(spark, edge, block_bytes):
     same(got.collect(), brute([(i, t) for i, t, *_ in edge_rows()], lambda i: in_fold(i) != 1, lm.MU, lm.ADDED))
 
 
+def test_rows_of_a_filtered_table(spark, edge):
+    some = edge.filter("doc_id % 2 = 0 OR doc_id IS NULL")
+    want = brute([(i, t) for i, t, *_ in edge_rows() if i is None or i % 2 == 0], lambda i: in_fold(i) != 1, lm.MU, lm.ADDED)
+    same(lm.score_texts(some, train=fold(F.col("doc_id")) != 1, block_bytes=2000).collect(), want)
+
+
 def test_no_training_text_and_empty_table(spark, edge, empty):
     got = lm.score_texts(edge, train=F.lit(False)).collect()
     same(got, brute([(i, t) for i, t, *_ in edge_rows()], lambda i: False, lm.MU, lm.ADDED))
