@@ -413,7 +413,7 @@ def q_stream_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("error_kind").isNotNull(), F.lit("error")).alias("error_kind"),
         "error_message",
     )
-    # one table file per trigger: spread each micro-batch over the cores
+    # a table of few, unsplittable files: spread each micro-batch over the cores
     _, counters_path = T.run_evaluation_log(outputs, spread_to=spark.sparkContext.defaultParallelism)
     return rounded(T.counters_summary(spark.read.parquet(counters_path)))
 
@@ -421,7 +421,7 @@ def q_stream_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_model_merge")
 def q_stream_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-2: the second half of the runs streamed into the model summary of
-    the first half (foreachBatch, batch-id versioned state)."""
+    the first half (sums in the state store, merged with the base when read)."""
     mid = D.split_point(spark, sf_dir)
     base_runs, _ = D.split_runs(spark, sf_dir)
     base = C.model_summary(base_runs)

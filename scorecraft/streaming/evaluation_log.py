@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from scorecraft.functions import jsonops as J
 from scorecraft.session import checkpoint_dir
@@ -128,17 +129,9 @@ def counters_summary(counters: DataFrame, run_keys: Sequence[str] = ("model", "c
 
 
 SUM_COLUMNS = ["score_sum", "seconds_sum", "total_runs", "completed_runs"]
-
-
-def summary_to_sums(models: DataFrame) -> DataFrame:
-    """A model summary (means + runs) as additive sums."""
-    return models.select(
-        "model",
-        (F.col("average_score") * F.col("total_runs")).alias("score_sum"),
-        (F.col("average_seconds") * F.col("total_runs")).alias("seconds_sum"),
-        F.col("total_runs").cast("bigint").alias("total_runs"),
-        F.col("completed_runs").cast("bigint").alias("completed_runs"),
-    )
+SUMMARY_COLUMNS = ["average_score", "average_seconds", "total_runs", "completed_runs"]
+# The state's value holds the aggregates of runs_to_sums in this order.
+STATE_FIELDS = "score_sum: double, seconds_sum: double, total_runs: bigint, completed_runs: bigint"
 
 
 def runs_to_sums(runs: DataFrame) -> DataFrame:
@@ -150,59 +143,37 @@ def runs_to_sums(runs: DataFrame) -> DataFrame:
     )
 
 
-def sums_to_summary(sums: DataFrame) -> DataFrame:
-    n = F.col("total_runs")
-    return sums.select(
-        "model",
-        F.when(n == 0, F.lit(0.0)).otherwise(F.col("score_sum") / n).alias("average_score"),
-        F.when(n == 0, F.lit(0.0)).otherwise(F.col("seconds_sum") / n).alias("average_seconds"),
-        "total_runs",
-        "completed_runs",
-    )
-
-
 def merge_stream_into_summary(
     runs_stream: DataFrame,
     base_models: DataFrame | None,
     state_path: str | None = None,
     available_now: bool = True,
-) -> str:
-    """T-2: fold each micro-batch of batch results into per-model sums.
-
-    Version ``n`` of the state is ``state/batch=<n>`` = version ``n-1`` (or
-    the base aggregate) + the batch's sums, so a replayed batch id rewrites
-    the same folder with the same content. Returns the state path; the
-    latest version is read with :func:`latest_state`.
+) -> str | tuple[str, StreamingQuery]:
+    """T-2: per-model sums of a stream of batch results, kept by the streaming
+    aggregation in its state store; the base summary is stored beside it and
+    the two are merged when they are read (:func:`latest_state`).
+
+    A run with the ``state_path`` of an earlier one goes on from its
+    checkpoint: files that were read are not read again, and the base stays
+    the one stored first. Returns the state path; a query that is not drained
+    (``available_now=False``) is returned with it.
     """
     spark = runs_stream.sparkSession
     state_path = state_path or _scratch(spark, "model-state")
-    base_path = os.path.join(state_path, "base")
     if base_models is not None:
-        summary_to_sums(base_models).write.mode("overwrite").parquet(base_path)
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        prev_path = os.path.join(state_path, f"batch={batch_id - 1}") if batch_id > 0 else base_path
-        parts = [runs_to_sums(batch)]
-        prev = _read_if_exists(spark, prev_path)
-        if prev is None and (batch_id > 0 or base_models is not None):
-            raise FileNotFoundError(f"the state before batch {batch_id} is missing: {prev_path}")
-        if prev is not None:
-            parts.append(prev.select("model", *SUM_COLUMNS))
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        merged = merged.groupBy("model").agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
-        merged.write.mode("overwrite").parquet(os.path.join(state_path, f"batch={batch_id}"))
-
+        base_models.select("model", *SUMMARY_COLUMNS).write.mode("ignore").parquet(os.path.join(state_path, "base"))
     trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
-    q = (
-        runs_stream.writeStream.foreachBatch(fold)
+    query = (
+        runs_to_sums(runs_stream)
+        .writeStream.outputMode("update")
+        .format("noop")
         .option("checkpointLocation", os.path.join(state_path, "_checkpoint"))
         .trigger(**trigger)
         .start()
     )
-    if available_now:
-        q.awaitTermination()
+    if not available_now:
+        return state_path, query
+    query.awaitTermination()
     return state_path
 
 
@@ -211,24 +182,39 @@ def _mkdirs(spark: SparkSession, path: str) -> None:
     hp.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hp)
 
 
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hp):
-        return None
-    return spark.read.parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp)
 
 
 def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The newest ``batch=<n>`` version (or the base when no batch ran)."""
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-    ids = [
-        int(st.getPath().getName()[6:])
-        for st in fs.listStatus(hp)
-        if st.getPath().getName().startswith("batch=") and st.getPath().getName()[6:].isdigit()
-    ]
-    path = os.path.join(state_path, f"batch={max(ids)}") if ids else os.path.join(state_path, "base")
-    return sums_to_summary(spark.read.parquet(path))
+    """The model summary now: base and streamed sums merged by T7. A model on
+    one side only keeps that side's means, whatever its number of runs."""
+    checkpoint, base_path = os.path.join(state_path, "_checkpoint"), os.path.join(state_path, "base")
+    base = spark.read.parquet(base_path) if _exists(spark, base_path) else None
+    if not _exists(spark, os.path.join(checkpoint, "state", "0")):  # no file has come yet
+        if base is None:
+            raise FileNotFoundError(f"neither a base nor a state in {state_path}")
+        return base
+    held = spark.read.format("statestore").load(checkpoint).select(
+        "key.model", F.col("value").cast(f"struct<{STATE_FIELDS}>").alias("s")
+    )
+    added = held.select("model", *[F.coalesce(f"s.{c}", F.lit(0)).alias(c) for c in SUM_COLUMNS])
+    if base is None:
+        base = spark.createDataFrame([], base_schema())
+    both = base.join(added, "model", "full")
+    runs = F.coalesce(base["total_runs"], F.lit(0)) + F.coalesce(added["total_runs"], F.lit(0))
+
+    def mean(old: str, new: str):
+        sums = F.coalesce(base[old] * base["total_runs"], F.lit(0.0)) + added[new]
+        return F.when(added["total_runs"].isNull(), base[old]).when(runs == 0, F.lit(0.0)).otherwise(sums / runs).alias(old)
+
+    done = F.coalesce(base["completed_runs"], F.lit(0)) + F.coalesce(added["completed_runs"], F.lit(0))
+    return both.select(
+        "model", mean("average_score", "score_sum"), mean("average_seconds", "seconds_sum"),
+        runs.alias("total_runs"), done.alias("completed_runs"),
+    )
+
+
+def base_schema() -> str:
+    return "model string, average_score double, average_seconds double, total_runs bigint, completed_runs bigint"

@@ -1,7 +1,6 @@
 """Streaming forms (T-1, T-2) over several micro-batches."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,22 +30,30 @@ def test_running_counters_over_batches(spark, tmp_path):
     assert spark.read.parquet(report_path).count() == 4
 
 
-def test_merge_stream_is_idempotent_per_batch(spark, tmp_path):
-    src = str(tmp_path / "runs")
+def test_merge_stream_goes_on_from_its_state(spark, tmp_path):
+    src, state = str(tmp_path / "runs"), str(tmp_path / "state")
     rows = [[("a", "x", "completed", 1.0, 2.0, 1)], [("b", "x", "completed", 0.5, 1.0, 2), ("a", "y", "failed_preprocess", 0.0, 0.0, 3)]]
+    base = spark.createDataFrame([("a", 0.7, 3.0, 4, 4), ("idle", 0.9, 2.0, 0, 0)], T.base_schema())
     for i, r in enumerate(rows):
-        spark.createDataFrame(r, RUN_SCHEMA).coalesce(1).write.parquet(f"{src}/batch={i}")
-    base = spark.createDataFrame([("a", 0.7, 3.0, 4, 4)], "model string, average_score double, average_seconds double, "
-                                                         "total_runs long, completed_runs long")
-    stream = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src)
-    state = T.merge_stream_into_summary(stream, base, state_path=str(tmp_path / "state"))
+        spark.createDataFrame(r, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        for _ in range(2):  # the second drain finds no new file and counts nothing twice
+            T.merge_stream_into_summary(spark.readStream.schema(RUN_SCHEMA).parquet(src), base, state_path=state)
+        assert {x.model: x.total_runs for x in T.latest_state(spark, state).collect()}["a"] == 5 + i
     got = {r.model: r for r in T.latest_state(spark, state).collect()}
-    assert got["a"].total_runs == 6 and got["a"].completed_runs == 5
-    assert got["a"].average_score == pytest.approx((0.7 * 4 + 1.0 + 0.0) / 6)
-    assert got["b"].total_runs == 1
-    batch_dirs = sorted(d for d in os.listdir(state) if d.startswith("batch="))
-    assert len(batch_dirs) == 2
-    # the batch result equals the batch merge of the same runs
-    all_runs = spark.read.option("recursiveFileLookup", True).parquet(src)
-    merged = {r.model: r.average_score for r in C.merge_model_summaries(base, C.model_summary(all_runs).drop("first_run")).collect()}
-    assert merged["a"] == pytest.approx(got["a"].average_score)
+    merged = {r.model: r for r in C.merge_model_summaries(base, C.model_summary(spark.read.parquet(src)).drop("first_run")).collect()}
+    assert set(got) == set(merged) == {"a", "b", "idle"}
+    for model, row in merged.items():
+        assert got[model].average_score == pytest.approx(row.average_score)
+        assert got[model].average_seconds == pytest.approx(row.average_seconds)
+        assert (got[model].total_runs, got[model].completed_runs) == (row.total_runs, row.completed_runs)
+    assert got["idle"].average_score == 0.9
+
+
+def test_base_without_streamed_runs(spark, tmp_path):
+    base = spark.createDataFrame([("a", 0.7, 3.0, 4, 4)], T.base_schema())
+    src = str(tmp_path / "none")
+    spark.createDataFrame([], RUN_SCHEMA).write.parquet(src)
+    state = T.merge_stream_into_summary(spark.readStream.schema(RUN_SCHEMA).parquet(src), base, state_path=str(tmp_path / "s"))
+    assert [tuple(r) for r in T.latest_state(spark, state).collect()] == [("a", 0.7, 3.0, 4, 4)]
+    with pytest.raises(FileNotFoundError):
+        T.latest_state(spark, str(tmp_path / "nowhere"))
