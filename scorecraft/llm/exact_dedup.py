@@ -48,6 +48,8 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # executors let go of a finished stream's stores soon, not a minute into the next work
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 #: Lets the optimizer put a Bloom filter of the hits' locators before the shuffle of the texts.
 _BLOOM = {

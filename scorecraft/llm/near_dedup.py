@@ -61,7 +61,7 @@ K = 64
 TAIL = 1e-10
 #: Members of a star measured in one group, and the blocks of the comparisons.
 STAR_BLOCK, NEAR_BLOCK, OTHER_BLOCK, LIST_BLOCK = 64, 64, 256, 64
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1 << 18
 
 
 # -- sets -----------------------------------------------------------------------
