@@ -82,6 +82,8 @@ def thresholds(sized: DataFrame, targets: DataFrame, bits: int, levels: int) ->
             .join(bounds, ["__skey", "__prefix"])
             .groupBy("__skey", "__extra", "__base", F.shiftright("__h", here).alias("cell"))
             .agg(F.sum("__size").alias("tokens"))
+            # summed by cell before a source's cells meet: else all tasks' parts of a hot source would
+            .repartition("__skey")
         )
         run = Window.partitionBy("__skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         past = cells.withColumn("upto", F.col("__base") + F.sum("tokens").over(run)).filter(F.col("upto") > F.col("__extra"))
@@ -96,7 +98,8 @@ def thresholds(sized: DataFrame, targets: DataFrame, bits: int, levels: int) ->
     cut = F.col("__prefix") + F.when(2 * (F.col("__extra") - F.col("__base")) >= F.col("__tokens"), F.lit(1)).otherwise(F.lit(0))
     found = bounds.select("__skey", cut.alias("__found"))
     none = F.when(F.col("__extra") > 0, F.lit(1 << (bits * levels))).otherwise(F.lit(0))
-    return plans.join(found, "__skey", "left").withColumn("__cut", F.coalesce("__found", none)).drop("__found", "__extra")
+    cut = F.when(F.col("__extra") > 0, F.coalesce("__found", none)).otherwise(F.lit(0))
+    return plans.join(found, "__skey", "left").withColumn("__cut", cut).drop("__found", "__extra")
 
 
 def repeats(
