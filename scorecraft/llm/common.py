@@ -60,7 +60,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     the default of 10,000 a worker and its executor would hold some of long
     texts at once. Stays set, as plans read it when they run."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
+    if not 0 < int(spark.conf.get(key)) <= rows:  # 0 and below mean no limit
         spark.conf.set(key, str(rows))
 
 
