@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Values that a step of a fit looks at together.
+CHUNK = 1 << 19
+
+
 def sampled(key: Column, rows: int, limit: int) -> Column:
     """Whether a row is in a sample of about ``limit`` of ``rows`` rows, by a
     hash: the same rows at each run."""
@@ -32,14 +36,21 @@ def fit_logistic(
     steps: int = 200, rate: float = 0.5, l2: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias for targets between 0 and 1, by AdaGrad on the whole
-    sample. Row i has the next ``lengths[i]`` of ``columns`` and ``values``."""
+    sample. Row i has the next ``lengths[i]`` of ``columns`` and ``values``.
+    Each step goes through the rows in chunks, which bounds its memory."""
+    columns, values = columns.astype(np.int32), values.astype(np.float32)
     w, b = np.zeros(features), 0.0
     gw, gb = np.full(features, 1e-8), 1e-8
-    row = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.append(0, np.cumsum(lengths))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, max(ends[-1], 1), CHUNK)), [0, len(lengths)]))
     for _ in range(steps if len(y) else 0):
-        wrong = sigmoid(np.bincount(row, w[columns] * values, len(lengths)) + b) - y
-        dw = np.bincount(columns, wrong[row] * values, features) / len(y) + l2 * w
-        db = float(wrong.mean())
+        dw, db = l2 * w, 0.0
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            c, v = columns[ends[first] : ends[last]], values[ends[first] : ends[last]]
+            row = np.repeat(np.arange(last - first), lengths[first:last])
+            wrong = sigmoid(np.bincount(row, w[c] * v, last - first) + b) - y[first:last]
+            dw += np.bincount(c, wrong[row] * v, features) / len(y)
+            db += float(wrong.sum()) / len(y)
         gw += dw**2
         gb += db**2
         w -= rate * dw / np.sqrt(gw)

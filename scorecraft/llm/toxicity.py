@@ -30,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.llm.common import stage
+from scorecraft.llm.common import small_batches, stage
 from scorecraft.llm.linear import fit_logistic, hashed, sampled, sigmoid
 
-ORDERS, BITS, Z, SAMPLE = (4, 5), 20, 4.0, 16_000
+ORDERS, BITS, Z, SAMPLE = (3, 5, 7), 20, 6.0, 8_000
 #: Ranges of buckets that the counts are added up in.
 RANGES = 64
 
@@ -96,10 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     votes = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("__label")
     )
-    labelled = stage(
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(votes, "__id").select("__text", "__label"),
-        "toxicity-labelled",
-    )
+    # the same join at every size: both sides by id, hot ids split by AQE
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    labelled = stage(texts.join(votes.hint("merge"), "__id").select("__text", "__label"), "toxicity-labelled")
     n1, n0 = labelled.agg(F.count_if(F.col("__label") == 1), F.count_if(F.col("__label") == 0)).first()
     if not n1 or not n0:
         return None, None, float(np.log((n1 + 0.5) / (n0 + 0.5)))
@@ -118,10 +117,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     rows = part.mapInArrow(features, "label int, features binary").toPandas()
     found = [np.frombuffer(f, np.int32) for f in rows["features"]]
     lengths = np.fromiter(map(len, found), np.int64, len(found))
-    used, columns = np.unique(np.concatenate([*found, np.empty(0, np.int32)]), return_inverse=True)
-    values = scale[used][columns]
-    norm = np.sqrt(np.maximum(np.bincount(np.repeat(np.arange(len(found)), lengths), values**2, len(found)), 1.0))
-    w, b = fit_logistic(columns, lengths, values / np.repeat(norm, lengths), rows["label"].to_numpy(float), len(used))
+    used = np.flatnonzero(scale)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    unit = lambda v: (v / np.sqrt(max((v**2).sum(), 1.0))).astype(np.float32)
+    columns = np.concatenate([place[f] for f in found] + [np.empty(0, np.int32)])
+    values = np.concatenate([unit(scale[f]) for f in found] + [np.empty(0, np.float32)])
+    w, b = fit_logistic(columns, lengths, values, rows["label"].to_numpy(float), len(used), l2=1e-5)
     weight = np.zeros(1 << BITS, np.float32)
     weight[used] = w * scale[used]
     return weight, (scale**2).astype(np.float32), b
@@ -143,6 +145,8 @@ def score_toxicity(
     share = docs.sparkSession.sparkContext.broadcast((weight, squares, bias))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    small_batches(docs.sparkSession)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, sq, b = share.value
         for batch in batches:
