@@ -74,6 +74,11 @@ def file_backed(df: DataFrame) -> DataFrame:
         return stage(df, "rows")
 
 
+def row_hash() -> Column:
+    """A hash of a file-backed row's locator, whatever the row holds."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def located(df: DataFrame) -> DataFrame:
     """A file-backed ``df`` with ``__file`` and ``__row``, which name a row."""
     return df.select(

@@ -14,10 +14,11 @@ CHUNK = 1 << 19
 
 def sampled(key: Column, rows: int, limit: int) -> Column:
     """Whether a row is in a sample of about ``limit`` of ``rows`` rows, by a
-    hash: the same rows at each run."""
+    hash that is the row's own (``row_hash``): copies and nulls are thinned like
+    all other rows, and the same files give the same sample at each run."""
     if rows <= limit:
         return F.lit(True)
-    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(limit / rows * (1 << 30)))
+    return F.pmod(key, F.lit(1 << 30)) < F.lit(int(limit / rows * (1 << 30)))
 
 
 def hashed(values: np.ndarray, bits: int) -> np.ndarray:

@@ -9,7 +9,8 @@ over hashed word shapes is trained on these labels and scores each document; it
 judges by all of the text where the labellers see single symptoms.
 
 The counts cover all documents; the regression is fitted on a sample of about
-``SAMPLE`` of them at most (by a hash of the text), on the driver. Scoring reads
+``SAMPLE`` of them at most (by a hash of the row's file and place, a copy of the
+texts being written first if ``docs`` is no plain read of files), on the driver. Scoring reads
 every whole text once, without a shuffle; the weights (2**BITS floats) and the
 posteriors are broadcast.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecraft.llm.common import small_batches
+from scorecraft.llm.common import file_backed, row_hash, small_batches
 from scorecraft.llm.linear import fit_logistic, hashed, sampled, sigmoid
 
 BITS, SAMPLE, EM_STEPS = 18, 16_000, 100
@@ -189,8 +190,10 @@ def fit(docs: DataFrame, text_col: str, sample: int) -> tuple[np.ndarray, float,
                 names=["pattern", "place", "value"],
             )
 
-    chosen = docs.select(text_col).filter(sampled(F.col(text_col), sum(counts.values()), sample))
-    rows = chosen.mapInArrow(read, "pattern int, place binary, value binary").toPandas()
+    total, texts = sum(counts.values()), docs.select(text_col)
+    if total > sample:
+        texts = file_backed(texts)
+    rows = texts.filter(sampled(row_hash(), total, sample)).select(text_col).mapInArrow(read, "pattern int, place binary, value binary").toPandas()
     place = [np.frombuffer(p, np.int32) for p in rows["place"]]
     value = [np.frombuffer(v, np.float32) for v in rows["value"]]
     used, columns = np.unique(np.concatenate([*place, np.empty(0, np.int32)]), return_inverse=True)

@@ -8,8 +8,9 @@ less than ``Z`` standard errors are left out. A row is divided by its norm, and
 a logistic regression over the scaled features gives the weights.
 
 Counting reads every labelled text. The regression is fitted on a sample of at
-most about ``SAMPLE`` of them (by a hash of the text), on the driver, in arrays
-that these bounds limit. Weights (2 * 2**BITS floats) are broadcast. Scoring
+most about ``SAMPLE`` of them (by a hash of the row's file and place, a copy
+being written first if ``learn_from`` is no plain read of files), on the driver,
+in arrays that these bounds limit. Weights (2 * 2**BITS floats) are broadcast. Scoring
 reads every whole text once, without a shuffle.
 
 Defined cases: null and empty texts have no features and get the bias alone;
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.llm.common import small_batches, stage
+from scorecraft.llm.common import file_backed, row_hash, small_batches, stage
 from scorecraft.llm.linear import fit_logistic, hashed, sampled, sigmoid
 
 ORDERS, BITS, Z, SAMPLE = (3, 5, 7), 20, 6.0, 8_000
@@ -97,8 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         (F.avg(label_col) >= 0.5).cast("int").alias("__label")
     )
     # the same join at every size: both sides by id, hot ids split by AQE
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    labelled = stage(texts.join(votes.hint("merge"), "__id").select("__text", "__label"), "toxicity-labelled")
+    texts = file_backed(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
+    texts = texts.select("__id", "__text", row_hash().alias("__at"))
+    labelled = stage(texts.join(votes.hint("merge"), "__id").select("__text", "__label", "__at"), "toxicity-labelled")
     n1, n0 = labelled.agg(F.count_if(F.col("__label") == 1), F.count_if(F.col("__label") == 0)).first()
     if not n1 or not n0:
         return None, None, float(np.log((n1 + 0.5) / (n0 + 0.5)))
@@ -113,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 names=["label", "features"],
             )
 
-    part = labelled.filter(sampled(F.col("__text"), n1 + n0, sample)).select("__text", "__label")
+    part = labelled.filter(sampled(F.col("__at"), n1 + n0, sample)).select("__text", "__label")
     rows = part.mapInArrow(features, "label int, features binary").toPandas()
     found = [np.frombuffer(f, np.int32) for f in rows["features"]]
     lengths = np.fromiter(map(len, found), np.int64, len(found))

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scorecraft.llm import linear, quality, toxicity
@@ -84,3 +85,32 @@ def test_logistic_regression_separates():
     columns = np.stack([y.astype(int), rng.integers(2, 30, 500)], 1).ravel()
     w, b = linear.fit_logistic(columns, np.full(500, 2), np.ones(1000), y, 30)
     assert w[1] - w[0] > 2 and abs(b) < 3
+
+
+def _crowded(spark, scratch, text):
+    """9,000 rows of which a third hold ``text``, the others one text each."""
+    rows = [(i, text if i % 3 == 0 else f"{words(i, 30)} t{i}", int(i % 2)) for i in range(9000)]
+    return spark.read.parquet(scratch(spark.createDataFrame(rows, "doc_id long, text string, toxic int")))
+
+
+@pytest.mark.parametrize("text", [None, "the same words in a great many rows " * 5])
+def test_fit_samples_thin_copies_and_nulls_like_other_rows(spark, scratch, monkeypatch, text):
+    docs, fits = _crowded(spark, scratch, text), []
+
+    def spy(columns, lengths, values, y, features, **kw):
+        fits.append((lengths, y))
+        return linear.fit_logistic(columns, lengths, values, y, features, **kw)
+
+    monkeypatch.setattr(quality, "fit_logistic", spy)
+    monkeypatch.setattr(toxicity, "fit_logistic", spy)
+    seen = []
+    for module in (quality, toxicity):
+        monkeypatch.setattr(module, "sampled", lambda *a: seen.append(linear.sampled(*a)) or seen[-1])
+    quality.fit(docs, "text", 900)
+    toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "doc_id", "text", "toxic", 900, 6.0)
+    assert all(750 < len(y) < 1050 for _, y in fits)
+    # a frame that no file backs is sampled by the rows of its written copy
+    quality.fit(spark.createDataFrame(docs.collect(), docs.schema), "text", 900)
+    assert len(fits) == 3 and 750 < len(fits[2][1]) < 1050
+    crowd = docs.filter(F.col("text").eqNullSafe(F.lit(text))).filter(seen[0]).count()
+    assert 220 < crowd < 380
