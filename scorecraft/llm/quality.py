@@ -14,6 +14,10 @@ texts being written first if ``docs`` is no plain read of files), on the driver.
 every whole text once, without a shuffle; the weights (2**BITS floats) and the
 posteriors are broadcast.
 
+Repeated words are counted in windows of ``WINDOW`` words over the whole text,
+so that a clean text of any length counts as its parts do; what repeats at a
+greater distance is seen by its repeated lines only.
+
 Defined cases: null and blank texts get no votes and no features: their
 posterior and score are the estimated share of good documents; short texts get
 fewer votes; repeated rows count each; ties cannot occur but for a score of
@@ -44,6 +48,9 @@ BAD, GOOD, NONE = 0, 1, 2
 FALSE_ALARM = 0.01
 #: Texts with fewer words tell too little for the labellers of shares.
 ENOUGH = 20
+#: Words are looked for again in so many at a time: the share of words that have
+#: come before rises with the length of any text.
+WINDOW = 1000
 
 
 def between(value: float, good: float, bad: float) -> int:
@@ -51,6 +58,11 @@ def between(value: float, good: float, bad: float) -> int:
     return GOOD if value <= good else BAD if value >= bad else NONE
 
 
+def repeated(words: list[str]) -> int:
+    """How many words have come before in their window, over the whole text."""
+    return sum(len(w) - len(set(w)) for w in (words[i : i + WINDOW] for i in range(0, len(words), WINDOW)))
+
+
 class Signals:
     """What the labellers look at."""
 
@@ -62,7 +74,7 @@ class Signals:
         letters = sum(map(str.isalpha, text)) or 1
         shared = Counter(lines)
         self.repeats = sum(map(eq, self.words, self.words[1:])) / max(self.n, 1)
-        self.distinct = len(set(self.words)) / max(self.n, 1)
+        self.again = repeated(self.words) / max(self.n, 1)
         self.upper = sum(map(str.isupper, text)) / letters
         self.symbols = 1 - sum(map(str.isalnum, text)) / chars
         self.bars = text.count("|") / max(self.n, 1)
@@ -74,7 +86,7 @@ class Signals:
 #: Each labeller: the words it needs, and its vote.
 LABELLERS = {
     "repeated words": (ENOUGH, lambda s: between(s.repeats, 0.05, 0.2)),
-    "distinct words": (ENOUGH, lambda s: between(1 - s.distinct, 0.5, 0.7)),
+    "distinct words": (ENOUGH, lambda s: between(s.again, 0.5, 0.7)),
     "capitals": (1, lambda s: between(s.upper, 0.1, 0.5)),
     "symbols": (ENOUGH, lambda s: between(s.symbols, 0.06, 0.12)),
     "table bars": (ENOUGH, lambda s: between(s.bars, 0.0, 0.1)),
@@ -164,7 +176,7 @@ def features(text: str | None, shapes: Shape, hashes: dict[str, int]) -> tuple[n
         return np.empty(0, np.int64), np.empty(0)
     counts = Counter(RUN.sub(r"\1", text.translate(shapes)).split())
     counts["= before"] = sum(map(eq, words, words[1:]))
-    counts["= earlier"] = len(words) - len(set(words))
+    counts["= earlier"] = repeated(words)
     for name in counts.keys() - hashes.keys():
         hashes[name] = xxhash.xxh3_64_intdigest(name)
     place = hashed(np.fromiter(map(hashes.__getitem__, counts), np.uint64, len(counts)), BITS)

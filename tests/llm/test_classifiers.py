@@ -114,3 +114,23 @@ def test_fit_samples_thin_copies_and_nulls_like_other_rows(spark, scratch, monke
     assert len(fits) == 3 and 750 < len(fits[2][1]) < 1050
     crowd = docs.filter(F.col("text").eqNullSafe(F.lit(text))).filter(seen[0]).count()
     assert 220 < crowd < 380
+
+
+def test_a_long_clean_document_is_judged_like_its_parts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.filter("quality = 1"), "doc_id").filter("lang = 'en'").orderBy("doc_id").select("text").limit(4000)
+    parts, n = [r["text"] for r in clean.collect()], 0
+    long, i = [], 0
+    while n < 300_000:
+        long.append(parts[i % len(parts)])
+        n, i = n + len(long[-1].split()), i + 1
+    text = "\n".join(long)
+    distinct = list(quality.LABELLERS).index("distinct words")
+    assert quality.votes(text)[distinct] == quality.GOOD
+    assert quality.votes(" ".join(["the same few words"] * 75_000))[distinct] == quality.BAD
+    place = quality.hashed(np.array([quality.xxhash.xxh3_64_intdigest("= earlier")], np.uint64), quality.BITS)
+    at, value = quality.features(text, quality.Shape(), {})
+    assert value[at == place] ** 2 < 0.5
+    few = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = quality.score_quality(few.union(spark.createDataFrame([(-1, text)], few.schema))).filter("__c0 = -1").collect()
+    assert rows[0]["kept"] and rows[0]["posterior"] >= 0.5
