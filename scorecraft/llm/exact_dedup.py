@@ -6,7 +6,7 @@ table of marks, and a keyed aggregation over them, without a watermark, keeps
 in a disk-backed state store that never expires one entry per digest: how many
 rows have come, and of the row that stays its id and its locator. A later run
 over a table with more files and the same ``state`` folder reads only the new
-files.
+files, whatever their modification times.
 
 The digest only proposes. On every hit (a digest that has more than one row)
 the full normalised bytes are compared with those of the row that the locator
@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.llm.common import SEPARATORS, scratch_path, stage
+from scorecraft.session import ANY_AGE
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -102,11 +103,11 @@ def run_stream(spark: SparkSession, path: str, id_col: str, text_col: str, state
     ``__digest, __rank``, and the state, ``__digest, __n, __keep``."""
     # a pattern that matches this path alone: the stream source takes a plain path for a folder only
     path = path.rstrip("/")
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    rows = spark.readStream.options(**ANY_AGE).schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
     marks, landing = fingerprints(rows, id_col, text_col), f"{state}/marks"
     marks.writeStream.format("parquet").option("path", landing).trigger(availableNow=True) \
         .option("checkpointLocation", f"{state}/landing").start().awaitTermination()
-    landed = spark.readStream.schema(marks.schema).parquet(landing)
+    landed = spark.readStream.options(**ANY_AGE).schema(marks.schema).parquet(landing)
     entries = landed.groupBy("__digest").agg(F.max("__rank").alias("keep"), F.count(F.lit(1)).alias("n"))
     with _settings(spark, _STORE):
         entries.writeStream.outputMode("update").format("noop").trigger(availableNow=True) \

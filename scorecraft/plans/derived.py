@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.operators.layout import spread
-from scorecraft.session import prepare_session
+from scorecraft.session import ANY_AGE, prepare_session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +106,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The pattern matches the table's path alone; as a plain path the stream
     source would take a folder only. The source sizes its own batches."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+    return spark.readStream.options(**ANY_AGE).schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 # Run status by event_id % 10.

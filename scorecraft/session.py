@@ -14,6 +14,9 @@ _RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+#: For file streams: by default they skip files a week older than the newest seen.
+ANY_AGE = {"maxFileAge": "36500d"}
+
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the JSON operators need (idempotent)."""

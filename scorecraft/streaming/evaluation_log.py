@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scorecraft.functions import jsonops as J
-from scorecraft.session import checkpoint_dir
+from scorecraft.session import ANY_AGE, checkpoint_dir
 
 COMPLETED = "completed"
 FAILED = "failed"
@@ -99,7 +99,7 @@ def run_evaluation_log(
     # output text is parsed once (in q1). The folder must exist before a file
     # stream can start on it (q1 may not have committed a batch yet).
     _mkdirs(spark, report_path)
-    scored = spark.readStream.schema(reports.schema).parquet(report_path)
+    scored = spark.readStream.options(**ANY_AGE).schema(reports.schema).parquet(report_path)
 
     def write_counters(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(counters_path)

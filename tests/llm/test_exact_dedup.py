@@ -1,4 +1,6 @@
 import hashlib
+import os
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -51,3 +53,16 @@ def test_state_takes_new_files_and_never_counts_twice(spark, tmp_path):
     for _ in range(2):  # the second run reads no file
         got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_table(spark, path, state=state).collect()}
         assert got == {1: (3, 2), 3: (3, 2), 2: (2, 2), 4: (2, 2)}
+
+
+def test_state_takes_added_files_of_older_modification_time(spark, tmp_path):
+    path, state = tmp_path / "t", str(tmp_path / "state")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    make([(1, "a b"), (2, "c")]).write.parquet(str(path))
+    exact_dedup.dedup_table(spark, str(path), state=state).collect()
+    before = set(path.glob("*.parquet"))
+    make([(3, "a  b"), (4, "d")]).write.mode("append").parquet(str(path))
+    for added in set(path.glob("*.parquet")) - before:
+        os.utime(added, (time.time() - 400 * 86400,) * 2)
+    rows = exact_dedup.dedup_table(spark, str(path), state=state).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == {1: (3, 2), 3: (3, 2), 2: (2, 1), 4: (4, 1)}
