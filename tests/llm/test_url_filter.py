@@ -72,3 +72,12 @@ def test_named_seeds_and_empty_table(spark):
     assert verdict["far.net"] == "block" and verdict["friend.net"] == "block" and verdict["farm.net"] == "allow"
     assert {r["rule"] for r in rows} == {None}
     assert url_filter.judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_chain_longer_than_the_waves(spark):
+    chain = [(i, f"http://h{i}.net/", link(f"h{i - 1}.net") if i else "") for i in range(31)]
+    pages = spark.createDataFrame(chain, "page_id long, url string, html string")
+    verdicts = lambda **kw: {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules=(), blocked=["h0.net"], **kw).collect()}
+    assert set(verdicts(steps=200).values()) == {"block"}
+    # the limit that README names
+    assert {i for i, v in verdicts().items() if v == "block"} == set(range(STEPS + 1))
