@@ -188,6 +188,58 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_know
 FROM weighed GROUP BY doc_id, held_out
 """
 
+
+def _op11(source_levels: int = 6, top_levels: int = 4) -> str:
+    """Trees of up to 16^source_levels leaves a source and 16^top_levels sources."""
+    field = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}, '-')"
+    hashed = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    joined = "array_to_string(hs, '')"
+    left, right = "array_to_string(hs[1:pos % 16], '')", "array_to_string(hs[pos % 16 + 2:], '')"
+    steps = []
+
+    def climb(nodes: str, ways: str, levels: int) -> None:
+        for k in range(levels):
+            steps.append(
+                f"{nodes}_runs{k} AS MATERIALIZED (SELECT tree, pos // 16 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n "
+                f"FROM {nodes}{k} GROUP BY tree, pos // 16)"
+            )
+            steps.append(
+                f"{nodes}{k + 1} AS MATERIALIZED (SELECT tree, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256({joined}) END AS h, "
+                f"(n + 15) // 16 AS n FROM {nodes}_runs{k})"
+            )
+            steps.append(
+                f"{ways}{k + 1} AS (SELECT w.* EXCLUDE (pos, s, f), w.pos // 16 AS pos, "
+                f"w.s || CASE WHEN n = 1 THEN '' ELSE {left} || {right} END AS s, "
+                f"CASE WHEN n = 1 THEN w.f ELSE sha256({left} || w.f || {right}) END AS f "
+                f"FROM {ways}{k} w JOIN {nodes}_runs{k} r ON r.tree = w.tree AND r.run = w.pos // 16)"
+            )
+
+    climb("node", "way", source_levels)
+    steps.append(
+        f"top0 AS MATERIALIZED (SELECT '' AS tree, tree AS source_tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, "
+        f"count(*) OVER () AS n FROM node{source_levels})"
+    )
+    steps.append(
+        f"up0 AS (SELECT w.doc_id, w.leaf, t.h AS subroot, w.s, w.f, t.pos, '' AS tree "
+        f"FROM way{source_levels} w JOIN top0 t ON t.source_tree = w.tree)"
+    )
+    climb("top", "up", top_levels)
+    return f"""
+WITH {_CRC_TABLE},
+d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {hashed('text')} AS leaf,
+    CASE WHEN {_crc(_ID_BYTES)} % 5 = 0 THEN {hashed(lower)} ELSE {hashed('text')} END AS f FROM documents, crc_table),
+node0 AS MATERIALIZED (
+  SELECT doc_id, tree, leaf AS h, f, row_number() OVER (PARTITION BY tree ORDER BY doc_id ASC NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n FROM d),
+way0 AS (SELECT doc_id, tree, h AS leaf, '' AS s, f, pos FROM node0),
+{', '.join(steps)}
+SELECT u.doc_id, u.leaf, u.subroot, t.h AS root, sha256(u.s) AS proof_sha256, u.f AS folded_root, u.f = t.h AS verified
+FROM up{top_levels} u JOIN top{top_levels} t ON t.tree = u.tree
+"""
+
+
 SQL = {
     "op1_sharding": OP1,
     "op2_mixing": OP2,
@@ -196,4 +248,5 @@ SQL = {
     "op6_url_filter": _op6(),
     "op8_lm": OP8,
     "op10_topk": OP10,
+    "op11_merkle": _op11(),
 }

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import bpe, exact_dedup, lm, mixing, near_dedup, quality, sharding, topk, toxicity, url_filter
-from scorecraft.llm.common import fold, table
+from scorecraft.llm import (
+    bpe, exact_dedup, lm, merkle, mixing, near_dedup, quality, sharding, topk, toxicity, url_filter,
+)
+from scorecraft.llm.common import fold, lower_ascii, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +92,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of the documents by source, with checked proofs."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents")
+    leaves = merkle.document_leaves(docs, tampered, lower_ascii(F.col("text")))
+    return merkle.proofs(merkle.build_manifest(leaves)).withColumnRenamed("id", "doc_id")
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_sharding, op2_mixing, op3_exact_dedup, op4_quality, op5_near_dedup,
-        op6_url_filter, op7_bpe, op8_lm, op9_toxicity, op10_topk,
+        op6_url_filter, op7_bpe, op8_lm, op9_toxicity, op10_topk, op11_merkle,
     )
 }
