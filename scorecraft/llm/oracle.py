@@ -240,6 +240,22 @@ FROM up{top_levels} u JOIN top{top_levels} t ON t.tree = u.tree
 """
 
 
+_BASE32 = (
+    "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    "((('0x' || substr(hx, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '')"
+)
+
+OP13 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hx FROM pages),
+ranked AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS response
+  FROM p WINDOW w AS (PARTITION BY body ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN response END AS refers_to
+FROM ranked
+"""
+
 SQL = {
     "op1_sharding": OP1,
     "op2_mixing": OP2,
@@ -249,4 +265,5 @@ SQL = {
     "op8_lm": OP8,
     "op10_topk": OP10,
     "op11_merkle": _op11(),
+    "op13_warc": OP13,
 }

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.llm import (
-    bpe, exact_dedup, lm, merkle, mixing, near_dedup, quality, sharding, topk, toxicity, url_filter,
+    bpe, exact_dedup, lm, merkle, mixing, near_dedup, quality, sharding, topk, toxicity, url_filter, warc,
+    whitening,
 )
 from scorecraft.llm.common import fold, lower_ascii, table
 
@@ -100,10 +101,21 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.build_manifest(leaves)).withColumnRenamed("id", "doc_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 8 whitened components of largest variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC, normalised and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_sharding, op2_mixing, op3_exact_dedup, op4_quality, op5_near_dedup,
-        op6_url_filter, op7_bpe, op8_lm, op9_toxicity, op10_topk, op11_merkle,
+        op6_url_filter, op7_bpe, op8_lm, op9_toxicity, op10_topk, op11_merkle, op12_whitening,
+        op13_warc,
     )
 }
