@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions import keys as K
-from scorecraft.operators.layout import dense_index
+from scorecraft.operators.layout import dense_index, written
 
 # Reasons for skipped inputs and the ground-truth table layout.
 UNSUPPORTED_REASON = "unsupported input format "
 NO_OUTPUT_REASON = "matching *_output.csv file was not found"
 GROUND_TRUTH_HEADERS = ["unit", "item", "num_type", "status_type", "value"]
 SHEET_NAME = "Sheet1"
-MAX_MODELS = 100_000
+# Rows of the two sides that meet in one group of the run matrix.
+MODELS_PER_BLOCK = 1_000
+CASES_PER_BLOCK = 100_000
 
 
 def input_files(listing: DataFrame) -> DataFrame:
@@ -94,25 +96,48 @@ def with_case_positions(cases: DataFrame, order_col: str = "input_path") -> Data
     return dense_index(cases, order_col, "case_pos")
 
 
-def run_matrix(models: Sequence[str], cases: DataFrame, order_col: str = "input_path") -> DataFrame:
+def run_matrix(
+    models: DataFrame | Sequence[str],
+    cases: DataFrame,
+    order_col: str = "input_path",
+    model_order: str = "model",
+    models_per_block: int = MODELS_PER_BLOCK,
+    cases_per_block: int = CASES_PER_BLOCK,
+) -> DataFrame:
     """Every model x every case, model-major, 1-based ``run_index``
     ``= model_pos * n_cases + case_pos + 1``.
 
-    ``models`` is the configured model list (a parameter, checked to be a
-    bounded list); each case row is expanded by a literal array, so there
-    is no join at all.
+    ``models``: a DataFrame with ``model``, in the order of ``model_order``, or a
+    list in its own order; repeated models count once. Both sides get dense
+    positions. The models of a block are gathered in one row by a partial
+    aggregate, and each pair of blocks is one key of an equi-join: no side is
+    collected, no group grows with the data, and what is sent is cases x model
+    blocks + models x case blocks (few models make one block, which Spark
+    broadcasts by its size).
     """
-    models = list(dict.fromkeys(models))
-    if len(models) > MAX_MODELS:
-        raise ValueError(f"too many models for one run matrix: {len(models)}")
-    positioned = with_case_positions(cases, order_col)
-    n_cases = positioned.count()
-    expanded = positioned.select(
-        "*", F.posexplode(F.array(*[F.lit(m) for m in models])).alias("model_pos", "model")
-    )
-    return expanded.withColumn(
-        "run_index", F.col("model_pos") * F.lit(n_cases) + F.col("case_pos") + F.lit(1)
+    spark = cases.sparkSession
+    if not isinstance(models, DataFrame):
+        names = list(dict.fromkeys(models))
+        models = spark.createDataFrame(list(enumerate(names)), "_nth long, model string")
+        model_order = "_nth"
+    first = models.groupBy("model").agg(F.min(model_order).alias("_order"))
+    positioned = dense_index(first, "_order", "model_pos")
+    blocks = written(
+        positioned.groupBy(F.floor(F.col("model_pos") / models_per_block).cast("long").alias("_mb")).agg(
+            F.collect_list(F.struct("model_pos", "model")).alias("_models")
+        ),
+        "model-blocks",
     )
+    cased = with_case_positions(cases, order_col)
+    n_cases, model_blocks = cased.count(), blocks.count()
+    case_blocks = -(-n_cases // cases_per_block)
+    if not model_blocks or not case_blocks:
+        return cased.select("*", F.lit(0).cast("bigint").alias("model_pos"), F.lit("").alias("model"), F.lit(0).cast("bigint").alias("run_index")).limit(0)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = cased.withColumn("_cb", F.floor(F.col("case_pos") / cases_per_block).cast("long")).withColumn("_mb", each(model_blocks))
+    right = blocks.withColumn("_cb", each(case_blocks))
+    pairs = left.join(right, ["_mb", "_cb"]).select(*cased.columns, F.inline("_models"))
+    return pairs.withColumn("run_index", F.col("model_pos") * F.lit(n_cases) + F.col("case_pos") + F.lit(1))
 
 
 def read_ground_truth_rows(truth_rows: DataFrame) -> DataFrame:

@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 
+from scorecraft.session import checkpoint_dir
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet and read back: computed once, its lineage cut
+    and its size known to the planner, which broadcasts it only if small. The
+    folder is ``path`` or a new one below ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    path = path or os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a scan that arrives in fewer partitions than the cluster
@@ -35,8 +50,6 @@ def dense_index(df: DataFrame, order_col: str, out: str = "pos") -> DataFrame:
     from pyspark.sql import functions as F
     from pyspark.sql.window import Window
 
-    from scorecraft.session import checkpoint_dir
-
     checkpoint_dir(df.sparkSession)
     n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     tagged = (

@@ -1,8 +1,8 @@
 """Evaluate recorded outputs against a dataset and summarise runs.
 
-A *run* is one (model, case) pair. The generation call of the reference is
-replaced by a table of recorded outputs ``(model, case_id, row_index, output,
-error_kind, error_message)``; ``error_kind`` is NULL for a normal answer,
+A *run* is one (model, case) pair. Outputs are a table ``(model, case_id,
+row_index, output, error_kind, error_message)``, recorded elsewhere or by
+:mod:`scorecraft.operators.generate`; ``error_kind`` is NULL for a normal answer,
 ``'auth'`` for an authentication failure (aborts the run) and anything else
 for a per-row failure.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions import jsonops as J
+from scorecraft.operators.layout import written
 
 COMPLETED = "completed"
 FAILED = "failed"
@@ -39,6 +40,16 @@ def first_auth_failure(outputs: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -
     )
 
 
+def runs_of_cases(dataset: DataFrame, runs: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """Each dataset row with each run of its case (``runs``: one row per run).
+
+    The runs are written first, so that the planner knows their size: few runs
+    are broadcast and the dataset, which has few distinct cases, is not dealt by
+    case; many are joined by a sort-merge join whose skewed cases are split."""
+    case_keys = [k for k in run_keys if k in dataset.columns]
+    return dataset.join(written(runs, "runs"), case_keys)
+
+
 def evaluate(
     dataset: DataFrame | None,
     outputs: DataFrame,
@@ -61,20 +72,18 @@ def evaluate(
     Report rows: ``run_keys, row_index, status, score, llm_output,
     error_message`` (D6). Failed rows score 0.0 with an empty output.
     """
+    if aborts is None:
+        aborts = first_auth_failure(outputs, run_keys)
     if truth in outputs.columns:
-        rows = outputs
+        rows = _before_abort(outputs.join(aborts, list(run_keys), "left"))
     else:
+        # the abort table has one row per run: it is the list of runs too
         case_keys = [k for k in run_keys if k in dataset.columns]
-        runs = outputs.select(*run_keys).distinct()
-        expected = dataset.select(*case_keys, "row_index", truth).join(runs, case_keys)
+        expected = _before_abort(runs_of_cases(dataset.select(*case_keys, "row_index", truth), aborts, run_keys))
         recorded = outputs.withColumn("_recorded", F.lit(True))
         rows = expected.join(recorded, [*run_keys, "row_index"], "left").withColumn(
             "error_kind", F.when(F.col("_recorded").isNull(), F.lit(NO_OUTPUT)).otherwise(F.col("error_kind"))
         )
-    if aborts is None:
-        aborts = first_auth_failure(outputs, run_keys)
-    rows = rows.join(aborts, list(run_keys), "left")
-    rows = rows.filter(F.col("abort_at").isNull() | (F.col("row_index") < F.col("abort_at")))
     rows = J.with_canonical_object(rows, truth, "_truth_raw")
     rows = J.with_canonical_object(rows, "output", "_pred")
     rows = rows.withColumn("_truth", J.empty_if_null(F.col("_truth_raw")))
@@ -97,6 +106,11 @@ def evaluate(
     )
 
 
+def _before_abort(rows: DataFrame) -> DataFrame:
+    """Rows before their run's first authentication failure."""
+    return rows.filter(F.col("abort_at").isNull() | (F.col("row_index") < F.col("abort_at")))
+
+
 def stray_outputs(dataset: DataFrame, outputs: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Recorded outputs whose row the dataset does not have: the error table
     beside :func:`evaluate`."""

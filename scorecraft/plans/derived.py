@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorecraft.operators.generate import AuthFailure, RateLimited
 from scorecraft.operators.layout import spread
 from scorecraft.session import ANY_AGE, prepare_session
 
@@ -225,6 +226,47 @@ def text_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select(*[F.expr(v).alias(k) for k, v in DATASET_SQL.items()])
 
 
+# The prompts of ``conversations`` and the rules of the models that
+# answer them, all by the number of characters n.
+GENERATOR_MODELS = ["model-b", "model-a"]
+PROMPT_SQL = {
+    "case_id": "role",
+    "row_index": "conv_id * 1000 + turn + 1",
+    "prompt": "text",
+    "ground_truth": """concat('{"chars":', CAST(length(coalesce(text, '')) AS STRING), ',"turn":', CAST(turn AS STRING), '}')""",
+}
+
+
+def prompt_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``case_id, row_index, prompt, ground_truth``: a row per conversation turn."""
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(*[F.expr(v).alias(k) for k, v in PROMPT_SQL.items()])
+
+
+class RuleGenerator:
+    """Answers by rule; limited once for some prompts, always for others."""
+
+    def __init__(self) -> None:
+        self.limited: set[tuple[str, str]] = set()
+
+    def __call__(self, model: str, prompt: str) -> str:
+        n = len(prompt)
+        if model == "model-b" and n % 101 == 7:
+            raise AuthFailure("credentials refused")
+        if n % 17 == 3:
+            raise RateLimited("too many requests")
+        if n % 23 == 1 and (model, prompt) not in self.limited:
+            self.limited.add((model, prompt))
+            raise RateLimited("too many requests")
+        self.limited.discard((model, prompt))
+        if n % 19 == 5:
+            raise ValueError(f"no answer of {n} characters")
+        if n % 5 == 2:
+            return "no object"
+        turn = ',"turn":0' if model == "model-b" else ""
+        return f'{{"chars":{n}{turn}}}'
+
+
 # An expected-output document per row of ``documents`` with
 # one broken rule chosen by doc_id (7: blank filename, 5: unknown source
 # type, 11: object in summary, 13: fourth top key, 17: no tables,

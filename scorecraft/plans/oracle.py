@@ -139,8 +139,27 @@ _DATASET_RUNS = """dataset_runs AS (
 SQL["evaluate_dataset"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _DATASET_RUNS)}
 SELECT model, case_id, status, total_rows, successful_evaluations, round(average_score, 6) AS average_score FROM dataset_runs"""
 
+SQL["generated_reports"] = """
+WITH rows AS (
+  SELECT m.model, role AS case_id, conv_id * 1000 + turn + 1 AS row_index, turn, length(coalesce(text, '')) AS n
+  FROM conversations, (VALUES ('model-a'), ('model-b')) m(model)),
+answered AS (
+  SELECT *, model = 'model-b' AND n % 101 = 7 AS auth, n % 17 = 3 AS limited, n % 19 = 5 AS failed,
+    n % 5 = 2 AS junk, n % 23 = 1 AS again FROM rows),
+aborts AS (SELECT model, case_id, min(row_index) FILTER (auth) AS abort_at FROM answered GROUP BY model, case_id),
+kept AS (
+  SELECT a.* FROM answered a JOIN aborts b USING (model, case_id) WHERE b.abort_at IS NULL OR a.row_index < b.abort_at)
+SELECT model, case_id, row_index, CASE WHEN limited OR failed THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN limited OR failed OR junk THEN 0.0 WHEN model = 'model-b' AND turn = 0 THEN 1.0 ELSE 0.5 END AS score,
+  CASE WHEN limited OR failed THEN '' WHEN junk THEN 'no object'
+    ELSE '{"chars":' || n || CASE WHEN model = 'model-b' THEN ',"turn":0' ELSE '' END || '}' END AS llm_output,
+  CASE WHEN limited THEN 'too many requests' WHEN failed THEN 'no answer of ' || n || ' characters' ELSE '' END AS error_message,
+  CASE WHEN limited OR again THEN 2 ELSE 1 END AS attempts
+FROM kept
+"""
+
 SQL["failed_preprocess"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _DATASET_RUNS)},
-broken AS (SELECT case_id FROM sc GROUP BY case_id ORDER BY count(*), case_id LIMIT 1)
+broken AS (SELECT case_id FROM sc GROUP BY case_id HAVING count(*) % 2 = 1)
 SELECT d.model, d.case_id, CASE WHEN b.case_id IS NULL THEN d.status ELSE 'failed_preprocess' END AS status,
   CASE WHEN b.case_id IS NULL THEN total_rows ELSE 0 END AS total_rows,
   CASE WHEN b.case_id IS NULL THEN successful_evaluations ELSE 0 END AS successful_evaluations,

@@ -10,7 +10,7 @@ from scorecraft.operators import compare as C
 from scorecraft.plans import catalog
 from scorecraft.plans import derived as D
 
-from conftest import SF_SMALL
+SF_SMALL = "/root/testdata/sf0.001"
 
 
 def _rows(df, ndigits=9):
@@ -88,9 +88,26 @@ def test_winner_rows_keep_extra_columns_and_tie_order(spark):
     assert C.model_and_winner_rows(models.limit(0)).count() == 0
 
 
-def test_run_matrix_rejects_an_unbounded_model_list(spark):
+def test_run_matrix_of_blocks(spark):
+    """More models than the former limit, many blocks on both sides."""
+    from scorecraft.operators import cases as CS
+
+    cases = spark.createDataFrame([(f"c{i}", f"x/c{i:02d}_input.pdf") for i in range(7)], "case_id string, input_path string")
+    models = spark.range(120_001).selectExpr("concat('m', lpad(CAST(id % 120000 AS STRING), 6, '0')) AS model")
+    matrix = CS.run_matrix(models, cases, cases_per_block=3)
+    expected = F.substring("model", 2, 6).cast("long") * 7 + F.substring("case_id", 2, 2).cast("long") + 1
+    got = matrix.agg(
+        F.count("*"), F.countDistinct("run_index"), F.count_if(F.col("run_index") != expected), F.min("run_index"), F.max("run_index")
+    ).first()
+    assert tuple(got) == (840_000, 840_000, 0, 1, 840_000)
+
+
+def test_run_matrix_without_models_or_cases(spark):
     from scorecraft.operators import cases as CS
 
     cases = spark.createDataFrame([("c1", "x/c1_input.pdf")], "case_id string, input_path string")
-    with pytest.raises(ValueError):
-        CS.run_matrix([f"m{i}" for i in range(CS.MAX_MODELS + 1)], cases)
+    for models, some in (([], cases), (["m"], cases.limit(0))):
+        matrix = CS.run_matrix(models, some)
+        assert matrix.collect() == [] and {"model", "case_id", "run_index"} <= set(matrix.columns)
+    listed = CS.run_matrix(["z", "a", "z"], cases).orderBy("run_index").collect()
+    assert [(r.model, r.run_index) for r in listed] == [("z", 1), ("a", 2)]
