@@ -184,13 +184,6 @@ def source_type(ext: Column | str) -> Column:
     return F.when(e.isin(*PDF_LIKE_EXTENSIONS), F.lit("PDF")).otherwise(F.lit("Excel"))
 
 
-def normalize_extension(ext: Column | str) -> Column:
-    """M15 on a column: lower-cased with one leading dot; '.' alone -> NULL."""
-    e = F.lower(_col(ext))
-    e = F.when(e.startswith("."), e).otherwise(F.concat(F.lit("."), e))
-    return F.when(e != ".", e)
-
-
 def normalize_extensions(values: Iterable[str], supported: Iterable[str] = SUPPORTED_EXTENSIONS) -> tuple[str, ...]:
     """M15 on the parameter list (driver side, a handful of strings)."""
     allowed = {s.lower() for s in supported}

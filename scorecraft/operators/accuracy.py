@@ -10,7 +10,7 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.functions import jsonops as J
@@ -195,6 +195,27 @@ def _merge_aggs_names() -> list[str]:
     return ["total_evaluations", "ground_truth_count", "exact_match_count", "partial_score_sum", "error_count"]
 
 
+def stored_evaluations(
+    spark: SparkSession, store: str, truths: DataFrame, source: str = "", model: str = ""
+) -> DataFrame:
+    """F4 + F2 + J4 over the report store (K1): completed rows of one source and
+    model (blank: all) with the truth of their run's runtime dataset (T14).
+
+    ``store`` is partitioned by model and source: a filter reads those folders
+    only, and where the truths name few sources the join prunes by them too.
+    ``truths``: ``case_key`` (``<model>__<source>__<case>``), ``ground_truth``."""
+    reports = completed_only(source_model_filter(spark.read.parquet(store), source, model))
+    keyed = reports.withColumn("case_key", F.concat_ws("__", *[K.safe_segment(c) for c in ("model", "source", "case_id")]))
+    of_model = F.col("case_key").startswith(F.concat(K.safe_segment(F.lit(model.strip())), F.lit("__")))
+    return reports_with_truth(keyed, truths.filter(of_model) if model.strip() else truths, keys=("case_key",))
+
+
+def stored_accuracy(spark: SparkSession, store: str, truths: DataFrame, source: str = "", model: str = "") -> DataFrame:
+    """A10-A13 over :func:`stored_evaluations`."""
+    rows = stored_evaluations(spark, store, truths, source, model)
+    return accuracy_scopes(None, scored=score_rows(rows, truth_map="_truth_map"))
+
+
 def category_report_json(summary: DataFrame) -> DataFrame:
     """K3 payload: one row with the nested ``{overall, by_category, by_model,
     by_source}`` JSON text. ``summary`` is the small output of

@@ -140,14 +140,6 @@ def run_matrix(
     return pairs.withColumn("run_index", F.col("model_pos") * F.lit(n_cases) + F.col("case_pos") + F.lit(1))
 
 
-def read_ground_truth_rows(truth_rows: DataFrame) -> DataFrame:
-    """S5 shaping: keys and values stripped, ``value`` strictly an integer
-    (an ANSI cast: a bad value fails the job, as the reference raises)."""
-    cols = [K.py_strip(F.col(c)).alias(c.strip()) for c in truth_rows.columns]
-    stripped = truth_rows.select(*cols)
-    return stripped.withColumn("value", F.col("value").cast("bigint"))
-
-
 def expected_output(truth_rows: DataFrame, cases: DataFrame) -> DataFrame:
     """One expected-output object per case (D5) as JSON text.
 
@@ -184,12 +176,3 @@ def expected_output(truth_rows: DataFrame, cases: DataFrame) -> DataFrame:
         ).alias("content_data"),
     )
     return joined.select("case_id", F.size(rows).alias("total_rows"), F.to_json(doc).alias("expected_output"))
-
-
-def eval_dataset(expected: DataFrame, models: Sequence[str] | None = None, prompt_col: str = "prompt") -> DataFrame:
-    """K4 shape: one row ``(model, case_id, prompt, expected_output)`` per
-    run; the sink writes it as ``{rows: [...]}`` JSON per (model, case)."""
-    out = expected
-    if models is not None:
-        out = out.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    return out.select(*(["model"] if "model" in out.columns else []), "case_id", prompt_col, "expected_output")

@@ -259,6 +259,20 @@ def merge_model_summaries(base_models: DataFrame, new_models: DataFrame) -> Data
     )
 
 
+def report_cases(report: DataFrame) -> DataFrame:
+    """The case rows of a report (D9), without those that name no case."""
+    named = section(report, CASE_SECTION).filter(F.col("case_id").isNotNull() & (F.col("case_id") != ""))
+    return named.select(
+        "case_id", "best_model", "best_score", "fastest_model", "fastest_seconds", "total_runs", "completed_runs"
+    )
+
+
+def report_models(report: DataFrame) -> DataFrame:
+    """The model rows of a report (D9), without those that name no model."""
+    named = section(report, MODEL_SECTION).filter(F.col("model").isNotNull() & (F.col("model") != ""))
+    return named.select("model", "average_score", "average_seconds", "total_runs", "completed_runs")
+
+
 def merge_overall(base_report: DataFrame | None, runs: DataFrame) -> DataFrame:
     """Merge fresh runs into an earlier overall report.
 
@@ -268,14 +282,8 @@ def merge_overall(base_report: DataFrame | None, runs: DataFrame) -> DataFrame:
     """
     if base_report is None:
         return overall_report(runs)
-    base_cases = base_report.filter(
-        (F.col("section") == CASE_SECTION) & F.col("case_id").isNotNull() & (F.col("case_id") != "")
-    ).select("case_id", "best_model", "best_score", "fastest_model", "fastest_seconds", "total_runs", "completed_runs")
-    base_models = base_report.filter(
-        (F.col("section") == MODEL_SECTION) & F.col("model").isNotNull() & (F.col("model") != "")
-    ).select("model", "average_score", "average_seconds", "total_runs", "completed_runs")
-    cases = merge_case_rows(base_cases, case_comparison(runs))
-    models = merge_model_summaries(base_models, model_summary(runs).drop("first_run"))
+    cases = merge_case_rows(report_cases(base_report), case_comparison(runs))
+    models = merge_model_summaries(report_models(base_report), model_summary(runs).drop("first_run"))
     return union_sections(to_report_layout(cases, CASE_SECTION), model_and_winner_rows(models, order="model"))
 
 

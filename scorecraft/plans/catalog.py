@@ -15,7 +15,10 @@ from pyspark.sql.types import DoubleType, FloatType
 from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
 from scorecraft.operators import accuracy as A
+from scorecraft.operators.layout import written
 from scorecraft.plans import derived as D
+from scorecraft.sources import reports as RP
+from scorecraft.sources import sinks as SK
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -282,6 +285,45 @@ def q_source_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(SS.blank_fastest_row(winners, FOCUS_SOURCE))
 
 
+@register("source_report")
+def q_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + R5 + J7 + J8: an overall report is written (K2) and read again, and
+    its model rows and, if both are there, its winners get the source columns."""
+    outputs = _outputs(spark, sf_dir)
+    keys = ("model", "case_id", "source")
+    reports = written(S.evaluate(None, outputs, keys), "reports")
+    aborts = S.first_auth_failure(outputs, keys)
+    runs = S.summary_from_totals(aborts, S.run_totals(reports, keys), keys).select(
+        "model", "case_id", "status", "average_score",
+        F.col("total_rows").cast("double").alias("elapsed_seconds"), F.col("total_rows").alias("run_index"),
+    )
+    path = D.scratch(spark, "overall")
+    report = RP.read_overall_report(spark, SK.write_overall_report(C.overall_report(runs), path))
+    columns = ["section", "model", "average_score", "average_seconds", "total_runs", "completed_runs"]
+    models = SS.add_source_scores(C.section(report, C.MODEL_SECTION).select(*columns), reports, PRIORITIES)
+    winners = C.winners_if_complete(report).select(*columns)
+    for source in PRIORITIES:
+        winners = SS.add_source_score_to_winners(winners, reports, source)
+    return rounded(models.unionByName(winners))
+
+
+# --- the report over stored artifacts (E3: K1, K4, S4, F2, F4, J4, A10-A13) ---------
+
+
+@register("stored_accuracy")
+def q_stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category report of one source and model from artifacts: report rows
+    in the partitioned store, truths in runtime datasets, a file a run."""
+    outputs = D.stored_outputs(spark, sf_dir)
+    store, runtime = D.scratch(spark, "report-store"), D.scratch(spark, "runtime")
+    SK.write_run_reports(S.evaluate(None, outputs, ("model", "source", "case_id")), store)
+    prompts = outputs.select(
+        "model", "source", "case_id", "row_index", F.lit("extract").alias("prompt"), F.col("ground_truth").alias("expected_output")
+    )
+    SK.write_eval_dataset(prompts, runtime, keys=("model", "source", "case_id"))
+    return rounded(A.stored_accuracy(spark, store, RP.read_ground_truths(spark, runtime), " 1-URGENT ", "F"))
+
+
 # --- recommendations (R2, X1, X2, X4) ----------------------------------------
 
 
@@ -389,6 +431,54 @@ def q_validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid
 
 
+# --- dataset files (S2, S3, R3, V1-V7) ---------------------------------------------
+
+from scorecraft.sources import datasets as DS  # noqa: E402
+
+
+@register("csv_dataset")
+def q_csv_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + R3: CSV files with headers of their own, read together."""
+    path = D.conversation_csv_files(spark, sf_dir)
+    rows = DS.read_dataset_csv(spark, f"{path}/*", ["conv_id", "turn", "role", "text", "no_such"])
+    return rows.select(D.file_number().alias("g"), "row_index", "conv_id", "turn", "role", "text", "no_such")
+
+
+def _json_dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path = D.order_json_files(spark, sf_dir)
+    rows, headers = DS.read_dataset_json_files(spark, f"{path}/*", list(D.JSON_SCHEMA), typed=True)
+    return V.validate_files(rows, headers, D.JSON_SCHEMA)
+
+
+@register("json_dataset")
+def q_json_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + V2 + V4: the valid rows of JSON datasets, cast by JSON type."""
+    valid, _ = _json_dataset(spark, sf_dir)
+    return rounded(valid.select(D.file_number().alias("g"), "row_index", *D.JSON_SCHEMA))
+
+
+@register("json_dataset_violations")
+def q_json_dataset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + V2-V4: what is wrong in the JSON datasets, by file, row and column."""
+    _, violations = _json_dataset(spark, sf_dir)
+    return violations.select(D.file_number().alias("g"), "row_index", "column", "rule", "value")
+
+
+# --- archives (S8-S11, U3) ---------------------------------------------------------
+
+from scorecraft.sources import documents as DOC  # noqa: E402
+
+
+@register("extracted_archives")
+def q_extracted_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9-S11 + U3: Word files, workbooks, a format of the caller's own and one
+    that nothing reads, each by the extractor of its extension."""
+    path = D.archive_files(spark, sf_dir)
+    extractors = {**DOC.EXTRACTORS, ".rec": DOC.from_function(D.upper_record)}
+    found = DOC.extract_documents(spark, path, extractors)
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "text", "error")
+
+
 # --- reshape (N1, N2) ------------------------------------------------------------
 
 from scorecraft.operators import reshape as RS  # noqa: E402
@@ -412,19 +502,27 @@ def q_check_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 from scorecraft.streaming import evaluation_log as T  # noqa: E402
 
 
-@register("stream_run_counters")
-def q_stream_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-1: orders streamed as recorded outputs, scored on arrival, running
-    per-run counters in the state store; result = A1 over the whole stream."""
+def _streamed_runs(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
+    """The runs' summaries from the log of the orders, streamed as outputs."""
     outputs = D.evaluations_of(D.stream_table(spark, sf_dir, "orders")).select(
-        "model", "case_id", "row_index", "ground_truth",
-        F.col("llm_output").alias("output"),
-        F.when(F.col("error_kind").isNotNull(), F.lit("error")).alias("error_kind"),
-        "error_message",
+        "model", "case_id", "row_index", "ground_truth", F.col("llm_output").alias("output"), kind.alias("error_kind"), "error_message"
     )
     # a table of few, unsplittable files: spread each micro-batch over the cores
     _, counters_path = T.run_evaluation_log(outputs, spread_to=spark.sparkContext.defaultParallelism)
-    return rounded(T.counters_summary(spark.read.parquet(counters_path)))
+    return rounded(T.run_summaries(spark, counters_path))
+
+
+@register("stream_run_counters")
+def q_stream_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-1: orders streamed as recorded outputs, scored on arrival, running
+    per-run counters in the state store; result = A1 over the whole stream."""
+    return _streamed_runs(spark, sf_dir, F.when(F.col("error_kind").isNotNull(), F.lit("error")))
+
+
+@register("stream_run_abort")
+def q_stream_run_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-1 + A2: the same with authentication failures, which end their runs."""
+    return _streamed_runs(spark, sf_dir, F.col("error_kind"))
 
 
 @register("stream_model_merge")
@@ -439,6 +537,17 @@ def q_stream_model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.latest_state(spark, state))
 
 
+@register("stream_report_merge")
+def q_stream_report_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-2 + A8: the second half of the runs streamed into the overall report of
+    the first half, with case rows and winners."""
+    mid = D.split_point(spark, sf_dir)
+    base_runs, _ = D.split_runs(spark, sf_dir)
+    stream = D.runs_of(D.stream_table(spark, sf_dir, "events")).filter(F.col("run_index") >= F.lit(mid))
+    state = T.merge_stream_into_report(stream, C.overall_report(base_runs))
+    return rounded(T.latest_report(spark, state))
+
+
 # --- prompts from source texts (M14, M16) ----------------------------------------
 
 # Fixed value: the instruction placed before every source text.

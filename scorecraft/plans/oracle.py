@@ -381,6 +381,46 @@ SELECT w.section, w.model, round(w.average_score, 6) AS average_score, round(w.a
        round(CASE WHEN w.section = 'overall_fastest' THEN NULL ELSE src.s END, 6) AS "1-URGENT"
 FROM w LEFT JOIN src USING (model)"""
 
+_SOURCES_OF = ", ".join(
+    f"round(CASE WHEN r.section = 'overall_fastest' THEN NULL ELSE p.\"{c}\" END, 6) AS \"{c}\""
+    for c in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+)
+
+SQL["source_report"] = f"""{_with(EVALUATIONS_CTE, SCORED_CTE, _REPORT_ROWS, _EVAL_RUNS, _model_rows('eruns', 'models'))},
+piv AS (SELECT model, {_PIVOT} FROM f1 GROUP BY model),
+w AS ({_winner_rows('models', 'first_run')}),
+r AS (
+  SELECT 'model_summary' AS section, model, average_score, average_seconds, total_runs, completed_runs FROM models
+  UNION ALL SELECT section, model, average_score, average_seconds, total_runs, completed_runs FROM w)
+SELECT r.section, r.model, round(r.average_score, 6) AS average_score, round(r.average_seconds, 6) AS average_seconds,
+  r.total_runs, r.completed_runs, {_SOURCES_OF}
+FROM r LEFT JOIN piv p USING (model)"""
+
+# The truth of a run's rows is that of its first row.
+SQL["stored_accuracy"] = f"""{_with(EVALUATIONS_CTE.replace("ev AS (", "ev_all AS ("), f"""
+ev AS (SELECT * FROM (
+  SELECT * REPLACE (first_value(ground_truth) OVER (PARTITION BY {D.STORED_CASE_SQL} ORDER BY row_index) AS ground_truth)
+  FROM ev_all WHERE model = 'F' AND source = '1-URGENT') WHERE error_kind IS NULL)""", SCORED_CTE)}
+SELECT 'overall' AS scope, 'overall' AS name, {_SUMMARY} FROM sc
+UNION ALL SELECT 'category', category, {_SUMMARY} FROM sc GROUP BY category
+UNION ALL SELECT 'model', model, {_SUMMARY} FROM sc GROUP BY model
+UNION ALL SELECT 'source', source, {_SUMMARY} FROM sc GROUP BY source"""
+
+SQL["extracted_archives"] = f"""
+WITH s AS (SELECT {D.ARCHIVE_SQL['supplier']} AS g, * FROM supplier), p AS (SELECT {D.ARCHIVE_SQL['part']} AS g, * FROM part),
+c AS (
+  SELECT {D.ARCHIVE_SQL['customer']} AS g, upper(string_agg(c_name || '/', '' ORDER BY c_custkey)) AS names FROM customer GROUP BY 1)
+SELECT 'suppliers_' || g || '.docx' AS file, 'Suppliers ' || g || chr(10) || 'supplier' || chr(9) || 'supplier' || chr(9) || 'nation' || chr(10)
+  || string_agg(s_suppkey || chr(9) || s_name || chr(9) || s_nationkey, chr(10) ORDER BY s_suppkey) AS text, CAST(NULL AS VARCHAR) AS error
+FROM s GROUP BY g
+UNION ALL
+SELECT 'parts_' || g || '.XLSX', 'SHEET: Parts' || chr(10) || string_agg(p_partkey || chr(9) || chr(9) || p_brand, chr(10) ORDER BY p_partkey)
+  || chr(10) || 'SHEET: Sizes' || chr(10) || string_agg(chr(9) || 'size ' || p_size, chr(10) ORDER BY p_partkey), NULL FROM p GROUP BY g
+UNION ALL
+SELECT 'customers_' || g || '.rec', CASE WHEN g % 3 <> 1 THEN names END, CASE WHEN g % 3 = 1 THEN 'no record' END FROM c
+UNION ALL
+SELECT 'notes_' || g || '.gif', NULL, 'Unsupported file format for extraction: .gif.' FROM c"""
+
 # --- recommendations (R2, X1, X2, X4) -----------------------------------------
 
 _CAT_SCORES = """
@@ -553,6 +593,36 @@ FROM ds WHERE NOT EXISTS (
 
 # --- reshape (N1, N2) --------------------------------------------------------------
 
+# The last cell of a short row is an empty one; a row without any is blank.
+SQL["csv_dataset"] = f"""
+WITH c AS (SELECT {D.CSV_FILE_SQL} AS g, conv_id, turn, role, coalesce(text, '') AS text, conv_id % 7 = 3 AS short FROM conversations),
+cells AS (
+  SELECT g, conv_id AS k, turn AS t, CASE WHEN short AND g % 3 = 1 THEN '' ELSE CAST(conv_id AS VARCHAR) END AS conv_id,
+    CAST(turn AS VARCHAR) AS turn, role, CASE WHEN short AND g % 3 <> 1 THEN '' ELSE text END AS text
+  FROM c WHERE NOT (conv_id % 13 = 5 AND turn = 1))
+SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY k, t) AS INTEGER) AS row_index, conv_id, turn, role, text,
+  CAST(NULL AS VARCHAR) AS no_such FROM cells"""
+
+_JSON_ROWS = f"""
+WITH o AS (
+  SELECT {D.JSON_FILE_SQL} AS g, o_orderkey AS k, o_orderkey % 8 AS m, o_custkey AS c, o_orderstatus AS s FROM orders),
+rows AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY k) AS INTEGER) AS row_index FROM o WHERE k % 97 <> 0)"""
+
+SQL["json_dataset"] = f"""{_JSON_ROWS}
+SELECT g, row_index, CASE WHEN m = 4 THEN 1 ELSE k END AS id,
+  CASE m WHEN 5 THEN 1.5 WHEN 4 THEN 1.0 ELSE c + 0.25 END::DOUBLE AS price, m IN (0, 4) AS flag,
+  CASE m WHEN 0 THEN '12.5' WHEN 1 THEN 'True' WHEN 4 THEN '10000000.5' ELSE CAST(c AS VARCHAR) END AS note
+FROM rows WHERE g % 11 <> 7 AND g % 13 <> 4 AND m IN (0, 1, 4, 5)"""
+
+SQL["json_dataset_violations"] = f"""{_JSON_ROWS},
+sound AS (SELECT * FROM rows WHERE g % 11 <> 7 AND g % 13 <> 4)
+SELECT g, row_index, 'id' AS column, 'type' AS rule, CASE m WHEN 3 THEN '12.7' ELSE '[1]' END AS value FROM sound WHERE m IN (3, 6)
+UNION ALL SELECT g, row_index, 'price', 'type', 'abc' FROM sound WHERE m = 7
+UNION ALL SELECT g, row_index, 'note', 'required', CASE m WHEN 3 THEN ' ' END FROM sound WHERE m IN (2, 3)
+UNION ALL SELECT DISTINCT g, CAST(NULL AS INTEGER), 'flag', 'missing_column', NULL FROM o WHERE g % 13 = 4 AND g % 11 <> 7
+UNION ALL SELECT DISTINCT g, CAST(NULL AS INTEGER), NULL, 'unreadable', 'JSON dataset rows must be objects.' FROM o WHERE g % 11 = 7"""
+
 SQL["to_long"] = """WITH j AS (
   SELECT n.n_name, r.r_name,
          CASE WHEN s.s_acctbal < 0 THEN 'negative' WHEN s.s_acctbal < 5000 THEN 'low' ELSE 'high' END AS band
@@ -609,6 +679,8 @@ WHERE bad"""
 # --- streaming (T-1, T-2): final states equal the batch results ---------------
 
 SQL["stream_run_counters"] = SQL["run_summary"]
+SQL["stream_run_abort"] = SQL["run_summary_abort"]
+SQL["stream_report_merge"] = SQL["merge_overall"]
 
 SQL["stream_model_merge"] = f"""{_with(RUNS_CTE, _SPLIT, _case_rows('base_runs', 'base_cases'), _case_rows('new_runs', 'new_cases'),
                                       _model_rows('base_runs', 'base_models'), _model_rows('new_runs', 'new_models'), _MERGED)}

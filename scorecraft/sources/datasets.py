@@ -50,7 +50,8 @@ def _csv_records(spark: SparkSession, paths: Sequence[str], schema: str) -> Data
         .option("columnNameOfCorruptRecord", "_record")
         .csv(list(paths))
     )
-    return raw.select(F.col("_metadata.file_path").alias("dataset"), F.monotonically_increasing_id().alias("_mid"), "*")
+    names = [field.split()[0] for field in schema.split(", ")]  # folders named key=value add columns
+    return raw.select(F.col("_metadata.file_path").alias("dataset"), F.monotonically_increasing_id().alias("_mid"), *names)
 
 
 def blank_record(raw: Column) -> Column:
@@ -61,8 +62,11 @@ def blank_record(raw: Column) -> Column:
 
 def _header_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parsed = [next(csv.reader(io.StringIO(raw, newline="")), []) for raw in batch["raw"]]
-        yield pd.DataFrame({"dataset": batch["dataset"], "header": [[name.strip().removeprefix(BOM) for name in names] for names in parsed]})
+        parsed = [
+            [cell] if record is None else next(csv.reader(io.StringIO(record, newline="")), [])
+            for cell, record in zip(batch["_cell"], batch["_record"])
+        ]
+        yield pd.DataFrame({"dataset": batch["dataset"], "header": [[name.strip() for name in names] for names in parsed]})
 
 
 def csv_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -72,11 +76,15 @@ def csv_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     # A record that has not exactly one cell is kept whole as a corrupt one.
     records = _csv_records(spark, paths, "_cell string, _record string")
-    raw = F.coalesce("_record", "_cell", F.lit(""))
-    first = records.groupBy("dataset").agg(F.min_by(raw, F.when(~blank_record(raw), F.col("_mid"))).alias("raw"))
-    named = first.filter(F.col("raw").isNotNull()).mapInPandas(_header_names, "dataset string, header array<string>")
+    blank = F.when(F.col("_record").isNull(), K.is_blank("_cell")).otherwise(blank_record(F.col("_record")))
+    first = records.groupBy("dataset").agg(
+        F.min_by(F.struct("_cell", "_record"), F.when(~blank, F.col("_mid"))).alias("first")
+    )
+    named = first.filter(F.col("first").isNotNull()).select("dataset", "first.*").mapInPandas(
+        _header_names, "dataset string, header array<string>"
+    )
     return named.unionByName(
-        first.filter(F.col("raw").isNull()).select("dataset", F.array().cast("array<string>").alias("header"))
+        first.filter(F.col("first").isNull()).select("dataset", F.array().cast("array<string>").alias("header"))
     )
 
 

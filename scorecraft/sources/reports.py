@@ -168,12 +168,14 @@ def read_overall_report(spark: SparkSession, path: str | Sequence[str]) -> DataF
     return raw.select(*cols)
 
 
-def read_text_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Every ``.csv``/``.txt`` file as one UTF-8 text (BOM stripped)."""
+def read_text_documents(
+    spark: SparkSession, path: str | Sequence[str], glob: str = "{*.[cC][sS][vV],*.[tT][xX][tT]}"
+) -> DataFrame:
+    """Every ``.csv``/``.txt`` file (of names that match ``glob``) as one
+    UTF-8 text (BOM stripped)."""
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.option("wholetext", True).text(paths)
-    name = F.col("_metadata.file_name")
-    return raw.filter(F.lower(name).rlike(r"\.(csv|txt)$")).select(
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(paths)
+    return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.regexp_replace("value", "^" + BOM, "").alias("text"),
     )

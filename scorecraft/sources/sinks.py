@@ -2,34 +2,62 @@
 
 The native store is Parquet partitioned by ``model``/``source`` (later
 reads prune partitions, F3/F4). CSV/JSON exports keep the reference's text
-layouts. ``preserve=True`` never overwrites: the output goes to a new
-``version=<n>`` folder (K5).
+layouts and file names, ``<model>__<case>.csv`` and ``.json``, so that the
+readers (S1, S4) find model and case again. ``preserve=True`` never overwrites:
+the output goes to a new ``version=<n>`` folder (K5), which a writer claims by
+creating its marker; of two writers at once one gets the next number.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from scorecraft.functions import keys as K
 from scorecraft.operators import compare as C
 from scorecraft.operators.accuracy import category_report_json
+from scorecraft.sources import reports as RP
+from scorecraft.sources.named_files import write_named_files
+
+
+def _exclusive(df: DataFrame, marker: str) -> bool:
+    """Create an empty file unless it is there; whether this call created it."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(marker)
+    fs = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+        fs.mkdirs(path.getParent())
+        return jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        fs.create(path, False).close()
+        return True
+    except Py4JJavaError as error:
+        if fs.exists(path):
+            return False
+        raise error
 
 
 def _next_version(df: DataFrame, path: str) -> str:
-    """K5: ``<path>/version=<max+1>`` from the folders already there."""
+    """K5: claim ``<path>/version=<max+1>`` of the folders and claims there."""
     jvm = df.sparkSession._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
     versions = [0]
     if fs.exists(hadoop_path):
         for st in fs.listStatus(hadoop_path):
-            name = st.getPath().getName()
-            if name.startswith("version=") and name[8:].isdigit():
-                versions.append(int(name[8:]))
-    return os.path.join(path, f"version={max(versions) + 1}")
+            number = re.fullmatch(r"(?:version=|_claim-)(\d+)", st.getPath().getName())
+            if number:
+                versions.append(int(number[1]))
+    version = max(versions) + 1
+    while not _exclusive(df, os.path.join(path, f"_claim-{version}")):
+        version += 1
+    return os.path.join(path, f"version={version}")
 
 
 def _target(df: DataFrame, path: str, preserve: bool) -> tuple[str, str]:
@@ -49,21 +77,34 @@ def write_run_reports(
     reports.hint("rebalance", *cols).write.partitionBy(*cols).mode(mode).parquet(path)
 
 
-def export_run_reports_csv(reports: DataFrame, path: str, keys: Sequence[str] = ("model", "case_id")) -> None:
-    """K1 text export: header + rows per (model, case) folder, JSON cells
-    quoted with doubled quotes (readable back with ``multiLine``)."""
-    cols = list(keys)
-    out = reports.select(*cols, "row_index", "status", "score", "llm_output", "error_message")
-    (
-        out.hint("rebalance", *cols)
-        .sortWithinPartitions(*cols, "row_index")
-        .write.partitionBy(*cols)
-        .mode("overwrite")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
+def file_key(keys: Sequence[str] = ("model", "case_id")) -> Column:
+    """``<model>__<case>`` with each part safe in a file name."""
+    return F.concat_ws("__", *[K.safe_segment(k) for k in keys])
+
+
+# A CSV record as Python's csv module reads it; texts keep their outer blanks.
+_CSV_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+
+
+def export_run_reports_csv(
+    reports: DataFrame, path: str, keys: Sequence[str] = ("model", "case_id"), overwrite: bool = True
+) -> None:
+    """K1 text export: ``<model>__<case>.csv`` with a header and the run's rows by
+    ``row_index``, JSON cells quoted with doubled quotes. Runs whose names are
+    the same once safe would share a file: an error."""
+    clash = reports.select(*keys).distinct().groupBy(file_key(keys).alias("file")).count().filter("count > 1").first()
+    if clash:
+        raise ValueError(f"several runs would be written to {clash['file']}.csv")
+    row = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in RP.REPORT_FIELDS])
+    rows = reports.select(file_key(keys).alias("file"), "row_index", F.to_csv(row, _CSV_TEXT).alias("line"))
+    heads = reports.select(file_key(keys).alias("file")).distinct().select(
+        "file", F.lit(None).cast(reports.schema["row_index"].dataType).alias("row_index"), F.lit(",".join(RP.REPORT_FIELDS)).alias("line")
     )
+    lines = heads.unionByName(rows).select(
+        F.concat("file", F.lit(".csv")).alias("file"), F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("content"),
+        F.col("row_index").isNotNull().alias("_body"), "row_index",
+    )
+    write_named_files(lines, path, ["_body", "row_index", "content"], overwrite)
 
 
 def write_overall_report(report: DataFrame, path: str, preserve: bool = False) -> str:
@@ -82,11 +123,22 @@ def write_category_report(summary: DataFrame, path: str, preserve: bool = False)
     return target
 
 
-def write_eval_dataset(runs: DataFrame, path: str) -> None:
-    """K4: one ``{"rows": [{"prompt", "expected_output"}]}`` document per
-    (model, case), from rows ``(model, case_id, prompt, expected_output)``.
-    One document holds one case's rows (the size of that case's dataset)."""
-    item = F.struct(F.col("prompt"), F.parse_json("expected_output").alias("expected_output"))
-    docs = runs.groupBy("model", "case_id").agg(F.collect_list(item).alias("rows"))
-    out = docs.select("model", "case_id", F.to_json(F.struct("rows")).alias("value"))
-    out.repartition("model", "case_id").write.partitionBy("model", "case_id").mode("overwrite").text(path)
+def write_eval_dataset(runs: DataFrame, path: str, keys: Sequence[str] = ("model", "case_id"), overwrite: bool = True) -> None:
+    """K4: ``<model>__<case>.json`` with ``{"rows": [{"prompt",
+    "expected_output"}]}``, from rows ``(model, case_id, prompt,
+    expected_output)``, by ``row_index`` if there is one. A file is written row
+    by row: no document is held whole."""
+    place = F.col("row_index") if "row_index" in runs.columns else F.lit(0)
+    item = F.to_json(F.struct(F.col("prompt"), F.parse_json("expected_output").alias("expected_output")))
+    rows = runs.select(file_key(keys).alias("file"), F.lit(1).alias("_part"), place.alias("_place"), item.alias("text"))
+    # a file's rows are in one task to be written; the window uses the same order
+    first = F.row_number().over(Window.partitionBy("file").orderBy("_place", "text")) == 1
+    rows = rows.withColumn("text", F.when(first, F.col("text")).otherwise(F.concat(F.lit(","), F.col("text"))))
+    rows = rows.withColumn("_first", ~first)
+    ends = runs.select(file_key(keys).alias("file")).distinct().select(
+        "file", F.inline(F.array(*[F.struct(F.lit(n).alias("_part"), F.lit(t).alias("text")) for n, t in ((0, '{"rows":['), (2, "]}"))]))
+    ).withColumns({"_place": F.lit(None).cast(rows.schema["_place"].dataType), "_first": F.lit(False)})
+    parts = rows.unionByName(ends).select(
+        F.concat("file", F.lit(".json")).alias("file"), F.encode("text", "UTF-8").alias("content"), "_part", "_first", "_place"
+    )
+    write_named_files(parts, path, ["_part", "_first", "_place", "content"], overwrite)

@@ -3,12 +3,16 @@ and the table it leaves for the evaluation."""
 
 import json
 import os
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from scorecraft.operators import generate as G
 from scorecraft.operators import scoring as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks do not find test modules
+
 DATASET = "case_id string, row_index int, prompt string, ground_truth string"
 RUNS = "model string, case_id string"
 
