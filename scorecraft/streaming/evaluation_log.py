@@ -74,8 +74,8 @@ class BlockOfRows(StatefulProcessor):
     failure. A row counts once: later records of its ``row_index`` are ignored
     (of one batch's records a failure of authentication is taken first)."""
 
-    def __init__(self, first_row: int, rows_per_block: int) -> None:
-        self.first_row, self.rows_per_block = first_row, rows_per_block
+    def __init__(self, first_row: int, rows_per_block: int, key_names: Sequence[str]) -> None:
+        self.first_row, self.rows_per_block, self.key_names = first_row, rows_per_block, list(key_names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("block", BLOCK_STATE)
@@ -109,7 +109,7 @@ class BlockOfRows(StatefulProcessor):
             closed = n == end - max(0, self.first_row - start)
             packed = b"" if closed else known.tobytes()
             self.state.update((packed, n, ok, score, ok_score, abort_at, bool(closed)))
-        out = {f"k{i}": [k] for i, k in enumerate(key)}
+        out = {name: [k] for name, k in zip(self.key_names, key)}
         out |= {"n": [n], "ok": [ok], "score": [score], "ok_score": [ok_score]}
         yield pd.DataFrame(out).assign(abort_at=pd.array([abort_at], dtype="Int64"))
 
@@ -131,7 +131,7 @@ def block_counters(
     )
     types = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, "block"]]
     return rows.groupBy(*keys, "block").transformWithStateInPandas(
-        BlockOfRows(first_row, rows_per_block), f"{', '.join(types)}, {BLOCK_TOTALS}", "Update", "None"
+        BlockOfRows(first_row, rows_per_block, [*keys, "block"]), f"{', '.join(types)}, {BLOCK_TOTALS}", "Update", "None"
     )
 
 
@@ -285,8 +285,8 @@ def report_entries(runs: DataFrame) -> DataFrame:
     as one aggregation with one state: both are always of the same batch."""
     score, seconds, place = F.col("average_score"), F.col("elapsed_seconds"), F.col("run_index").cast("bigint")
     entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"))
-    named = runs.select("*", F.explode(F.array(entry(MODEL_ENTRY, "model"), entry(CASE_ENTRY, "case_id"))).alias("_entry"))
-    return named.groupBy(F.col("_entry.kind").alias("kind"), F.col("_entry.name").alias("name")).agg(
+    named = runs.select("*", F.inline(F.array(entry(MODEL_ENTRY, "model"), entry(CASE_ENTRY, "case_id"))))
+    return named.groupBy("kind", "name").agg(
         F.sum(score).alias("score_sum"),
         F.sum(seconds).alias("seconds_sum"),
         F.count(F.lit(1)).alias("total_runs"),

@@ -87,13 +87,13 @@ def blocks_of(processor, batches):
 
 def test_a_block_holds_sums_alone_once_it_is_closed():
     full = [(i, "completed", 0.5, False) for i in range(1, 8)]
-    out, state = blocks_of(T.BlockOfRows(1, 8), [full[4:], full[:4]])
+    out, state = blocks_of(T.BlockOfRows(1, 8, ["model", "block"]), [full[4:], full[:4]])
     assert (out.n, out.score, state[0], state[-1]) == (7, 3.5, b"", True)
-    out, state = blocks_of(T.BlockOfRows(1, 8), [full[4:], [(4, "failed", 0.0, True)], full[:2], full[2:3]])
+    out, state = blocks_of(T.BlockOfRows(1, 8, ["model", "block"]), [full[4:], [(4, "failed", 0.0, True)], full[:2], full[2:3]])
     assert (out.n, out.ok, out.score, out.abort_at) == (3, 3, 1.5, 4) and state[0] == b"" and state[-1]
-    out, state = blocks_of(T.BlockOfRows(1, 8), [full[:2], full[:2], [(2, "completed", 1.0, False)] * 2])
+    out, state = blocks_of(T.BlockOfRows(1, 8, ["model", "block"]), [full[:2], full[:2], [(2, "completed", 1.0, False)] * 2])
     assert (out.n, out.score) == (2, 1.0) and not state[-1]
-    out, state = blocks_of(T.BlockOfRows(1, 8), [[(1, "failed", 0.0, True)], full])
+    out, state = blocks_of(T.BlockOfRows(1, 8, ["model", "block"]), [[(1, "failed", 0.0, True)], full])
     assert (out.n, out.score, out.abort_at) == (0, 0.0, 1) and state[-1]
 
 
