@@ -12,7 +12,7 @@ all at once. Decoding joins the vocabulary's bytes.
 Scale: one pass counts (a bounded counter per task, summed by Spark; only the
 ``words`` most frequent come to the driver), one encodes, without a shuffle.
 The file's size is bounded by ``words`` and the vocabulary. A worker holds one
-block of texts and at most ``MEMO`` looked-up words.
+block of texts and at most two generations of ``MEMO`` looked-up words.
 
 Defined cases: a null text is an empty one and has no ids; the end-of-text
 mark in a text is its one special id, as the tokenizer file says; texts of any
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -32,13 +33,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorecraft.llm.common import scratch_path, small_batches, stage, write_shared
 
-#: Frequent words in the automaton; entries of a task's counter; looked-up words a worker keeps.
+#: Frequent words in the automaton; entries of a task's counter; looked-up words of a worker's generation.
 WORDS, COUNTER, MEMO = 1 << 15, 1 << 18, 1 << 17
 #: Characters of text that a worker handles at a time.
 BLOCK = 1 << 20
@@ -66,12 +67,26 @@ class Splitter:
         strict = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{later}]]")
         strict = strict.replace(r" ?\p{L}+", f" ?{letters}+").replace(r" ?\p{N}+", f" ?{numbers}+")
         self.fast, self.strict = regex.compile(SPLIT), regex.compile("(?V1)" + strict)
-        self.later = regex.compile(f"[{later}]")
+        self.later, self.end = re.compile(f"[{later}]"), int(LATER[:4], 16)
+        # the same pattern with its classes spelled out, for texts of characters below the first later letter
+        low = SPLIT.replace(r"\S", rf"[^{self.low_class('s')}]").replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(map(self.low_class, ("s", "p{L}", "p{N}"))) + "]")
+        for name in ("s", "p{L}", "p{N}"):
+            low = low.replace(f"\\{name}", f"[{self.low_class(name)}]")
+        self.low = re.compile(low)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
     def words(self, text: str) -> list[str]:
-        pattern = self.fast if text.isascii() or not self.later.search(text) else self.strict
-        return pattern.findall(text)
+        if text.isascii():
+            return self.low.findall(text)
+        highest = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()
+        if highest < self.end:
+            return self.low.findall(text)
+        return (self.strict if self.later.search(text) else self.fast).findall(text)
+
+    def low_class(self, name: str) -> str:
+        """The ranges of a character class below the first later letter."""
+        chars = "".join(map(chr, range(self.end)))
+        return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(rf"\{name}+", chars))
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of text and, with True, specials."""
@@ -205,6 +220,8 @@ class Lexicon:
         self.specials = head["specials"]
         self.splitter = Splitter(self.specials)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: list[bytes] = []
 
     def ordinals(self, words: list[bytes]) -> np.ndarray:
         """The words' places in the automaton, -1 for words it does not hold."""
@@ -229,22 +246,32 @@ class Lexicon:
         held[held] = self.final[state[held]] == 1
         return np.where(held, total, -1)
 
-    def merged(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of words by the merges: in each word the pair of lowest rank
-        is merged wherever it stands, from the left, until none is left."""
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pairs' places in the merge table, -1 for pairs that are not merged."""
+        pair = left * PAIR + right
+        at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+        return np.where(self.pair[at] == pair, at, -1)
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by the merges, one after the other, and where each
+        word's end: in each word the pair of lowest rank is merged wherever it
+        stands, from the left, until none is left. Only pairs next to a merge are
+        looked up again."""
+        text = np.frombuffer(b"".join(words), np.uint8)
         word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        sym = self.single[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)
-        done_word, done_sym = [], []
+        sym = self.single[text].astype(np.int64)
+        if not hasattr(self, "byte_places"):
+            every = self.single.astype(np.int64)
+            self.byte_places = self.places(np.repeat(every, 256), np.tile(every, 256))
         none = np.iinfo(np.int32).max
+        at = np.full(len(sym), -1, np.int64)  # of the pair that begins here
+        inner = word[:-1] == word[1:]
+        at[:-1][inner] = self.byte_places[text[:-1][inner].astype(np.int64) * 256 + text[1:][inner]]
+        ranked = np.where(at >= 0, self.rank[at], none)
+        done_word, done_sym = [], []
         while len(sym):
-            pair = sym[:-1] * PAIR + sym[1:]
-            at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
-            ranked = np.where((self.pair[at] == pair) & (word[:-1] == word[1:]), self.rank[at], none)
-            ranked = np.append(ranked, none)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            low = np.minimum.reduceat(ranked, first)
-            lengths = np.diff(np.append(first, len(word)))
-            low_of = np.repeat(low, lengths)
+            low_of = np.repeat(np.minimum.reduceat(ranked, first), np.diff(np.append(first, len(word))))
             over = low_of == none
             done_word.append(word[over])
             done_sym.append(sym[over])
@@ -253,30 +280,45 @@ class Lexicon:
             run = np.append(True, np.diff(take) != 1) if len(take) else np.empty(0, bool)
             place = np.arange(len(take)) - np.repeat(np.flatnonzero(run), np.diff(np.append(np.flatnonzero(run), len(take))))
             take = take[place % 2 == 0]
-            sym = sym.copy()
             sym[take] = self.made[at[take]]
             keep = ~over
             keep[take + 1] = False
-            word, sym = word[keep], sym[keep]
+            moved = (np.cumsum(keep) - 1)[take]
+            word, sym, at, ranked = word[keep], sym[keep], at[keep], ranked[keep]
+            beside = np.zeros(len(sym) + 1, bool)  # the last place stands for the one before the first
+            beside[moved] = beside[moved - 1] = True
+            again = np.flatnonzero(beside[:-1])
+            at[again], ranked[again] = -1, none
+            again = again[again < len(sym) - 1]
+            again = again[word[again] == word[again + 1]]
+            at[again] = self.places(sym[again], sym[again + 1])
+            again = again[at[again] >= 0]
+            ranked[again] = self.rank[at[again]]
         word, sym = np.concatenate([*done_word, np.empty(0, np.int64)]), np.concatenate([*done_sym, np.empty(0, np.int64)])
         order = np.argsort(word, kind="stable")
-        ends = np.cumsum(np.bincount(word.astype(np.int64), minlength=len(words)))
-        return np.split(sym[order].astype(np.uint32), ends[:-1]) if len(words) else []
+        return sym[order].astype("<u4"), np.cumsum(np.bincount(word.astype(np.int64), minlength=len(words)))
 
     def learn(self, words: set[str]) -> None:
-        """Put words that are not there yet into the memo."""
-        new = list(words.difference(self.memo))
+        """Put words that are not there yet into the memo. A full one becomes the
+        older generation, whose words come back as they are met."""
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(words)
+            self.older, self.memo, new = self.memo, {}, words
+        known = [w for w in new if w in self.older]
+        self.memo.update(zip(known, map(self.older.__getitem__, known)))
+        new = [w for w in new if w not in self.older] if known else list(new)
         raw = [w.encode() for w in new]
         places = self.ordinals(raw)
-        starts = np.append(0, self.ids_end)
-        unseen = np.flatnonzero(places < 0)
-        for i in np.flatnonzero(places >= 0):
-            self.memo[new[i]] = self.ids[starts[places[i]] : starts[places[i] + 1]].tobytes()
-        for i, ids in zip(unseen, self.merged([raw[i] for i in unseen])):
-            self.memo[new[i]] = ids.tobytes()
+        ids, starts = self.ids.tobytes(), np.append(0, self.ids_end) * 4
+        held = np.flatnonzero(places >= 0)
+        for i, a, b in zip(held.tolist(), starts[places[held]].tolist(), starts[places[held] + 1].tolist()):
+            self.memo[new[i]] = ids[a:b]
+        unseen = np.flatnonzero(places < 0).tolist()
+        merged, ends = self.merged([raw[i] for i in unseen])
+        merged, at = merged.tobytes(), 0
+        for i, end in zip(unseen, (ends * 4).tolist()):
+            self.memo[new[i]] = merged[at:end]
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -293,11 +335,11 @@ class Lexicon:
         ]
 
     def decode(self, packed_ids: list[bytes]) -> list[str]:
-        starts, text = np.append(0, self.piece_end).tolist(), self.piece.tobytes()
-        pieces = [text[a:b] for a, b in zip(starts, starts[1:])]
-        return [
-            b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in packed_ids
-        ]
+        if not self.pieces:
+            starts, text = np.append(0, self.piece_end).tolist(), self.piece.tobytes()
+            self.pieces = [text[a:b] for a, b in zip(starts, starts[1:])]
+        piece = self.pieces.__getitem__
+        return [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in packed_ids]
 
 
 def blocks(values: list, size=len) -> Iterator[list]:
@@ -354,13 +396,19 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", wor
     tables = merge_table(vocab, merges)
     merger = Lexicon.__new__(Lexicon)
     merger.__dict__.update(tables)
-    arrays = tables | vocabulary_bytes(vocab, specials) | automaton(chosen, merger.merged(chosen))
+    ids, ends = merger.merged(chosen)
+    arrays = tables | vocabulary_bytes(vocab, specials) | automaton(chosen, np.split(ids, ends[:-1]) if chosen else [])
     path = scratch_path(spark, "lexicon") + ".bin"
     write_shared(spark, path, packed(arrays, {"specials": specials}))
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
 
 
+def by_place(fields: Sequence[T.StructField]) -> list[Column]:
+    """The fields' columns under names that none of an input's can clash with."""
+    return [F.col(f"`{f.name}`").alias(f"__c{i}") for i, f in enumerate(fields)]
+
+
 def encode(docs: DataFrame, lexicon: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """All columns of ``docs`` and ``ids``: little-endian unsigned 32-bit ids."""
     fields = [f for f in docs.schema if f.name != out]
@@ -368,15 +416,15 @@ def encode(docs: DataFrame, lexicon: str, text_col: str = "text", out: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(SparkFiles.get(lexicon))
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
             ids = [x for part in blocks(texts) for x in own.encode(part)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f.name) for f in fields], pa.array(ids, pa.large_binary()).cast(pa.binary())],
+                [*batch.columns[: len(fields)], pa.array(ids, pa.large_binary()).cast(pa.binary())],
                 names=[*[f.name for f in fields], out],
             )
 
     schema = T.StructType([*fields, T.StructField(out, T.BinaryType())])
-    return docs.select(*[f.name for f in fields], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*by_place(fields), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, lexicon: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -387,12 +435,12 @@ def decode(rows: DataFrame, lexicon: str, ids_col: str = "ids", out: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(SparkFiles.get(lexicon))
         for batch in batches:
-            ids = [x or b"" for x in batch.column("__ids").to_pylist()]
+            ids = [x or b"" for x in batch.column(len(fields)).to_pylist()]
             texts = [x for part in blocks(ids) for x in own.decode(part)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f.name) for f in fields], pa.array(texts, pa.string())],
+                [*batch.columns[: len(fields)], pa.array(texts, pa.string())],
                 names=[*[f.name for f in fields], out],
             )
 
     schema = T.StructType([*fields, T.StructField(out, T.StringType())])
-    return rows.select(*[f.name for f in fields], F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
+    return rows.select(*by_place(fields), F.col(f"`{ids_col}`").alias("__ids")).mapInArrow(run, schema)

@@ -26,7 +26,8 @@ def lexicon(tmp_path_factory):
     tables = bpe.merge_table(vocab, merges)
     merger = bpe.Lexicon.__new__(bpe.Lexicon)
     merger.__dict__.update(tables)
-    arrays = tables | bpe.vocabulary_bytes(vocab, specials) | bpe.automaton(words, merger.merged(words))
+    ids, ends = merger.merged(words)
+    arrays = tables | bpe.vocabulary_bytes(vocab, specials) | bpe.automaton(words, np.split(ids, ends[:-1]))
     path = tmp_path_factory.mktemp("bpe") / "lexicon.bin"
     path.write_bytes(bpe.packed(arrays, {"specials": specials}))
     return bpe.Lexicon(str(path)), words
@@ -48,7 +49,8 @@ def texts(n):
     ]
     for _ in range(n):
         yield "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(0, 60)))
-    yield "".join(chr(rng.choice([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])) for _ in range(3000))
+    scalars = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    yield "".join(chr(rng.choice(scalars)) for _ in range(3000))
     yield "<|endoftext|><|endoftext|> a<|endoftext|>"
     yield "word " * 20_000 + "x" * 3000
 
