@@ -11,13 +11,18 @@ document that a smaller one takes, and reruns agree, as the hash is of the id
 and text alone.
 
 Scale: every step is a partial aggregate; a hot source is one group of at most
-2**bits rows after it. Thresholds (one row per source) join back by source.
-
-Defined cases: a null text has no words; a null source is a source of its own,
+2**bits rows after it. The first level sums all cells of all sources without a
+join, the next ones join by (source, bucket prefix), and the thresholds (a row per
+source) join back by (source, salt), so that a hot source is dealt over SALTS
+keys even where there are too many sources to broadcast. The targets are found
+in one task over a row per source.
+
+Defined cases: a null text has no words, one of any length is counted whole (in
+Spark, one text in memory at a time); a null source is a source of its own,
 sorted last; a null id is hashed as empty; rows with equal id and text share
 their fate (repeated rows are taken together); documents without words are
 repeated like others and take nothing; an empty table gives no rows. Extra
-columns stay; added names clash with none (see ``mix``).
+columns stay, whatever their names (see ``mix``).
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pyspark.sql.window import Window
 from scorecraft.llm.common import hash60, stage, word_count
 
 HASH_BITS = 60
+#: Keys that a source's rows are dealt over in the join with the thresholds.
+SALTS = 64
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:
@@ -76,23 +83,23 @@ def thresholds(sized: DataFrame, targets: DataFrame, bits: int, levels: int) ->
     bounds = plans.select("__skey", "__extra", F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__base"))
     for level in range(levels):
         above, here = HASH_BITS - bits * level, HASH_BITS - bits * (level + 1)
-        cells = (
-            sized.select("__skey", "__size", "__h")
-            .withColumn("__prefix", F.shiftright("__h", above))
-            .join(bounds, ["__skey", "__prefix"])
-            .groupBy("__skey", "__extra", "__base", F.shiftright("__h", here).alias("cell"))
-            .agg(F.sum("__size").alias("tokens"))
-            # summed by cell before a source's cells meet: else all tasks' parts of a hot source would
-            .repartition("__skey")
-        )
+        rows = sized.select("__skey", "__size", F.shiftright("__h", above).alias("__prefix"), F.shiftright("__h", here).alias("cell"))
+        if level:  # in the first level every row is within its source's bounds
+            rows = rows.join(bounds.select("__skey", "__prefix"), ["__skey", "__prefix"])
+        # written: a source's few cells are joined with its bounds, not its rows
+        summed = stage(rows.groupBy("__skey", "cell").agg(F.sum("__size").alias("tokens")), "mix-cells")
+        cells = summed.join(bounds.select("__skey", "__extra", "__base"), "__skey")
         run = Window.partitionBy("__skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         past = cells.withColumn("upto", F.col("__base") + F.sum("tokens").over(run)).filter(F.col("upto") > F.col("__extra"))
         edge = F.min(F.struct("cell", "upto", "tokens"))
-        bounds = past.groupBy("__skey", "__extra").agg(edge.alias("e")).select(
-            "__skey", "__extra",
-            F.col("e.cell").alias("__prefix"),
-            (F.col("e.upto") - F.col("e.tokens")).alias("__base"),
-            F.col("e.tokens").alias("__tokens"),
+        bounds = stage(
+            past.groupBy("__skey", "__extra").agg(edge.alias("e")).select(
+                "__skey", "__extra",
+                F.col("e.cell").alias("__prefix"),
+                (F.col("e.upto") - F.col("e.tokens")).alias("__base"),
+                F.col("e.tokens").alias("__tokens"),
+            ),
+            "mix-bounds",
         )
     # the last cell goes in when that brings the source nearer to its budget
     cut = F.col("__prefix") + F.when(2 * (F.col("__extra") - F.col("__base")) >= F.col("__tokens"), F.lit(1)).otherwise(F.lit(0))
@@ -102,40 +109,65 @@ def thresholds(sized: DataFrame, targets: DataFrame, bits: int, levels: int) ->
     return plans.join(found, "__skey", "left").withColumn("__cut", cut).drop("__found", "__extra")
 
 
-def repeats(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    carry: Sequence[str] = (),
-    weights: Sequence[int] = (5, 2, 1),
-    max_repeat: int = 3,
-    bits: int = 10,
-    levels: int = 3,
+def planned(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: Sequence[str],
+    weights: Sequence[int], max_repeat: int, bits: int, levels: int,
 ) -> DataFrame:
-    """Every row with ``__id, __size, __ssize, __target, __times`` and the carried columns."""
+    """``__id, __size, __ssize, __target, __times`` of every row, and the carried
+    columns as ``__c0``, ``__c1``, ... in their order."""
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     sized = stage(
         docs.select(
             F.col(id_col).alias("__id"),
             F.col(source_col).alias("__source"),
-            F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))).alias("__skey"),
+            key.alias("__skey"),
             word_count(F.col(text_col)).alias("__size"),
             hash60(F.concat(ident, F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))).alias("__h"),
-            *[F.col(c) for c in carry],
+            *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)],
         ),
         "mix-sizes",
     )
-    cuts = stage(thresholds(sized, source_targets(sized, weights, max_repeat), bits, levels), "mix-thresholds")
+    targets = stage(source_targets(sized, weights, max_repeat), "mix-targets")
+    cuts = stage(thresholds(sized, targets, bits, levels), "mix-thresholds")
+    salted = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     once_more = (F.shiftright("__h", HASH_BITS - bits * levels) < F.col("__cut")).cast("long")
-    return sized.join(cuts, "__skey").withColumn("__times", F.col("__whole") + once_more).select(
-        "__id", "__size", "__ssize", "__target", "__times", *carry
+    return sized.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(salted, ["__skey", "__salt"]).select(
+        "__id", "__size", "__ssize", "__target", (F.col("__whole") + once_more).alias("__times"),
+        *[f"__c{i}" for i in range(len(carry))],
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    carry: Sequence[str] = (),
+    weights: Sequence[int] = (5, 2, 1),
+    max_repeat: int = 3,
+    bits: int = 10,
+    levels: int = 3,
+) -> DataFrame:
+    """Every row with ``__id, __size, __ssize, __target, __times`` and the carried
+    columns (which must not have those names)."""
+    rows = planned(docs, id_col, text_col, source_col, carry, weights, max_repeat, bits, levels)
+    return rows.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(carry)})
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    max_repeat: int = 3,
+    bits: int = 10,
+    levels: int = 3,
+) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its source needs,
     with the columns of ``docs``."""
-    times = repeats(docs, carry=docs.columns, **options)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
-    return times.filter(F.col("__times") > 0).select(*docs.columns, copies.alias("__n")).drop("__n")
+    rows = planned(docs, id_col, text_col, source_col, docs.columns, weights, max_repeat, bits, levels)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")
+    taken = rows.filter(F.col("__times") > 0).select(*[f"__c{i}" for i in range(len(docs.columns))], copies)
+    return taken.drop("__copy").toDF(*docs.columns)
