@@ -66,15 +66,8 @@ def _op6() -> str:
         cases["ruled"] += fits + f"'{verdict}' "
     up, down = url_filter.DAMPING
     unit, link = url_filter.UNIT, url_filter.LINK.replace("'", "''")
-    waves = [f"wave0 AS (SELECT kind, host, mass FROM (SELECT kind, host, mass * {down - up} // {down} AS mass FROM seeds) WHERE mass > 0)"]
-    for i in range(url_filter.STEPS):
-        waves.append(
-            f"wave{i + 1} AS (SELECT * FROM (SELECT a.kind, a.dst AS host, sum(((CAST(v.mass AS HUGEINT) * a.w) // a.out) * {up} // {down}) AS mass "
-            f"FROM wave{i} v JOIN arcs a ON a.kind = v.kind AND a.host = v.host GROUP BY a.kind, a.dst) WHERE mass > 0)"
-        )
-    everything = " UNION ALL ".join(f"SELECT kind, host, mass FROM wave{i}" for i in range(url_filter.STEPS + 1))
     return f"""
-WITH judged AS MATERIALIZED (
+WITH RECURSIVE judged AS MATERIALIZED (
   SELECT page_id, host, path, CASE {cases['rule']}END AS rule, CASE {cases['ruled']}END AS ruled FROM (
     SELECT page_id, {host.format('url')} AS host,
       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)),
@@ -88,9 +81,14 @@ found AS (
 links AS (SELECT src, dst, count(*) AS w FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
 pairs AS (SELECT 'T' AS kind, src AS host, dst, w FROM links UNION ALL SELECT 'D', dst, src, w FROM links),
 arcs AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY kind, host) AS out FROM pairs),
-{', '.join(w.replace(' AS (', ' AS MATERIALIZED (', 1) for w in waves)},
+waves AS (
+  SELECT 0 AS n, kind, host, CAST(mass * {down - up} // {down} AS HUGEINT) AS mass FROM seeds WHERE mass * {down - up} // {down} > 0
+  UNION ALL
+  SELECT any_value(v.n) + 1, a.kind, a.dst, CAST(sum((v.mass * a.w) // a.out * {up} // {down}) AS HUGEINT)
+  FROM waves v JOIN arcs a ON a.kind = v.kind AND a.host = v.host GROUP BY a.kind, a.dst
+  HAVING sum((v.mass * a.w) // a.out * {up} // {down}) > 0),
 ranks AS (
-  SELECT host, sum(mass) FILTER (kind = 'T') AS t, sum(mass) FILTER (kind = 'D') AS d FROM ({everything}) GROUP BY host)
+  SELECT host, sum(mass) FILTER (kind = 'T') AS t, sum(mass) FILTER (kind = 'D') AS d FROM waves GROUP BY host)
 SELECT j.page_id, j.host, j.path, j.rule,
   coalesce(j.ruled, CASE WHEN coalesce(r.d, 0) > {url_filter.RATIO} * coalesce(r.t, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN ranks r ON j.host = r.host

@@ -12,22 +12,27 @@ block), and is blocked when its distrust exceeds ``ratio`` times its trust.
 The ranks are sums of waves: a wave holds what has just arrived at each host,
 and the next one is ``damping`` of it, shared over the host's links by their
 weight. Masses are integers (``UNIT`` is a whole seed), so the order of sums
-and lost executors cannot change a result; a wave that has faded out ends the
-work, ``steps`` is its limit.
+and lost executors cannot change a result. Each wave's sum is at most
+``damping`` of the one before, rounded down, so waves fade out by themselves:
+the work ends with the first empty one, and no mass is left out. ``steps``, if
+given, ends it earlier.
 
 Scale: links are summed by pair of hosts before anything is joined; each step
 joins the wave with the links by host and is summed again before the shuffle,
-with AQE splitting a host of very many links. Each wave is a written table.
+with AQE splitting a host of very many links. Each wave is a written table, and
+the sums so far are one after every ``GATHER`` waves.
 
 Defined cases: a null url, and one without ``://``, has an empty host and path;
 such pages, and hosts that no mass reaches, are allowed unless a rule decides;
-null html has no links; repeated rows count each; an empty table gives no rows.
+null html has no links, one of any length is searched whole (in Spark, one page in
+memory at a time); repeated rows count each; an empty table gives no rows.
 Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +41,9 @@ from scorecraft.llm.common import lower_ascii, stage
 
 UNIT = 1 << 30
 DAMPING = (85, 100)
-STEPS = 20
 RATIO = 2
+#: Waves after which their sums are gathered in one table.
+GATHER = 20
 
 #: (verdict, host, path) of the rules to apply.
 RULES = (
@@ -80,7 +86,7 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: tuple[int, int], steps: int) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: tuple[int, int], steps: int | None) -> DataFrame:
     """``kind, host, mass``: the ranks of both kinds. ``seeds``: kind, host, mass.
 
     Kind T follows ``links`` from src to dst, kind D from dst to src.
@@ -92,8 +98,10 @@ def spread(links: DataFrame, seeds: DataFrame, damping: tuple[int, int], steps:
     out = both.groupBy("kind", "host").agg(F.sum("w").alias("out"))
     arcs = stage(both.join(out, ["kind", "host"]), "url-arcs")
     wave = stage(seeds.select("kind", "host", F.expr(f"mass * {down - up} div {down}").alias("mass")).filter("mass > 0"), "url-wave")
-    waves = [wave]
-    for _ in range(steps):
+    summed = lambda tables: reduce(DataFrame.union, tables).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+    waves, step = [wave], 0
+    while steps is None or step < steps:
+        step += 1
         share = F.expr(f"(cast(mass as decimal(19, 0)) * cast(w as decimal(18, 0))) div out * {up} div {down}")
         wave = stage(
             wave.join(arcs, ["kind", "host"]).select("kind", F.col("to").alias("host"), share.alias("mass"))
@@ -103,10 +111,9 @@ def spread(links: DataFrame, seeds: DataFrame, damping: tuple[int, int], steps:
         if wave.isEmpty():
             break
         waves.append(wave)
-    total = waves[0]
-    for one in waves[1:]:
-        total = total.union(one)
-    return total.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        if len(waves) > GATHER:
+            waves = [stage(summed(waves), "url-sums")]
+    return summed(waves)
 
 
 def judge(
@@ -118,21 +125,23 @@ def judge(
     trusted: Sequence[str] = (),
     blocked: Sequence[str] = (),
     damping: tuple[int, int] = DAMPING,
-    steps: int = STEPS,
+    steps: int | None = None,
     ratio: int = RATIO,
+    unit: int = UNIT,
 ) -> DataFrame:
     """``id, host, path, rule, verdict, trust, distrust`` of every page.
 
     ``trusted`` and ``blocked`` name further seed hosts (known lists); trust
-    and distrust are the host's masses as fractions of a whole seed.
+    and distrust are the host's masses as fractions of a whole seed, which is
+    ``unit`` (a coarser one fades out in fewer waves).
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path")).withColumn(
         "hit", longest_rule(F.col("host"), F.col("path"), rules)
     )
     whole = lambda names: F.col("host").isin(*names) if names else F.lit(False)
-    share = lambda verdict, named: F.when(whole(named), F.lit(UNIT)).otherwise(
-        F.expr(f"(count_if(hit.verdict = '{verdict}') * {UNIT}) div count(1)")
+    share = lambda verdict, named: F.when(whole(named), F.lit(unit)).otherwise(
+        F.expr(f"(count_if(hit.verdict = '{verdict}') * {unit}) div count(1)")
     )
     per_host = judged.filter("host <> ''").groupBy("host").agg(
         share("allow", trusted).alias("t"), share("block", blocked).alias("d")
@@ -154,6 +163,6 @@ def judge(
         F.col("__id").alias(id_col), "host", "path",
         F.col("hit.rule").alias("rule"),
         F.coalesce(F.col("hit.verdict"), verdict).alias("verdict"),
-        (trust / F.lit(float(UNIT))).alias("trust"),
-        (distrust / F.lit(float(UNIT))).alias("distrust"),
+        (trust / F.lit(float(unit))).alias("trust"),
+        (distrust / F.lit(float(unit))).alias("distrust"),
     )
