@@ -27,7 +27,10 @@ together.
 Defined cases: null text counts as empty, and all empty and all-blank texts
 are equal; null ids lose against others and ``keep_id`` is null where a group
 has no other; repeated rows are copies of which one stays; an empty table
-gives no rows; other columns are not read.
+gives no rows; texts of any length are hashed and compared whole (in Spark, a
+few texts in memory at a time); ids are whole numbers (a column of another type
+must cast to a long); other columns are not read, and ``dedup`` keeps them
+whatever their names.
 """
 
 from __future__ import annotations
@@ -188,7 +191,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col("file").alias("__file"), F.col("row").alias("__row")
     )
     rows = spark.read.schema(docs.schema).parquet(path)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
     located = rows.select(
-        *docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"),
     )
-    return located.join(kept, ["__file", "__row"], "left_semi").select(*docs.columns)
+    return located.join(kept, ["__file", "__row"], "left_semi").select(*names).toDF(*docs.columns)

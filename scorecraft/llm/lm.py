@@ -26,7 +26,8 @@ of n^2 / 2^65 in all.
 Defined cases: a null or blank text is one end token; ids that are null count
 as empty text for the fold; repeated rows count each; an empty table gives no
 rows; with no training text every token has the same probability; other
-columns are not read.
+columns are not read. Texts of any length are scored whole: a block holds at
+least one text, so the longest one bounds a worker's memory.
 """
 
 from __future__ import annotations

@@ -31,8 +31,10 @@ share a list; nothing is collected or broadcast.
 Defined cases: null or blank texts have no shingles and link with nothing;
 fewer words than a shingle make one shingle of the whole sequence; repeated
 rows have equal sets; a null id never is the smallest unless its component has
-no other (then ``component_id`` is null and ``kept`` false); an empty table
-gives no rows; other columns are not read.
+no other (then ``component_id`` is null and ``kept`` false); texts of any length
+give all their shingles, a worker holding one batch of texts; an empty table
+gives no rows; other columns are not read, and ``drop_near_duplicates`` keeps
+them whatever their names.
 """
 
 from __future__ import annotations
@@ -354,7 +356,7 @@ def far_candidates(lists: DataFrame, found: DataFrame, nodes: DataFrame, labels:
 def row_groups(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(rows, labels) of file-backed ``docs``: ``__id, __file, __row, n, node`` of every row and
     ``node, label`` of the nodes that are linked."""
-    rows = located(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), "__file", "__row")
+    rows = located(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
     marks = stage(fingerprints(rows, width, k), "near-marks")
     nodes = stage(
         marks.filter("n > 0").groupBy("node").agg(
@@ -409,4 +411,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rank = F.min(F.struct(F.col("__id").isNull(), "__id", "__file", "__row")).alias("r")
     whole = marks.filter("n > 0").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(rank)
     stay = whole.select("r.__file", "r.__row").union(marks.filter("n = 0").select("__file", "__row"))
-    return located(base).join(stay, ["__file", "__row"], "left_semi").select(*docs.columns)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    named = base.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"),
+    )
+    return named.join(stay, ["__file", "__row"], "left_semi").select(*names).toDF(*docs.columns)

@@ -17,7 +17,8 @@ Defined cases: null and empty texts have no features and get the bias alone;
 null labels and ids are not learned from; of several labels of an id the more
 frequent counts, 1 in a tie; labelled copies count each; with labels of one
 class only, or none, every score is that class's smoothed share (0.5 with
-none); an empty table gives no rows; other columns are not read.
+none); an empty table gives no rows; other columns are not read. Texts of any
+length are read whole, one at a time with its n-grams as arrays.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ def edge(spark, scratch):
     """The edge documents as a file-backed table with columns of names that the
     operators use themselves."""
     df = spark.createDataFrame(edge_rows(), DOCS)
-    for name in ("size", "label", "node", "ids", "votes", "kept", "shard", "__text2"):
+    for name in ("size", "label", "node", "ids", "votes", "kept", "shard", "__text", "__text2", "__file", "__row", "__id", "__size", "__h", "__c0"):
         df = df.selectExpr("*", f"n_chars AS `{name}`")
     return spark.read.parquet(scratch(df))
 

@@ -3,6 +3,7 @@ from collections import Counter
 from fractions import Fraction
 
 from scorecraft.llm import mixing, sharding
+from scorecraft.session import settings
 
 from edge_cases import edge_rows
 
@@ -39,6 +40,30 @@ def test_a_text_with_very_many_copies_is_cut(spark):
     assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 2 * 40
 
 
+def test_overfull_ranges_are_subdivided_and_place_rows_alike(spark, scratch):
+    """A third of the rows equal in id and text; few and small ranges allowed."""
+    rows = [(7, "the very same record")] * 300 + [(100 + i, f"text {i} " * (1 + i % 9)) for i in range(600)]
+    docs = spark.read.parquet(scratch(spark.createDataFrame(rows, "doc_id long, text string"), 3))
+    seen = []
+    pieces = sharding.subdivided
+
+    def spy(ranged, most):
+        out = pieces(ranged, most)
+        seen.append({(r[0], r[1]): r[2] for r in out.groupBy("__range", "__sub").sum("__size").collect()})
+        return out
+
+    sharding.subdivided = spy
+    try:
+        one = sharding.assign_shards(docs, shards=6).collect()
+        other = sharding.assign_shards(docs, shards=6, range_bytes=1500, max_ranges=4).collect()
+    finally:
+        sharding.subdivided = pieces
+    assert Counter(map(tuple, one)) == Counter(map(tuple, other))
+    assert {sub for _, sub in seen[0]} == {0} and len({r for r, _ in seen[1]}) <= 4
+    total = sum(seen[1].values())
+    assert len(seen[1]) > 4 and max(seen[1].values()) < 0.5 * total
+
+
 def test_carried_columns_and_empty_table(spark, edge, empty, tmp_path):
     got = sharding.assign_shards(edge, shards=2, carry=["lang", "label"])
     assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "lang", "label"]
@@ -87,6 +112,17 @@ def test_mix_repeats_rows_and_keeps_columns(spark, edge, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_a_hot_source_is_dealt_over_many_keys(spark):
+    """No exchange deals rows by source alone, broadcast or not."""
+    rows = [(i, f"w{i}", "hot" if i % 3 else f"s{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan = mixing.repeats(docs)._jdf.queryExecution().executedPlan().toString()
+        got = mixing.repeats(docs).collect()
+    assert "hashpartitioning(__skey" in plan and "__salt" in plan.split("hashpartitioning(__skey", 1)[1][:60]
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.repeats(docs).collect()))
+
+
 def test_nested_budgets(spark):
     rows = [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
