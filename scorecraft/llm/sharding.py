@@ -86,11 +86,13 @@ def subdivided(ranged: DataFrame, most: int) -> DataFrame:
     """``ranged`` with ``__sub``: 0, or in ranges of more than ``most`` bytes the
     number of the record's part, in the order of (key, id, place)."""
     sums = ranged.groupBy("__range").agg(F.sum("__size").alias("b"))
-    over = stage(sums.filter(F.col("b") > most).select("__range"), "shard-overfull")
-    if over.isEmpty():
+    over = stage(sums.filter(F.col("b") > most), "shard-overfull")
+    size = over.agg(F.sum("b")).first()[0]
+    if not size:
         return ranged.withColumn("__sub", F.lit(0))
-    parts = ranged.join(over, "__range", "left_semi").repartitionByRange("__range", "__key", "__id", "__at")
-    split = stage(parts.withColumn("__sub", F.spark_partition_id()), "shard-parts")
+    parts = min(math.ceil(2 * size / most), MAX_RANGES)
+    dealt = ranged.join(over, "__range", "left_semi").repartitionByRange(parts, "__range", "__key", "__id", "__at")
+    split = stage(dealt.withColumn("__sub", F.spark_partition_id()), "shard-parts")
     even = ranged.join(over, "__range", "left_anti").withColumn("__sub", F.lit(0))
     return even.unionByName(split)
 
