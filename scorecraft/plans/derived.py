@@ -398,7 +398,7 @@ DOC_SQL = f"""concat('{{"document_info":{{"source_type":"',
 
 
 def document_jsons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
     return docs.select("doc_id", F.expr(DOC_SQL).alias("doc"))
 
 
