@@ -229,13 +229,14 @@ def score_texts(
 ) -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of every row;
     ``train`` (a condition on the columns) names those to learn from."""
-    text = F.col(text_col)
-    base = located(file_backed(docs))
-    rows_n, size = base.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()
+    base = located(file_backed(docs).select(
+        F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(train, F.lit(False)).alias("__train")
+    ))
+    rows_n, size = base.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("__text"), F.lit(0)) + 1)).first()
     blocks = max(1, math.ceil((size or 0) / block_bytes))
     per_block = max(1, math.ceil(rows_n / blocks))
     rows = base.select(
-        F.col(id_col).alias("__id"), text.alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"), "__row",
+        "__id", "__text", "__train", "__row",
         F.xxhash64("__file", F.floor(F.col("__row") / per_block)).alias("__block"),
     )
     told = stage(answers(requests(rows, blocks)), "lm-answers")
