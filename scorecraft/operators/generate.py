@@ -129,6 +129,8 @@ def generate(
                     ended.add(run)
                 kept.append(place)
                 answers.append(got)
+            if not kept:  # a batch after its run's end; Arrow takes no untyped empty column
+                continue
             out = batch.iloc[kept].drop(columns="_prompt").reset_index(drop=True)
             for k, field in enumerate(ANSWER.split(", ")):
                 out[field.split()[0]] = [a[k] for a in answers]

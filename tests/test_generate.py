@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 
 from scorecraft.operators import generate as G
 from scorecraft.operators import scoring as S
+from scorecraft.session import settings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks do not find test modules
 
@@ -108,6 +109,18 @@ def test_refused_credentials_end_the_run(spark, tmp_path, concurrency, refused):
     assert (n.status, n.total_rows, n.average_score) == (S.COMPLETED, 20, 1.0)
 
 
+def test_batches_after_the_end_of_their_run(spark):
+    def generator(model, prompt):
+        if prompt == "c2":
+            raise G.AuthFailure("refused")
+        return "one"
+
+    runs = spark.createDataFrame([("m", "c"), ("m", "d")], RUNS)
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2"}):
+        out = G.generate(dataset(spark, 7, ("c", "d")), runs, generator, concurrency=1)
+    assert sorted(k[1:] for k in rows(out)) == [("c", 1), ("c", 2), *(("d", i) for i in range(1, 8))]
+
+
 def test_callers_own_errors(spark):
     class Denied(PermissionError):
         pass
