@@ -68,9 +68,12 @@ def pair_cases(
         F.concat(base, F.lit("_output.csv")).alias("_second"),
     )
     supported = F.col("ext").isin(*exts)
-    outputs = listing.select(F.col("path").alias("_out")).distinct()
-    first = outputs.select(F.col("_out").alias("_first"), F.col("_out").alias("_hit1"))
-    second = outputs.select(F.col("_out").alias("_second"), F.col("_out").alias("_hit2"))
+    # Paths pack so well that the planner takes a long listing for a small table and
+    # would hold it whole in every task. So both joins sort (and spill), and paths
+    # are dealt out before the tasks look for repeated ones.
+    outputs = listing.select(F.col("path").alias("_out")).filter(F.col("_out").endswith("_output.csv")).repartition("_out").distinct()
+    first = outputs.select(F.col("_out").alias("_first"), F.col("_out").alias("_hit1")).hint("merge")
+    second = outputs.select(F.col("_out").alias("_second"), F.col("_out").alias("_hit2")).hint("merge")
     paired = (
         candidates.filter(supported)
         .join(first, "_first", "left")

@@ -12,6 +12,7 @@ from scorecraft.operators import cases as CS
 from scorecraft.operators import compare as C
 from scorecraft.operators import source_scores as SS
 from scorecraft.operators import validate as V
+from scorecraft.operators.layout import written
 from scorecraft.sources import datasets as DS
 from scorecraft.sources import reports as RP
 from scorecraft.sources import sinks as SK
@@ -158,6 +159,16 @@ def test_dataset_json_shapes(spark, tmp_path):
         assert len(errs) == 1 and errs[0] is not None, name
 
 
+def test_pairing_holds_no_listing_in_a_task(spark, tmp_path):
+    paths = [f"d/ex{i}_{x}" for i in range(40) for x in ("input.txt", "output.csv")] + ["d/ex1_output.csv", "d/new_input.csv"]
+    listing = written(spark.createDataFrame([(p,) for p in paths], "path string"), "listing", str(tmp_path / "listing"))
+    cases, skipped = CS.pair_cases(listing)
+    for found in (cases, skipped):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.input_path for r in cases.collect()) == sorted(f"d/ex{i}_input.txt" for i in range(40))
+    assert [r.input_path for r in skipped.collect()] == ["d/new_input.csv"]
+
+
 def test_pair_cases(spark):
     listing = spark.createDataFrame(
         [("data/examples/ex01_input.csv",), ("data/examples/ex01_output.csv",),
