@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from scorecraft.session import checkpoint_dir
 
@@ -20,6 +22,14 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, keep: Sequence[str], /, **columns: Column) -> DataFrame:
+    """``keep`` and new ``columns``, which are worked out once for each row: Spark
+    merges projections and moves filters into them, and would repeat them; it
+    leaves what a generator gives as it is."""
+    made = df.select(*keep, *[c.alias(name) for name, c in columns.items()])
+    return made.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a scan that arrives in fewer partitions than the cluster
     has cores, before CPU-heavy per-row work (JSON parsing, scoring).
@@ -47,7 +57,6 @@ def dense_index(df: DataFrame, order_col: str, out: str = "pos") -> DataFrame:
     so the ids are fixed; per-partition row counts (one row per partition)
     give the offsets, which are joined back by partition id.
     """
-    from pyspark.sql import functions as F
     from pyspark.sql.window import Window
 
     checkpoint_dir(df.sparkSession)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions import keys as K
+from scorecraft.operators.layout import once
 
 # Schema type names accepted (Python types or their names).
 TYPE_NAMES = {
@@ -222,18 +223,22 @@ def validate(
         return df.limit(0).select(*id_cols), violations
     data_cols = list(kinds)
     df = drop_blank_rows(df, data_cols)
-    checks = []
-    typed = []
+    cells = {}
     for c in data_cols:
         src_type = df.schema[c].dataType.simpleString()
         value, ok = cast_value(F.col(c), kinds[c], src_type)
-        blank = K.is_blank(cell_text(df, c))
-        rule = F.when(blank, F.lit(RULE_REQUIRED)).when(~ok, F.lit(RULE_TYPE))
-        checks.append(F.struct(F.lit(c).alias("column"), rule.alias("rule"), cell_text(df, c).alias("value")))
-        typed.append(value.alias(c))
-    checked = df.select(*id_cols, *typed, F.filter(F.array(*checks), lambda x: x["rule"].isNotNull()).alias("_bad"))
-    valid = checked.filter(F.size("_bad") == 0).select(*[c for c in id_cols if c not in data_cols], *data_cols)
-    violations = checked.filter(F.size("_bad") > 0).select(*id_cols, F.inline("_bad"))
+        text = cell_text(df, c)
+        rule = F.when(K.is_blank(text), F.lit(RULE_REQUIRED)).when(~ok, F.lit(RULE_TYPE))
+        cells |= {c: value, f"_rule_{c}": rule, f"_text_{c}": text}
+    checked = once(df, id_cols, **cells)
+    rules = F.coalesce(*[F.col(f"`_rule_{c}`") for c in data_cols])
+    valid = checked.filter(rules.isNull()).select(*[c for c in id_cols if c not in data_cols], *data_cols)
+    bad = [
+        F.struct(F.lit(c).alias("column"), F.col(f"`_rule_{c}`").alias("rule"), F.col(f"`_text_{c}`").alias("value")) for c in data_cols
+    ]
+    violations = checked.filter(rules.isNotNull()).select(
+        *id_cols, F.inline(F.filter(F.array(*bad), lambda x: x["rule"].isNotNull()))
+    )
     return valid, violations
 
 
@@ -260,7 +265,11 @@ def validate_files(
             F.lit(RULE_UNREADABLE).alias("rule"), F.col("error").alias("value"),
         ))
         rows = rows.filter(F.col("error").isNull())
-    sound = rows.join(lacks.select(dataset).distinct(), dataset, "left_anti")
+    if "header" in rows.columns and rows.schema["header"].dataType.typeName() == "array":
+        # each row has its file's header: no join is needed
+        sound = rows.filter(F.coalesce(F.forall(needed, lambda c: F.array_contains("header", c)), F.lit(True)))
+    else:
+        sound = rows.join(lacks.select(dataset).distinct(), dataset, "left_anti")
     valid, violations = validate(sound.select(*row_id, *kinds), schema, row_id)
     return valid, violations.unionByName(of_file)
 

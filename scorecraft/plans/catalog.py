@@ -446,7 +446,7 @@ def q_csv_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _json_dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = D.order_json_files(spark, sf_dir)
-    rows, headers = DS.read_dataset_json_files(spark, f"{path}/*", list(D.JSON_SCHEMA), typed=True)
+    rows, headers = DS.read_dataset_json_files(spark, path, list(D.JSON_SCHEMA), typed=True)
     return V.validate_files(rows, headers, D.JSON_SCHEMA)
 
 

@@ -351,7 +351,7 @@ JSON_SCHEMA = {"id": int, "price": float, "flag": bool, "note": str}
 
 
 def order_json_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of JSON datasets (``g=<n>/part-*``) written from ``orders``."""
+    """A folder of JSON datasets (``g=<n>.json``) written from ``orders``."""
     fields = {k: F.expr(v) for k, v in JSON_FIELDS_SQL.items()}
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(JSON_FILE_SQL).alias("g"), *[v.alias(k) for k, v in fields.items()])
     no_flag = F.col("g") % 13 == 4
@@ -368,13 +368,14 @@ def order_json_files(spark: SparkSession, sf_dir: str) -> str:
         .otherwise(array)
     )
     path = scratch(spark, "order-json")
-    listed.select("g", value.alias("value")).write.partitionBy("g").text(path)
+    name = F.concat(F.lit("g="), F.coalesce(F.col("g").cast("string"), F.lit("none")), F.lit(".json"))
+    write_named_files(listed.select(name.alias("file"), F.encode(value, "UTF-8").alias("content")), path, [])
     return path
 
 
 def file_number(dataset: str = "dataset") -> Column:
     """The ``g`` of a file of the two folders above."""
-    return F.regexp_extract(dataset, r"/g=(\d+)/", 1).cast("bigint")
+    return F.regexp_extract(dataset, r"/g=(\d+)[/.]", 1).cast("bigint")
 
 
 # An expected-output document per row of ``documents`` with

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
-from scorecraft.operators.layout import written
+from scorecraft.operators.layout import once, written
 
 BOM = "\ufeff"
 ERR_NOT_LIST = "JSON dataset must contain an object or list of objects."
@@ -150,42 +150,29 @@ def read_dataset_json_files(
     doc = raw.select(
         F.col("_metadata.file_path").alias("dataset"),
         F.regexp_replace("value", "^" + BOM, "").alias("_text"),
-    ).withColumn("_v", J.parsed_value("_text"))
-    as_obj = F.try_variant_get("_v", "$", "map<string,variant>")
-    as_arr = F.try_variant_get("_v", "$", "array<variant>")
-    rows_v = F.try_element_at(as_obj, F.lit("rows"))
-    data_v = F.try_element_at(as_obj, F.lit("data"))
+    )
+    doc = once(doc, ["dataset"], _v=J.parsed_value("_text"))
+    doc = once(doc, ["dataset", "_v"], _obj=F.try_variant_get("_v", "$", "map<string,variant>"))
+    list_of = lambda v: F.try_variant_get(v, "$", "array<variant>")
     records = (
-        F.when(as_obj.isNotNull() & F.map_contains_key(as_obj, F.lit("rows")), F.try_variant_get(rows_v, "$", "array<variant>"))
-        .when(as_obj.isNotNull() & F.map_contains_key(as_obj, F.lit("data")), F.try_variant_get(data_v, "$", "array<variant>"))
-        .when(as_obj.isNotNull(), F.array(F.col("_v")))
-        .otherwise(as_arr)
+        F.when(F.map_contains_key("_obj", F.lit("rows")), list_of(F.try_element_at("_obj", F.lit("rows"))))
+        .when(F.map_contains_key("_obj", F.lit("data")), list_of(F.try_element_at("_obj", F.lit("data"))))
+        .when(F.col("_obj").isNotNull(), F.array("_v"))
+        .otherwise(list_of("_v"))
     )
+    maps = F.transform(records, lambda r: F.try_variant_get(r, "$", "map<string,variant>"))
+    staged = once(doc, ["dataset"], _maps=maps, _invalid=F.col("_v").isNull())
     err = (
-        F.when(F.col("_v").isNull(), F.lit(ERR_INVALID))
-        .when(records.isNull(), F.lit(ERR_NOT_LIST))
-    )
-    staged = doc.select("dataset", records.alias("_records"), err.alias("error"))
-    maps = F.transform("_records", lambda r: F.try_variant_get(r, "$", "map<string,variant>"))
-    staged = staged.select(
-        "dataset",
-        "_records",
-        maps.alias("_maps"),
-        F.when(
-            F.col("error").isNull() & F.exists(maps, lambda m: m.isNull()), F.lit(ERR_NOT_OBJECT)
-        ).otherwise(F.col("error")).alias("error"),
+        F.when(F.col("_invalid"), F.lit(ERR_INVALID))
+        .when(F.col("_maps").isNull(), F.lit(ERR_NOT_LIST))
+        .when(F.exists("_maps", lambda m: m.isNull()), F.lit(ERR_NOT_OBJECT))
     )
     blank = lambda v: F.is_variant_null(v) | K.is_blank(F.try_variant_get(v, "$", "string"))
     non_empty = F.filter("_maps", lambda m: F.exists(F.map_values(m), lambda v: ~F.coalesce(blank(v), F.lit(False))))
     stripped = F.transform(non_empty, lambda m: F.transform_keys(m, lambda k, _v: K.py_strip(k)))
-    staged = staged.select(
-        "dataset",
-        "error",
-        "_maps",
-        F.when(F.col("error").isNull(), stripped).alias("_rows"),
-    )
+    staged = once(staged, [], dataset=F.col("dataset"), error=err, _n=F.size("_maps"), _rows=F.when(err.isNull(), stripped))
     staged = staged.withColumn("header", F.map_keys(F.try_element_at("_rows", F.lit(1))))
-    headers = staged.filter(F.col("error").isNull() & (F.size("_maps") > 0)).select(
+    headers = staged.filter(F.col("error").isNull() & (F.col("_n") > 0)).select(
         "dataset", F.coalesce("header", F.array().cast("array<string>")).alias("header")
     )
     cell_type = "variant" if typed else "string"

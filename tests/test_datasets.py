@@ -170,3 +170,17 @@ def test_json_headers_by_file(spark, tmp_path):
         ("all_empty.json", "id", "missing_column"), ("all_empty.json", "prompt", "missing_column"),
         ("broken.json", "", "unreadable"), ("first.json", "prompt", "missing_column"),
     ]
+
+
+def test_valid_json_rows_read_each_file_once(spark, tmp_path):
+    for n, text in enumerate(['{"rows":[{"a":1,"b":"x"},{"a":"y","b":"z"}]}', '[{"a":1}]', '[{"a":1,"b":"w"},3]', '{"a":4,"b":"v"}', "nothing"]):
+        (tmp_path / f"{n}.json").write_text(text)
+    rows, headers = DS.read_dataset_json_files(spark, str(tmp_path), ["a", "b"], typed=True)
+    valid, violations = V.validate_files(rows, headers, {"a": int, "b": str})
+    plan = valid._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Join" not in plan
+    assert sorted((r.dataset[-6], r.row_index, r.a, r.b) for r in valid.collect()) == [("0", 1, 1, "x"), ("3", 1, 4, "v")]
+    assert sorted((r.dataset[-6], r.row_index or 0, r.column or "", r.rule, r.value or "") for r in violations.collect()) == [
+        ("0", 2, "a", "type", "y"), ("1", 0, "b", "missing_column", ""),
+        ("2", 0, "", "unreadable", DS.ERR_NOT_OBJECT), ("4", 0, "", "unreadable", DS.ERR_INVALID),
+    ]
