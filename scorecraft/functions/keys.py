@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -163,6 +164,11 @@ def safe_segment(c: Column | str) -> Column:
     return F.coalesce(F.nullif(stripped, F.lit("")), F.lit(UNNAMED))
 
 
+def safe_name(text: str) -> str:
+    """:func:`safe_segment` of a parameter."""
+    return re.sub(r"^[._]+|[._]+$", "", re.sub(r"[^A-Za-z0-9_.\-]+", "_", text)) or UNNAMED
+
+
 def safe_label(c: Column | str) -> Column:
     """Each character that is not alphanumeric, ``-`` or ``_`` -> ``_``
     (one for one), ``_`` stripped at both ends, empty -> ``all``."""

@@ -321,7 +321,8 @@ def q_stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "model", "source", "case_id", "row_index", F.lit("extract").alias("prompt"), F.col("ground_truth").alias("expected_output")
     )
     SK.write_eval_dataset(prompts, runtime, keys=("model", "source", "case_id"))
-    return rounded(A.stored_accuracy(spark, store, RP.read_ground_truths(spark, runtime), " 1-URGENT ", "F"))
+    source, model = " 1-URGENT ", "F"
+    return rounded(A.stored_accuracy(spark, store, RP.read_ground_truths(spark, runtime, source, model), source, model))
 
 
 # --- recommendations (R2, X1, X2, X4) ----------------------------------------

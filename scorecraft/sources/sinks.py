@@ -130,15 +130,9 @@ def write_eval_dataset(runs: DataFrame, path: str, keys: Sequence[str] = ("model
     by row: no document is held whole."""
     place = F.col("row_index") if "row_index" in runs.columns else F.lit(0)
     item = F.to_json(F.struct(F.col("prompt"), F.parse_json("expected_output").alias("expected_output")))
-    rows = runs.select(file_key(keys).alias("file"), F.lit(1).alias("_part"), place.alias("_place"), item.alias("text"))
-    # a file's rows are in one task to be written; the window uses the same order
-    first = F.row_number().over(Window.partitionBy("file").orderBy("_place", "text")) == 1
-    rows = rows.withColumn("text", F.when(first, F.col("text")).otherwise(F.concat(F.lit(","), F.col("text"))))
-    rows = rows.withColumn("_first", ~first)
-    ends = runs.select(file_key(keys).alias("file")).distinct().select(
-        "file", F.inline(F.array(*[F.struct(F.lit(n).alias("_part"), F.lit(t).alias("text")) for n, t in ((0, '{"rows":['), (2, "]}"))]))
-    ).withColumns({"_place": F.lit(None).cast(rows.schema["_place"].dataType), "_first": F.lit(False)})
-    parts = rows.unionByName(ends).select(
-        F.concat("file", F.lit(".json")).alias("file"), F.encode("text", "UTF-8").alias("content"), "_part", "_first", "_place"
-    )
-    write_named_files(parts, path, ["_part", "_first", "_place", "content"], overwrite)
+    rows = runs.select(F.concat(file_key(keys), F.lit(".json")).alias("file"), place.alias("_place"), item.alias("text"))
+    in_file = Window.partitionBy("file").orderBy("_place", "text")
+    rows = rows.withColumns({"_n": F.row_number().over(in_file), "_last": F.lead(F.lit(True)).over(in_file).isNull()})
+    before = F.when(F.col("_n") == 1, F.lit('{"rows":[')).otherwise(F.lit(","))
+    after = F.when(F.col("_last"), F.lit("]}")).otherwise(F.lit(""))
+    write_named_files(rows.select("file", F.encode(F.concat(before, "text", after), "UTF-8").alias("content"), "_n"), path, ["_n"], overwrite)

@@ -149,3 +149,16 @@ def test_winners_only_if_both_are_there(spark):
     assert sorted(r.section for r in C.winners_if_complete(report).collect()) == [C.BEST_SECTION, C.FASTEST_SECTION]
     for lost in (C.BEST_SECTION, C.FASTEST_SECTION):
         assert C.winners_if_complete(report.filter(F.col("section") != lost)).collect() == []
+
+
+def test_truths_of_one_source_and_model_are_read_alone(spark, tmp_path):
+    rows = [(m, s, c, n, "p", json.dumps({"n": n})) for m in ("m", "m/2") for s in ("s", "s_t", "t__s") for c in ("c", "d") for n in (2, 1)]
+    runs = spark.createDataFrame(rows, "model string, source string, case_id string, row_index int, prompt string, expected_output string")
+    SK.write_eval_dataset(runs, str(tmp_path), keys=("model", "source", "case_id"))
+    read = lambda **which: RP.read_ground_truths(spark, str(tmp_path), **which)
+    assert sorted(r.case_key for r in read(source=" s ", model="m/2").collect()) == ["m_2__s__c", "m_2__s__d"]
+    assert len(read(source=" s ", model="m/2").inputFiles()) == 2
+    assert read(model="m").count() == 6 and read().count() == 12
+    assert {r.ground_truth for r in read().collect()} == {'{"n":1}'}
+    with open(tmp_path / "m__s__c.json") as f:
+        assert [r["expected_output"] for r in json.load(f)["rows"]] == [{"n": 1}, {"n": 2}]
