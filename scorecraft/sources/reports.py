@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from scorecraft.functions import jsonops as J
 from scorecraft.functions import keys as K
+from scorecraft.sources.named_files import read_whole_files
 
 # Column layouts of the text artifacts.
 REPORT_FIELDS = ["row_index", "status", "score", "llm_output", "error_message"]
@@ -115,8 +116,8 @@ def read_ground_truths(spark: SparkSession, path: str | Sequence[str], source: s
     paths = [path] if isinstance(path, str) else list(path)
     parts = [K.safe_name(part) if part.strip() else "*" for part in (model.strip(), source.strip())]
     glob = "__".join([*parts, "*.json"]) if parts != ["*", "*"] else "*.json"
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(paths)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    raw = read_whole_files(spark, paths, glob)
+    stem = F.regexp_replace(F.col("file"), r"\.json$", "")
     text = F.regexp_replace(F.col("value"), "^" + BOM, "")
     staged = raw.select(stem.alias("case_key"), text.alias("_text"))
     parsed = J.parsed_object(F.col("_text"))

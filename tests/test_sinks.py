@@ -4,9 +4,12 @@ artifacts (E3)."""
 import csv
 import json
 import os
+import pickle
 import threading
+import tracemalloc
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scorecraft.operators import accuracy as A
@@ -162,3 +165,61 @@ def test_truths_of_one_source_and_model_are_read_alone(spark, tmp_path):
     assert {r.ground_truth for r in read().collect()} == {'{"n":1}'}
     with open(tmp_path / "m__s__c.json") as f:
         assert [r["expected_output"] for r in json.load(f)["rows"]] == [{"n": 1}, {"n": 2}]
+
+
+def _write_by_tasks(path, tasks, overwrite=True):
+    """The steps of a job: each task writes, then the commit gets their messages."""
+    writer = NF.NamedFilesWriter(path, overwrite)
+    return writer, [writer.write(iter(Row(file=n, content=c) for n, c in task)) for task in tasks]
+
+
+def test_the_driver_holds_no_list_of_files(tmp_path):
+    """Neither the messages nor the commit grow with the files (memory of the driver)."""
+    writer, messages = _write_by_tasks(str(tmp_path), [[(f"m{t}__s__block_{i:05}.json", b"{}") for i in range(5000)] for t in range(4)])
+    assert max(len(pickle.dumps(m)) for m in messages) < 1000
+    tracemalloc.start()
+    writer.commit(messages)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    assert len(names(tmp_path)) == 20_000
+
+
+def test_rows_that_come_unsorted(tmp_path):
+    def write(tasks, overwrite=True):
+        writer, messages = _write_by_tasks(str(tmp_path), tasks, overwrite)
+        writer.commit(messages)
+
+    write([[("ü\n", b"1"), ("a", b"2"), ("a", b"3"), ("z", b"")], [("\U0001f600", b"5"), ("＀", b"6")], []])
+    assert {n: (tmp_path / n).read_bytes() for n in names(tmp_path)} == {"ü\n": b"1", "a": b"23", "z": b"", "\U0001f600": b"5", "＀": b"6"}
+    for tasks in ([[("c", b"1"), ("b", b"2"), ("c", b"3")]], [[("d", b"1"), ("c", b"1")], [("c", b"2")]]):
+        with pytest.raises(ValueError, match="not together: \\['c'\\]"):
+            write(tasks)
+    with pytest.raises(FileExistsError, match="2 files are there already"):
+        write([[("z", b"0"), ("y", b"0")], [("a", b"0")]], overwrite=False)
+    assert (tmp_path / "a").read_bytes() == b"23" and len(names(tmp_path)) == 5
+
+
+def test_large_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    for name in ("m__s__c", "m__s__d", "m__t__c", "n__s__c", "n__s__\xe4 %41[^\\`{|}]\"#<>?,;$&+=@~'()*!\xa0"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"rows": [{"expected_output": {"n": name}}]}))
+    for name in ("_m__s__x.json", ".m__s__x.json", "m__s__x.txt", "m__s__empty.json"):
+        (tmp_path / name).write_text("" if "empty" in name else '{"rows":[{"expected_output":{"n":0}}]}')
+    (tmp_path / "m__s__bad.json").write_bytes(b'\xef\xbb\xbf{"rows": [\xff')
+    (tmp_path / "m__s__folder.json").mkdir()
+    (tmp_path / "m__s__folder.json" / "m__s__in.json").write_text("{}")
+    read = lambda **which: RP.read_ground_truths(spark, str(tmp_path), **which)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    asked = ({}, {"model": "m"}, {"source": " s "}, {"source": "s", "model": "m"}, {"model": "none"})
+    by_driver = [rows(read(**which)) for which in asked]
+    assert [len(r) for r in by_driver] == [6, 4, 5, 3, 0] and len(read().inputFiles()) > 0
+    monkeypatch.setattr(NF, "LARGE_FOLDER", 1)
+    assert [rows(read(**which)) for which in asked] == by_driver
+    assert len(read().inputFiles()) == 0  # the driver holds no list
+    truths = read()
+    join = A.reports_with_truth(truths.select("case_key"), truths, keys=("case_key",))
+    assert "BroadcastHashJoin" not in join._jdf.queryExecution().sparkPlan().toString()
+    assert rows(RP.read_ground_truths(spark, [str(tmp_path), f"file:{tmp_path}/m__t*"])) == sorted([*by_driver[0], ("m__t__c", '{"n":"m__t__c"}')])
+    (tmp_path / "k" / "version=1").mkdir(parents=True)  # Spark's reader looks into folders that name partitions
+    (tmp_path / "k" / "version=1" / "o__s__c.json").write_text("{}")
+    assert rows(RP.read_ground_truths(spark, str(tmp_path / "k"))) == [("o__s__c", "{}")]
